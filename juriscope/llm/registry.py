@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import contamination, mixing, secrets, sharding
 from .shared import documents
 
 
@@ -14,5 +14,14 @@ def op5_mix_sources(spark, sf_dir):
     return mixing.op5_mix(documents(spark, sf_dir))
 
 
-QUERIES = {"op3_shard_tree": op3_shard_tree, "op5_mix_sources": op5_mix_sources}
-ORACLES = {"op5_mix_sources": mixing.ORACLE}
+def op2_contamination(spark, sf_dir):
+    return contamination.op2_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_secrets(spark, sf_dir):
+    return secrets.op8_secrets(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op2_contamination": op2_contamination, "op8_secrets": op8_secrets, "op3_shard_tree": op3_shard_tree, "op5_mix_sources": op5_mix_sources}
+ORACLES = {"op2_contamination": contamination.ORACLE, "op8_secrets": secrets.ORACLE, "op5_mix_sources": mixing.ORACLE}
