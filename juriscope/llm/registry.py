@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, mixing, quality, secrets, sharding, topk
+from . import contamination, mixing, neardup, quality, secrets, sharding, topk
 from .shared import documents
 
 
@@ -30,6 +30,10 @@ def op9_quality(spark, sf_dir):
     return quality.op9_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op4_top_k": op4_top_k, "op9_quality": op9_quality, 
+def op10_near_duplicates(spark, sf_dir):
+    return neardup.op10_near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {"op10_near_duplicates": op10_near_duplicates, "op4_top_k": op4_top_k, "op9_quality": op9_quality, 
     "op2_contamination": op2_contamination, "op8_secrets": op8_secrets, "op3_shard_tree": op3_shard_tree, "op5_mix_sources": op5_mix_sources}
-ORACLES = {"op4_top_k": topk.ORACLE, "op2_contamination": contamination.ORACLE, "op8_secrets": secrets.ORACLE, "op5_mix_sources": mixing.ORACLE}
+ORACLES = {"op10_near_duplicates": neardup.ORACLE, "op4_top_k": topk.ORACLE, "op2_contamination": contamination.ORACLE, "op8_secrets": secrets.ORACLE, "op5_mix_sources": mixing.ORACLE}
