@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, mixing, neardup, quality, secrets, sharding, topk
+from . import contamination, mixing, neardup, quality, secrets, sharding, substrings, topk
 from .shared import documents
 
 
@@ -34,6 +34,10 @@ def op10_near_duplicates(spark, sf_dir):
     return neardup.op10_near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op10_near_duplicates": op10_near_duplicates, "op4_top_k": op4_top_k, "op9_quality": op9_quality, 
+def op6_substrings(spark, sf_dir):
+    return substrings.op6_substrings(documents(spark, sf_dir))
+
+
+QUERIES = {"op6_substrings": op6_substrings, "op10_near_duplicates": op10_near_duplicates, "op4_top_k": op4_top_k, "op9_quality": op9_quality, 
     "op2_contamination": op2_contamination, "op8_secrets": op8_secrets, "op3_shard_tree": op3_shard_tree, "op5_mix_sources": op5_mix_sources}
-ORACLES = {"op10_near_duplicates": neardup.ORACLE, "op4_top_k": topk.ORACLE, "op2_contamination": contamination.ORACLE, "op8_secrets": secrets.ORACLE, "op5_mix_sources": mixing.ORACLE}
+ORACLES = {"op6_substrings": substrings.ORACLE, "op10_near_duplicates": neardup.ORACLE, "op4_top_k": topk.ORACLE, "op2_contamination": contamination.ORACLE, "op8_secrets": secrets.ORACLE, "op5_mix_sources": mixing.ORACLE}
