@@ -416,11 +416,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each component (that whose doc_id is the component_id), with the columns of docs."""
-    found = near_duplicates(docs, percent).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
+    """One row of each component (that whose doc_id is the component_id), with the columns of docs.
+
+    Of rows that repeat a doc_id the one with the smallest row hash stays; rows without doc_id are
+    linked with nothing and all stay.
+    """
+    found = near_duplicates(docs, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     found = materialise(found, "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
-    return rows.join(found, rows["own_id"].eqNullSafe(found["kept_id"]), "left_semi").select("row.*")
+    row = F.struct(*docs.columns)
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t]).alias("mark"))
+    one = rows.join(found, rows["own_id"] == found["kept_id"], "left_semi").groupBy("own_id").agg(F.min_by("row", "mark").alias("row"))
+    return one.select("row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def op10_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, katz, mixing, neardup, quality, secrets, sharding, substrings, topk
+from . import contamination, html_layout, katz, mixing, neardup, quality, secrets, sharding, substrings, topk
 from .shared import documents
 
 
@@ -42,6 +42,10 @@ def op1_katz(spark, sf_dir):
     return katz.op1_katz(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_katz": op1_katz, "op6_substrings": op6_substrings, "op10_near_duplicates": op10_near_duplicates, "op4_top_k": op4_top_k, "op9_quality": op9_quality, 
+def op7_html(spark, sf_dir):
+    return html_layout.op7_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {"op7_html": op7_html, "op1_katz": op1_katz, "op6_substrings": op6_substrings, "op10_near_duplicates": op10_near_duplicates, "op4_top_k": op4_top_k, "op9_quality": op9_quality, 
     "op2_contamination": op2_contamination, "op8_secrets": op8_secrets, "op3_shard_tree": op3_shard_tree, "op5_mix_sources": op5_mix_sources}
 ORACLES = {"op6_substrings": substrings.ORACLE, "op10_near_duplicates": neardup.ORACLE, "op4_top_k": topk.ORACLE, "op2_contamination": contamination.ORACLE, "op8_secrets": secrets.ORACLE, "op5_mix_sources": mixing.ORACLE}
