@@ -1,12 +1,425 @@
-"""Registered queries of the citation engine and their SQL oracles."""
+"""Registered queries of the citation engine and their SQL oracles.
+
+The supplied tables hold no legal text, so most queries render it from numeric columns, run the
+engine over every row, and are compared with plain arithmetic on the same columns.
+"""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import register
+from ..operators import citations as c
+from ..operators.cleaning import clean_column, strip_html_column
+from ..operators.documents import Options
+from ..sources import readers
+from ..streaming import citations as streaming
 
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# the numbers from which texts are rendered; the same expressions in Spark SQL and DuckDB
+VOLUME, PAGE = "(o_orderkey % 900 + 1)", "(o_orderkey % 1500 + 1)"
+REPORTERS = ("U.S.", "F.2d", "F.3d", "F.Supp.2d", "P.2d", "N.E.2d")
+REPORTER = "CASE o_custkey % 6 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(REPORTERS)) + " END"
+YEAR = "year(o_orderdate)"
+COURT = "CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 4 THEN 'Cal.' WHEN 5 THEN 'Ohio' ELSE '9th Cir.' END"
+NAMES = ("Smith", "Jones", "Acme Corp.", "Brown", "Garcia", "Miller", "Davis", "Wilson")
+NAME = "CASE {0} % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
+PLAINTIFF, DEFENDANT = NAME.format("o_orderkey"), NAME.format("(o_custkey + 3)")
+CITE = f"concat({VOLUME}, ' ', {REPORTER}, ' ', {PAGE})"
+PAREN = f"concat('(', CASE WHEN {COURT} IS NULL THEN '' ELSE concat({COURT}, ' ') END, {YEAR}, ')')"
+FULL = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {CITE}, ' ', {PAREN})"
+
+
+def rendered(spark: SparkSession, sf_dir: str, text: str, table: str = "orders", key: str = "o_orderkey", where: str = "true") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").filter(where).selectExpr(f"CAST({key} AS BIGINT) AS doc_id", f"{text} AS text")
+
+
+def cases(spark: SparkSession, sf_dir: str, options: Options = Options()) -> DataFrame:
+    return c.extract_citations(rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '. The rest followed.')"), options)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(1)
+    """Citations of each reporter over all rendered opinions."""
+    return c.reporter_summary(cases(spark, sf_dir))
+
+
+query("reporter_summary", f"SELECT {REPORTER} AS reporter, count(*) AS cites, count(DISTINCT o_orderkey) AS documents, CAST(min({YEAR}) AS INTEGER) AS first_year, CAST(max({YEAR}) AS INTEGER) AS last_year FROM orders GROUP BY 1")(flagship)
+
+
+@query("case_core", f"SELECT o_orderkey AS doc_id, CAST({VOLUME} AS BIGINT) AS volume_num, {REPORTER} AS reporter, CAST({PAGE} AS BIGINT) AS page, CAST({YEAR} AS INTEGER) AS year, coalesce({COURT}, 'scotus') AS court FROM orders")
+def case_core(spark, sf_dir):
+    return cases(spark, sf_dir).filter("type = 'case'").select("doc_id", "volume_num", "reporter", "page", "year", "court")
+
+
+@query("case_confidence", "SELECT o_orderkey AS doc_id, CAST(95 AS INTEGER) AS hundredths FROM orders")
+def case_confidence(spark, sf_dir):
+    return cases(spark, sf_dir).select("doc_id", F.round(F.col("confidence") * 100).cast("int").alias("hundredths"))
+
+
+_NORM = "lower(replace({0}, ' Corp.', ''))"
+
+
+@query("case_parties", f"SELECT o_orderkey AS doc_id, concat({PLAINTIFF}, ' v. ', {DEFENDANT}) AS case_name, {PLAINTIFF} AS plaintiff, {DEFENDANT} AS defendant, {_NORM.format(PLAINTIFF)} AS plaintiff_norm, {_NORM.format(DEFENDANT)} AS defendant_norm FROM orders")
+def case_parties(spark, sf_dir):
+    return cases(spark, sf_dir).select("doc_id", "case_name", "plaintiff", "defendant", "plaintiff_norm", "defendant_norm")
+
+
+@query("procedural_captions", f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'In re' WHEN 1 THEN 'Ex parte' ELSE 'Matter of' END AS procedural_prefix, concat(CASE o_orderkey % 3 WHEN 0 THEN 'In re' WHEN 1 THEN 'Ex parte' ELSE 'Matter of' END, ' ', {PLAINTIFF}) AS case_name FROM orders")
+def procedural_captions(spark, sf_dir):
+    text = f"concat('It was so held. ', CASE o_orderkey % 3 WHEN 0 THEN 'In re' WHEN 1 THEN 'Ex parte' ELSE 'Matter of' END, ' ', {PLAINTIFF}, ', ', {CITE}, ' ', {PAREN}, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "procedural_prefix", "case_name")
+
+
+@query("case_spans", f"SELECT o_orderkey AS doc_id, CAST(length('The court decided ') AS INTEGER) AS full_start, CAST(length('The court decided ') + length({FULL}) AS INTEGER) AS full_end, CAST(length('The court decided ') + length({FULL}) - length({PAREN}) - 1 - length({CITE}) AS INTEGER) AS core_start FROM orders")
+def case_spans(spark, sf_dir):
+    return cases(spark, sf_dir).select("doc_id", F.col("full_span.start").alias("full_start"), F.col("full_span.end").alias("full_end"), F.col("span.start").alias("core_start"))
+
+
+@query("pincites", f"SELECT o_orderkey AS doc_id, CAST({PAGE} + 3 AS INTEGER) AS pincite, CAST(CASE WHEN o_orderkey % 2 = 0 THEN {PAGE} + 5 END AS INTEGER) AS end_page FROM orders")
+def pincites(spark, sf_dir):
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {CITE}, ', ', {PAGE} + 3, CASE WHEN o_orderkey % 2 = 0 THEN concat('-', {PAGE} + 5) ELSE '' END, ' ', {PAREN}, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "pincite", F.col("pincite_info.end_page").alias("end_page"))
+
+
+@query("blank_pages", f"SELECT o_orderkey AS doc_id, CAST({VOLUME} AS BIGINT) AS volume_num, true AS has_blank_page, CAST(NULL AS BIGINT) AS page FROM orders WHERE o_custkey % 6 <> 0")
+def blank_pages(spark, sf_dir):
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' ', {REPORTER}, CASE WHEN o_orderkey % 2 = 0 THEN ' ___ ' ELSE ' --- ' END, {PAREN}, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text, where="o_custkey % 6 <> 0")).select("doc_id", "volume_num", "has_blank_page", "page")
+
+
+@query("court_inference", f"SELECT level, count(*) AS cites FROM (SELECT CASE {REPORTER} WHEN 'U.S.' THEN 'supreme' WHEN 'F.Supp.2d' THEN 'trial' WHEN 'P.2d' THEN 'unknown' WHEN 'N.E.2d' THEN 'unknown' ELSE 'appellate' END AS level FROM orders) GROUP BY level")
+def court_inference(spark, sf_dir):
+    return cases(spark, sf_dir).groupBy(F.col("inferred_court.level").alias("level")).agg(F.count("*").alias("cites"))
+
+
+@query("reporter_lookup", f"SELECT {REPORTER} AS reporter, count(*) AS cites, CASE {REPORTER} WHEN 'P.2d' THEN 'state' WHEN 'N.E.2d' THEN 'state' ELSE 'federal' END AS court_jurisdiction FROM orders GROUP BY 1, 3")
+def reporter_lookup(spark, sf_dir):
+    dim = F.broadcast(c.reporters(spark).select("reporter", "court_jurisdiction"))
+    return cases(spark, sf_dir).select("reporter").join(dim, "reporter").groupBy("reporter", "court_jurisdiction").agg(F.count("*").alias("cites"))
+
+
+@query("reporter_validation", f"SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 35 END AS INTEGER) AS hundredths FROM orders WHERE o_custkey % 6 = 1")
+def reporter_validation(spark, sf_dir):
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, CASE WHEN o_orderkey % 2 = 0 THEN ' F.2d ' ELSE ' Xyz. ' END, {PAGE}, ' (9th Cir. ', {YEAR}, ').')"
+    return c.validate(c.extract_citations(rendered(spark, sf_dir, text, where="o_custkey % 6 = 1"))).select("doc_id", F.round(F.col("validated") * 100).cast("int").alias("hundredths"))
+
+
+@query("dispositions", "SELECT o_orderkey AS doc_id, CASE o_orderkey % 2 WHEN 0 THEN 'en banc' ELSE 'per curiam' END AS disposition FROM orders")
+def dispositions(spark, sf_dir):
+    text = f"concat({FULL}, CASE o_orderkey % 2 WHEN 0 THEN ' (en banc)' ELSE ' (per curiam)' END, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "disposition")
+
+
+@query("parentheticals", "SELECT o_orderkey AS doc_id, 'holding' AS type, concat('holding that rule ', o_orderkey % 97, ' applies') AS text FROM orders")
+def parentheticals(spark, sf_dir):
+    text = f"concat({FULL}, ' (holding that rule ', o_orderkey % 97, ' applies).')"
+    rows = c.extract_citations(rendered(spark, sf_dir, text)).filter("type = 'case'").select("doc_id", F.explode("parentheticals").alias("p"))
+    return rows.select("doc_id", "p.type", "p.text")
+
+
+# ---------------------------------------------------------------- statutes and other sources
+
+TITLE, SECTION = "(p_size % 50 + 1)", "(p_partkey % 9000 + 100)"
+
+
+@query("statutes_federal", f"SELECT p_partkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, CASE k WHEN 0 THEN 'statute' ELSE 'regulation' END AS type, CASE k WHEN 0 THEN 'U.S.C.' ELSE 'C.F.R.' END AS code, CAST({TITLE} AS INTEGER) AS title, CASE k WHEN 0 THEN CAST({SECTION} AS VARCHAR) ELSE concat({SECTION}, '.', p_size) END AS section, CASE k WHEN 0 THEN concat('(a)(', p_size, ')') END AS subsection FROM part, (VALUES (0), (1)) t(k)")
+def statutes_federal(spark, sf_dir):
+    text = f"concat('See ', {TITLE}, ' U.S.C. § ', {SECTION}, '(a)(', p_size, '); ', {TITLE}, ' C.F.R. § ', {SECTION}, '.', p_size, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).select("doc_id", "cite_idx", "type", "code", "title", "section", "subsection")
+
+
+STATE = (("Fla. Stat.", "FL"), ("Ohio Rev. Code", "OH"), ("Utah Code Ann.", "UT"), ("N.C. Gen. Stat.", "NC"), ("Idaho Code", "ID"), ("Wis. Stat.", "WI"), ("Nev. Rev. Stat.", "NV"), ("Tenn. Code Ann.", "TN"), ("W. Va. Code", "WV"), ("Mich. Comp. Laws", "MI"))
+_CODE = "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(STATE)) + " END"
+_JURISDICTION = "CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(STATE)) + " END"
+
+
+@query("statutes_state", f"SELECT p_partkey AS doc_id, {_CODE} AS code, {_JURISDICTION} AS jurisdiction, CAST({SECTION} AS VARCHAR) AS section, CAST(CASE WHEN p_size % 2 = 0 THEN 2001 END AS INTEGER) AS year FROM part")
+def statutes_state(spark, sf_dir):
+    text = f"concat('Under ', {_CODE}, ' § ', {SECTION}, CASE WHEN p_size % 2 = 0 THEN ' (2001)' ELSE '' END, ' it is so.')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).select("doc_id", "code", "jurisdiction", "section", "year")
+
+
+NAMED = (("Cal. Penal Code", "CA"), ("N.Y. Penal Law", "NY"), ("Tex. Fam. Code", "TX"), ("Md. Code", "MD"), ("Va. Code", "VA"), ("Ala. Code", "AL"))
+_NAMED = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{a}'" for i, (a, _) in enumerate(NAMED)) + " END"
+_NAMED_J = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{b}'" for i, (_, b) in enumerate(NAMED)) + " END"
+
+
+@query("statutes_named", f"SELECT p_partkey AS doc_id, {_NAMED} AS code, {_NAMED_J} AS jurisdiction, CAST({SECTION} AS VARCHAR) AS section FROM part")
+def statutes_named(spark, sf_dir):
+    return c.extract_citations(rendered(spark, sf_dir, f"concat('as in ', {_NAMED}, ' § ', {SECTION}, ' and so on')", "part", "p_partkey")).select("doc_id", "code", "jurisdiction", "section")
+
+
+FORMS = (
+    ("section {} of title 42", "U.S.C.", "US"), ("I.R.C. § {}", "I.R.C.", "US"), ("U.S.S.G. § {}", "U.S.S.G.", "US"), ("§ {} of the Bankruptcy Code", "U.S.C.", "US"), ("RSA chapter {}", "RSA", "NH"), ("ORS chapter {}", "ORS", "OR"),
+    ("R.C. Chapter {}", "R.C.", "OH"), ("CPLR {}", "N.Y. C.P.L.R.", "NY"), ("EPTL {}", "N.Y. EPTL", "NY"), ("21 L.P.R.A. § {}", "L.P.R.A.", "PR"), ("Labor Law § {}", "Labor Law", "NY"), ("735 ILCS 5/{}", "5", "IL"),
+    ("section {}, Florida Statutes", "Fla. Stat.", "FL"), ("Florida Statutes § {}", "Fla. Stat.", "FL"), ("section {}, Idaho Code", "Idaho Code", "ID"), ("§ {}, MCA", "MCA", "MT"), ("§ {}, T.C.A.", "T.C.A.", "TN"), ("§ {}, R.R.S. 1943", "R.R.S. 1943", "NE"),
+    ("HG § {}", "HG", "MD"), ("K.S.A. 1973 Supp. {}", "K.S.A.", "KS"), ("IC 1971, {}", "IC", "IN"), ("Pen. Code § {}", "Pen. Code", "CA"), ("Bus. & Prof. Code, § {}", "Bus. & Prof. Code", "CA"), ("Code 1940, T. 15, § {}", "Code of Alabama 1940", "AL"),
+    ("Tit. 7, § {}", "Code of Alabama 1940", "AL"), ("RLH 1955 § {}", "RLH", "HI"), ("Ill. Rev. Stat. 1981, ch. 38, par. {}", "Ill. Rev. Stat.", "IL"), ("G.L. 1956 § {}", "G.L. 1956", "RI"),
+)
+_FORM = "CASE p_partkey % {0} ".format(len(FORMS)) + " ".join("WHEN {0} THEN concat('{1}', {2}, '{3}')".format(i, f.split("{}")[0], SECTION, f.split("{}")[1]) for i, (f, _, _) in enumerate(FORMS)) + " END"
+_FORM_CODE = "CASE p_partkey % {0} ".format(len(FORMS)) + " ".join(f"WHEN {i} THEN '{x}'" for i, (_, x, _) in enumerate(FORMS)) + " END"
+_FORM_J = "CASE p_partkey % {0} ".format(len(FORMS)) + " ".join(f"WHEN {i} THEN '{x}'" for i, (_, _, x) in enumerate(FORMS)) + " END"
+
+
+@query("statutes_forms", f"SELECT p_partkey AS doc_id, {_FORM_CODE} AS code, {_FORM_J} AS jurisdiction, CAST({SECTION} AS VARCHAR) AS section FROM part")
+def statutes_forms(spark, sf_dir):
+    """Prefix, postfix, chapter and edition forms of statutes."""
+    return c.extract_citations(rendered(spark, sf_dir, f"concat('The rule of ', {_FORM}, ' governs here')", "part", "p_partkey")).select("doc_id", "code", "jurisdiction", "section")
+
+
+OTHERS = (
+    ("2020 WL {}", "neutral"), ("2020 NY Slip Op {}", "neutral"), ("2010-Ohio-{}", "neutral"), ("2021 U.S. LEXIS {}", "neutral"), ("T.C. Memo. 2002-{}", "neutral"), ("Pub. L. No. 117-{}", "publicLaw"), ("85 Fed. Reg. {}", "federalRegister"),
+    ("124 Stat. {}", "statutesAtLarge"), ("100 Harv. L. Rev. {}", "journal"), ("Stats. 1998, ch. {}", "sessionLaw"), ("T.I.A.S. No. {}", "treaty"), ("H.R. Rep. No. 99-{}", "legislativeMaterial"), ("CCCO § {}", "localOrdinance"),
+    ("Canon {}", "canon"), ("Fed. R. Civ. P. {}", "federalRule"), ("I.R.C.P. {}", "stateRule"), ("Restatement (Second) of Torts § {}", "restatement"), ("5 Wigmore on Evidence § {}", "treatise"), ("100 A.L.R.2d {}", "annotation"),
+    ("U.S. Const. amend. XIV, § {}", "constitutional"), ("Cal. Const. art. I, § {}", "constitutional"), ("Art. I, § {}", "constitutional"),
+)
+_OTHER = f"CASE p_partkey % {len(OTHERS)} " + " ".join("WHEN {0} THEN concat('{1}', {2})".format(i, f.split("{}")[0], SECTION) for i, (f, _) in enumerate(OTHERS)) + " END"
+_OTHER_TYPE = f"CASE p_partkey % {len(OTHERS)} " + " ".join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(OTHERS)) + " END"
+
+
+@query("other_types", f"SELECT p_partkey AS doc_id, {_OTHER_TYPE} AS type, {_OTHER} AS matched_text FROM part")
+def other_types(spark, sf_dir):
+    """One citation of every other type: span and type of each."""
+    return c.extract_citations(rendered(spark, sf_dir, f"concat('as shown in ', {_OTHER}, ' among others')", "part", "p_partkey")).select("doc_id", "type", "matched_text")
+
+
+@query("constitutional_parts", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'US' ELSE 'CA' END AS jurisdiction, CAST(CASE WHEN p_partkey % 2 = 0 THEN 14 END AS INTEGER) AS amendment, CAST(CASE WHEN p_partkey % 2 = 1 THEN 1 END AS INTEGER) AS article, CAST(p_size AS VARCHAR) AS section FROM part")
+def constitutional_parts(spark, sf_dir):
+    text = "concat('under ', CASE WHEN p_partkey % 2 = 0 THEN 'U.S. Const. amend. XIV, § ' ELSE 'Cal. Const. art. I, § ' END, p_size, ' it is')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).select("doc_id", "jurisdiction", "amendment", "article", "section")
+
+
+@query("rules", "SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN 'Fed. R. Civ. P.' ELSE 'Fed. R. Evid.' END AS rule_set, CAST(p_size AS VARCHAR) AS rule, '(b)(6)' AS subsection FROM part")
+def rules(spark, sf_dir):
+    text = "concat('by ', CASE WHEN p_partkey % 2 = 0 THEN 'FRCP ' ELSE 'Federal Rules of Evidence ' END, p_size, '(b)(6) and')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).select("doc_id", "rule_set", "rule", "subsection")
+
+
+@query("section_lists", f"SELECT p_partkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, 'U.S.C.' AS code, CAST({SECTION} + k AS VARCHAR) AS section FROM part, (VALUES (0), (1), (2)) t(k)")
+def section_lists(spark, sf_dir):
+    text = f"concat('See 42 U.S.C. §§ ', {SECTION}, ', ', {SECTION} + 1, ' and ', {SECTION} + 2, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).select("doc_id", "cite_idx", "code", "section")
+
+
+@query("docket_citations", f"SELECT o_orderkey AS doc_id, concat('24-', o_orderkey) AS number, CAST({YEAR} AS INTEGER) AS year, 'D. Mass.' AS court FROM orders")
+def docket_citations(spark, sf_dir):
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', No. 24-', o_orderkey, ' (D. Mass. ', {YEAR}, ').')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).filter("type = 'docket'").select("doc_id", "number", "year", "court")
+
+
+# ---------------------------------------------------------------- structure
+
+_PARALLEL = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' U.S. ', {PAGE}, ', ', {VOLUME} + 7, ' S.Ct. ', {PAGE} + 9, CASE WHEN o_orderkey % 2 = 0 THEN concat(', ', {VOLUME} + 11, ' L.Ed.2d ', {PAGE} + 13) ELSE '' END, ' (', {YEAR}, ')')"
+
+
+@query("parallel_groups", f"SELECT o_orderkey AS doc_id, concat({VOLUME}, '-U.S.-', {PAGE}) AS group_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END AS INTEGER) AS members FROM orders")
+def parallel_groups(spark, sf_dir):
+    groups = c.parallel_groups(c.extract_citations(rendered(spark, sf_dir, f"concat('In ', {_PARALLEL}, ', we held.')")))
+    return groups.select("doc_id", "group_id", F.size("members").alias("members"))
+
+
+@query("parallel_captions", f"SELECT o_orderkey AS doc_id, CAST(count(*) AS BIGINT) AS captioned, CAST(min({YEAR}) AS INTEGER) AS year FROM orders, (VALUES (0), (1), (2)) t(k) WHERE k < 2 OR o_orderkey % 2 = 0 GROUP BY 1")
+def parallel_captions(spark, sf_dir):
+    rows = c.extract_citations(rendered(spark, sf_dir, f"concat('In ', {_PARALLEL}, ', we held.')"))
+    return rows.filter("case_name is not null").groupBy("doc_id").agg(F.count("*").alias("captioned"), F.min("year").alias("year"))
+
+
+_STRING = f"concat('See ', {FULL}, '; ', CASE WHEN o_orderkey % 2 = 0 THEN 'see also ' ELSE '' END, {DEFENDANT}, ' v. ', {PLAINTIFF}, ', ', {VOLUME} + 1, ' F.3d ', {PAGE}, ' (2d Cir. ', {YEAR}, ').')"
+
+
+@query("string_citations", "SELECT o_orderkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, 'sc-0' AS string_group_id, CAST(k AS INTEGER) AS string_group_index, CAST(2 AS INTEGER) AS string_group_size, CASE WHEN k = 0 THEN 'see' WHEN o_orderkey % 2 = 0 THEN 'see also' END AS signal FROM orders, (VALUES (0), (1)) t(k)")
+def string_citations(spark, sf_dir):
+    return c.extract_citations(rendered(spark, sf_dir, _STRING)).select("doc_id", "cite_idx", "string_group_id", "string_group_index", "string_group_size", "signal")
+
+
+_HISTORY = f"concat({FULL}, CASE o_orderstatus WHEN 'F' THEN ', aff''d, ' WHEN 'O' THEN ', rev''d, ' ELSE ', vacated, ' END, {VOLUME} + 5, ' U.S. ', {PAGE} + 1, ' (', {YEAR}, ').')"
+_HISTORY_DUCK = _HISTORY
+
+
+@query("history_links", "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'affirmed' WHEN 'O' THEN 'reversed' ELSE 'vacated' END AS history_signal, CAST(0 AS INTEGER) AS history_of FROM orders")
+def history_links(spark, sf_dir):
+    text = _HISTORY.replace("''d", "\\'d")
+    return c.extract_citations(rendered(spark, sf_dir, text)).filter("cite_idx = 1").select("doc_id", "history_signal", "history_of")
+
+
+@query("nested_citations", "SELECT o_orderkey AS doc_id, CAST(1 AS INTEGER) AS cite_idx, CAST(0 AS INTEGER) AS nested_in FROM orders")
+def nested_citations(spark, sf_dir):
+    text = f"concat({FULL}, ' (quoting Roe v. Wade, ', {VOLUME} + 2, ' U.S. ', {PAGE}, ' (1973)).')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).filter("nested_in is not null").select("doc_id", "cite_idx", "nested_in")
+
+
+# ---------------------------------------------------------------- resolution
+
+_RESOLVE = f"concat({FULL}, '. Id. at ', {PAGE} + 2, '. Then 42 U.S.C. § 1983 was read. ', {DEFENDANT}, ', ', {VOLUME}, ' ', {REPORTER}, ' at ', {PAGE} + 4, '. ', {DEFENDANT}, ', supra, at ', {PAGE} + 6, '. Id.')"
+
+
+@query("resolution", f"SELECT o_orderkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, CASE k WHEN 1 THEN 'id' WHEN 3 THEN 'shortFormCase' WHEN 4 THEN 'supra' ELSE 'id' END AS type, CAST(0 AS INTEGER) AS resolved_to, CAST({PAGE} + CASE k WHEN 1 THEN 2 WHEN 3 THEN 4 ELSE 6 END AS INTEGER) AS pincite FROM orders, (VALUES (1), (3), (4), (5)) t(k)")
+def resolution(spark, sf_dir):
+    rows = c.extract_citations(rendered(spark, sf_dir, _RESOLVE)).filter("resolution is not null")
+    return rows.select("doc_id", "cite_idx", "type", F.col("resolution.resolved_to").alias("resolved_to"), "pincite")
+
+
+@query("pincite_inheritance", "SELECT o_orderkey AS doc_id, CAST(5 AS INTEGER) AS cite_idx, CAST(4 AS INTEGER) AS pincite_inherited_from FROM orders")
+def pincite_inheritance(spark, sf_dir):
+    return c.extract_citations(rendered(spark, sf_dir, _RESOLVE)).filter("pincite_inherited_from is not null").select("doc_id", "cite_idx", "pincite_inherited_from")
+
+
+@query("case_groups", f"SELECT o_orderkey AS doc_id, concat({VOLUME}, '-', {REPORTER}, '-', {PAGE}) AS case_key, CAST(5 AS BIGINT) AS mentions, CAST(1 AS BIGINT) AS full_mentions, CAST(4 AS BIGINT) AS short_mentions FROM orders")
+def case_groups(spark, sf_dir):
+    return c.case_groups(c.extract_citations(rendered(spark, sf_dir, _RESOLVE)))
+
+
+@query("graph_edges", "SELECT edge, count(*) AS edges FROM (SELECT 'resolves-to' AS edge FROM orders, (VALUES (1), (2), (3), (4)) t(k) UNION ALL SELECT 'pincite-inherit' FROM orders) GROUP BY edge")
+def graph_edges(spark, sf_dir):
+    return c.graph_edges(c.extract_citations(rendered(spark, sf_dir, _RESOLVE))).groupBy("edge").agg(F.count("*").alias("edges"))
+
+
+@query("paragraph_scope", "SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS resolved FROM orders")
+def paragraph_scope(spark, sf_dir):
+    """Id. in another paragraph than its antecedent stays unresolved."""
+    text = f"concat({FULL}, '. More.', CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '\\n\\n' END, 'Id. at 5.')"
+    rows = c.extract_citations(rendered(spark, sf_dir, text), Options(scope="paragraph")).filter("type = 'id'")
+    return rows.select("doc_id", F.col("resolution.resolved_to").isNotNull().alias("resolved"))
+
+
+# ---------------------------------------------------------------- documents
+
+@query("footnote_tags", f"SELECT o_orderkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, CAST(CASE WHEN k = 1 THEN o_orderkey % 50 + 1 END AS INTEGER) AS footnote_number FROM orders, (VALUES (0), (1)) t(k)")
+def footnote_tags(spark, sf_dir):
+    text = f"concat('Text ', {FULL}, '. <footnote label=\"', o_orderkey % 50 + 1, '\">Brown v. Board, 347 U.S. 483 (1954).</footnote> End.')"
+    return c.extract_citations(rendered(spark, sf_dir, text), Options(detect_footnotes=True)).select("doc_id", "cite_idx", "footnote_number")
+
+
+@query("footnote_zones", "SELECT o_orderkey AS doc_id, CAST(o_orderkey % 50 + 1 AS INTEGER) AS number, CAST(5 AS INTEGER) AS start FROM orders")
+def footnote_zones(spark, sf_dir):
+    return c.footnote_zones(rendered(spark, sf_dir, "concat('Text <footnote label=\"', o_orderkey % 50 + 1, '\">note</footnote> End.')")).select("doc_id", "number", "start")
+
+
+@query("prose_spans", f"SELECT o_orderkey AS doc_id, CAST(CASE k WHEN 0 THEN 0 ELSE 18 + length({FULL}) END AS INTEGER) AS start, CAST(CASE k WHEN 0 THEN 18 ELSE 18 + length({FULL}) + 20 END AS INTEGER) AS \"end\" FROM orders, (VALUES (0), (1)) t(k)")
+def prose_spans(spark, sf_dir):
+    docs = rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '. The rest followed')")
+    return c.prose_spans(docs).select("doc_id", "start", "end")
+
+
+@query("quote_attribution", "SELECT o_orderkey AS doc_id, CAST(0 AS INTEGER) AS cite_idx, 'inline' AS kind FROM orders")
+def quote_attribution(spark, sf_dir):
+    return c.quote_attributions(rendered(spark, sf_dir, f"concat('The court held \"rule ', o_orderkey, ' applies.\" ', {FULL}, '.')")).select("doc_id", "cite_idx", "kind")
+
+
+@query("annotate", f"SELECT o_orderkey AS doc_id, concat('The court decided ', {PLAINTIFF}, ' v. ', {DEFENDANT}, ', <cite>', {CITE}, '</cite> ', {PAREN}, '.') AS annotated FROM orders")
+def annotate(spark, sf_dir):
+    return c.annotated(rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '.')")).select("doc_id", "annotated")
+
+
+@query("bluebook", f"SELECT o_orderkey AS doc_id, {FULL} AS bluebook, {CITE} AS reporter_key FROM orders")
+def bluebook(spark, sf_dir):
+    return cases(spark, sf_dir).select("doc_id", "bluebook", "reporter_key")
+
+
+@query("source_offsets", f"SELECT o_orderkey AS doc_id, CAST(6 + length({PLAINTIFF}) + 4 + length({DEFENDANT}) + 2 + 4 AS INTEGER) AS start, {CITE} AS key FROM orders")
+def source_offsets(spark, sf_dir):
+    """Offsets point into the source, whatever cleaning removed before them."""
+    text = f"concat('<p>In&#32;', {PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {CITE}, ' ', {PAREN}, '.</p>')"
+    return readers.projection(c.extract_citations(rendered(spark, sf_dir, text))).select("doc_id", F.col("start"), "key")
+
+
+@query("false_positives", "SELECT o_orderkey AS doc_id, count(*) AS cites FROM orders, (VALUES (0)) t(k) WHERE o_orderkey % 2 = 1 GROUP BY 1")
+def false_positives(spark, sf_dir):
+    """A date and a blocked reporter are dropped; a case stays."""
+    text = f"concat('On 12 May 1999 the ', CASE WHEN o_orderkey % 2 = 0 THEN '200 I.L.M. 300' ELSE {CITE} END, ' came.')"
+    return c.extract_citations(rendered(spark, sf_dir, text), Options(remove_false_positives=True)).groupBy("doc_id").agg(F.count("*").alias("cites"))
+
+
+@query("cleaned_length", "SELECT o_orderkey AS doc_id, concat('Roe & Co. - ', o_orderkey, ' \"x\"') AS clean_text FROM orders")
+def cleaned_length(spark, sf_dir):
+    return c.cleaned(rendered(spark, sf_dir, "concat('<b>Roe</b> &amp;  Co. – ', o_orderkey, ' “x”')")).select("doc_id", "clean_text")
+
+
+@query("native_cleaning", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style) *>', ' ', 'gi'), '<[^<>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM pages")
+def native_cleaning(spark, sf_dir):
+    """Tags and white space in JVM expressions only."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", strip_html_column(F.col("html")).alias("text"))
+
+
+@query("native_entities", "SELECT page_id, CAST(length(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')) AS INTEGER) AS n FROM pages WHERE NOT regexp_matches(html, '  |[\\t\\n\\r]|&(apos|sect|para|mdash|ndash);')")
+def native_entities(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter(~F.regexp_like("html", F.lit(r"  |[\t\n\r]|&(apos|sect|para|mdash|ndash);")))
+    return pages.select("page_id", F.length(clean_column(F.col("html"))).alias("n"))
+
+
+@query("gate", "SELECT count(*) AS cites FROM orders WHERE o_orderkey < 0")
+def gate(spark, sf_dir):
+    """Texts without any trigger never reach Python and give no rows."""
+    return c.extract_citations(rendered(spark, sf_dir, "concat('nothing to see here ', o_orderpriority)")).agg(F.count("*").alias("cites"))
+
+
+# ---------------------------------------------------------------- functions, sources, streams
+
+@query("fn_parse_pincite", "SELECT p_partkey AS doc_id, CAST(p_partkey + 1200 AS INTEGER) AS page, CAST(p_partkey + 1200 + 10 - (p_partkey + 1200) % 10 - 1 AS INTEGER) AS end_page, CAST(p_size AS INTEGER) AS footnote FROM part")
+def fn_parse_pincite(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("doc_id"), register.parse_pincite(F.expr("concat('at ', p_partkey + 1200, '-9 n. ', p_size)")).alias("p")).select("doc_id", "p.page", "p.end_page", "p.footnote")
+
+
+@query("fn_parse_date", "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS iso, CAST(month(o_orderdate) AS INTEGER) AS month FROM orders")
+def fn_parse_date(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return rows.select(F.col("o_orderkey").alias("doc_id"), register.parse_date(F.date_format("o_orderdate", "MMMM d, yyyy")).alias("d")).select("doc_id", "d.iso", "d.month")
+
+
+@query("fn_normalize_party", "SELECT c_custkey AS doc_id, concat('acme ', c_custkey) AS party FROM customer")
+def fn_normalize_party(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("doc_id"), register.normalize_party(F.expr("concat('The Acme ', c_custkey, ', Inc., et al.')")).alias("party"))
+
+
+@query("fn_content_hash")
+def fn_content_hash(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("doc_id"), register.content_hash(F.col("c_name")).alias("hash"))
+
+
+@query("party_similarity_join", "SELECT count(*) AS pairs FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND abs(length(a.n_name) - length(b.n_name)) <= 2 AND levenshtein(lower(a.n_name), lower(b.n_name)) <= 2")
+def party_similarity_join(spark, sf_dir):
+    """Names within edit distance 2, by a length band and the bounded built-in distance."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("x"), F.length("n_name").alias("l"))
+    bands = n.withColumn("band", F.explode(F.sequence(F.col("l") - 2, F.col("l") + 2))).select(F.col("k").alias("k2"), F.col("x").alias("x2"), "band")
+    return n.join(bands, F.col("l") == F.col("band")).filter((F.col("k") < F.col("k2")) & (F.levenshtein("x", "x2", 2) >= 0)).agg(F.count("*").alias("pairs"))
+
+
+@query("table_function", f"SELECT o_orderkey AS doc_id, {REPORTER} AS reporter FROM orders")
+def table_function(spark, sf_dir):
+    register.register(spark)
+    rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '.')").createOrReplaceTempView("rendered_opinions")
+    return spark.sql("SELECT doc_id, x.reporter FROM rendered_opinions, LATERAL extract_citations(text) x")
+
+
+@query("stream_summary", f"SELECT {REPORTER} AS reporter, count(*) AS cites FROM orders GROUP BY 1")
+def stream_summary(spark, sf_dir):
+    """The batch query on a stream: files in, Parquet out, then the same aggregate."""
+    folder = tempfile.mkdtemp() if spark.conf.get("spark.checkpoint.dir", None) is None else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}"
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    source = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir if sf_dir.endswith("/") else sf_dir + "/")
+    docs = source.selectExpr("o_orderkey AS doc_id", f"concat('The court decided ', {FULL}, '.') AS text")
+    import uuid
+
+    out, mark = f"{folder}/out-{uuid.uuid4().hex}", f"{folder}/mark-{uuid.uuid4().hex}"
+    streaming.run_to_table(spark, docs, out, mark)
+    return spark.read.parquet(out).groupBy("reporter").agg(F.count("*").alias("cites"))
