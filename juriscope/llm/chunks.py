@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from .shared import shared_dir
 
-CHUNK_WORDS = 2_200_000
+CHUNK_WORDS = 1_100_000
 #: Words of the corpus for each bucket of an exchange.
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 2_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
