@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import contamination, html_layout, katz, mixing, neardup, quality, secrets, sharding, substrings, topk
 from .shared import documents
 
@@ -46,6 +48,26 @@ def op7_html(spark, sf_dir):
     return html_layout.op7_html(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {"op7_html": op7_html, "op1_katz": op1_katz, "op6_substrings": op6_substrings, "op10_near_duplicates": op10_near_duplicates, "op4_top_k": op4_top_k, "op9_quality": op9_quality, 
-    "op2_contamination": op2_contamination, "op8_secrets": op8_secrets, "op3_shard_tree": op3_shard_tree, "op5_mix_sources": op5_mix_sources}
-ORACLES = {"op6_substrings": substrings.ORACLE, "op10_near_duplicates": neardup.ORACLE, "op4_top_k": topk.ORACLE, "op2_contamination": contamination.ORACLE, "op8_secrets": secrets.ORACLE, "op5_mix_sources": mixing.ORACLE}
+QUERIES = {
+    "op1_katz": op1_katz,
+    "op2_contamination": op2_contamination,
+    "op3_shard_tree": op3_shard_tree,
+    "op4_top_k": op4_top_k,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_substrings": op6_substrings,
+    "op7_html": op7_html,
+    "op8_secrets": op8_secrets,
+    "op9_quality": op9_quality,
+    "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": corpus_pipeline.run,
+}
+
+#: Hash trees, fitted networks, language models and rendered pages are tested against brute force instead.
+ORACLES = {
+    "op2_contamination": contamination.ORACLE,
+    "op4_top_k": topk.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
+    "op6_substrings": substrings.ORACLE,
+    "op8_secrets": secrets.ORACLE,
+    "op10_near_duplicates": neardup.ORACLE,
+}
