@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scalars
 from . import zones
@@ -89,12 +90,10 @@ def extract_citations(docs: DataFrame, options: Options = Options(), text: str =
 
 def per_document(docs: DataFrame, function, schema: str, options: Options = Options()) -> DataFrame:
     """doc_id and the rows that function(source, cleaned text, citations) returns as dicts."""
-    names = T.StructType.fromDDL(schema).fieldNames()
+    target = to_arrow_schema(T.StructType.fromDDL(f"doc_id string, {schema}"))
+    names = target.names[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(T.StructType.fromDDL(f"doc_id string, {schema}"))
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part, rows = batch.slice(at, _SLICE), []

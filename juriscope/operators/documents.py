@@ -151,8 +151,9 @@ def soft_false(c: dict, source: str) -> str | None:
     return None
 
 
-_MORE_SECTIONS = re.compile(r"\s*(?:,\s*(?:and\s+|or\s+|&\s*)?|\s+and\s+|\s*&\s*)(\d+[A-Za-z0-9.\-]*(?:\([^)]*\))*)(?!\s*(?:U\.?S\.?C|C\.?F\.?R|[A-Z][a-z]*\.))(?=[\s,.;)]|\Z)")
+_MORE_SECTIONS = re.compile(r"\s*(?:,\s*(?:and\s+|or\s+|&\s*)?|\s+and\s+|\s*&\s*)(\d+[A-Za-z0-9\-]*(?:\.\d+[A-Za-z0-9\-]*)*(?:\([^)]*\))*)(?!\s*(?:U\.?S\.?C|C\.?F\.?R|[A-Z][a-z]*\.))(?=[\s,.;)]|\Z)")
 _CHAINED = re.compile(r"\s*;\s*(?:and\s+)?(art(?:icle)?\.?|amend(?:ment)?\.?)\s+([IVX]+|\d+)(?:,?\s*§\s*([\w-]+))?(?:,?\s*cl\.?\s*(\d+))?")
+_BARE_PARTY = re.compile(r",\s+at\s+(\*?\d+(?:-\d+)?)\b")
 _BARE_SECTION = re.compile(r"(?<![\w§])§\s*(\d+[A-Za-z0-9.:]*(?:-\d+[A-Za-z0-9]*)?(?:\([^)]*\))*)")
 
 
@@ -201,12 +202,16 @@ def generate(cites: list[dict], text: str) -> list[dict]:
                 if name and len(name) >= 3 and name.lower() not in ("state", "people", "united states", "commonwealth", "doe", "roe", "board", "city", "county"):
                     anchors.setdefault(name, []).append(c)
     if anchors:
-        names = "|".join(re.escape(n) for n in sorted(anchors, key=len, reverse=True))
-        for m in re.finditer(rf"\b({names}),\s+at\s+(\*?\d+(?:-\d+)?)\b", text):
-            earlier = [c for c in anchors[m[1]] if c["end"] <= m.start()]
-            if earlier and free(m.start(), m.end()):
-                c, info = earlier[-1], ps.s.parse_pincite(m[2])
-                more.append({"type": "shortFormCase", "pattern_id": "bare-party", "start": m.start(), "end": m.end(), "matched_text": m[0], "volume": c["volume"], "volume_num": c["volume_num"], "reporter": c["reporter"], "page": c["page"], "party_name": m[1], "party_norm": ps.s.normalize_party(m[1]), "pincite": info["page"], "pincite_info": info, "confidence": 0.85, "generated": True})
+        ordered = sorted(anchors, key=len, reverse=True)
+        for m in _BARE_PARTY.finditer(text):
+            name = next((n for n in ordered if text.endswith(n, 0, m.start()) and not text[max(0, m.start() - len(n) - 1) : m.start() - len(n)].isalnum()), None)
+            if name is None:
+                continue
+            a = m.start() - len(name)
+            earlier = [c for c in anchors[name] if c["end"] <= a]
+            if earlier and free(a, m.end()):
+                c, info = earlier[-1], ps.s.parse_pincite(m[1])
+                more.append({"type": "shortFormCase", "pattern_id": "bare-party", "start": a, "end": m.end(), "matched_text": text[a : m.end()], "volume": c["volume"], "volume_num": c["volume_num"], "reporter": c["reporter"], "page": c["page"], "party_name": name, "party_norm": ps.s.normalize_party(name), "pincite": info["page"], "pincite_info": info, "confidence": 0.85, "generated": True})
     out = cites + more
     out.sort(key=lambda c: c["start"])
     return out
@@ -258,7 +263,7 @@ def structure(cites: list[dict], text: str) -> None:
             n += 1
         group = []
 
-    for a, b in zip(anchors, anchors[1:] + [None], strict=True):
+    for a, b in zip(anchors, [*anchors[1:], None], strict=False):
         if not group:
             group = [a]
         linked = False

@@ -170,7 +170,7 @@ FORMS = (
     ("section {} of title 42", "U.S.C.", "US"), ("I.R.C. § {}", "I.R.C.", "US"), ("U.S.S.G. § {}", "U.S.S.G.", "US"), ("§ {} of the Bankruptcy Code", "U.S.C.", "US"), ("RSA chapter {}", "RSA", "NH"), ("ORS chapter {}", "ORS", "OR"),
     ("R.C. Chapter {}", "R.C.", "OH"), ("CPLR {}", "N.Y. C.P.L.R.", "NY"), ("EPTL {}", "N.Y. EPTL", "NY"), ("21 L.P.R.A. § {}", "L.P.R.A.", "PR"), ("Labor Law § {}", "Labor Law", "NY"), ("735 ILCS 5/{}", "5", "IL"),
     ("section {}, Florida Statutes", "Fla. Stat.", "FL"), ("Florida Statutes § {}", "Fla. Stat.", "FL"), ("section {}, Idaho Code", "Idaho Code", "ID"), ("§ {}, MCA", "MCA", "MT"), ("§ {}, T.C.A.", "T.C.A.", "TN"), ("§ {}, R.R.S. 1943", "R.R.S. 1943", "NE"),
-    ("HG § {}", "HG", "MD"), ("K.S.A. 1973 Supp. {}", "K.S.A.", "KS"), ("IC 1971, {}", "IC", "IN"), ("Pen. Code § {}", "Pen. Code", "CA"), ("Bus. & Prof. Code, § {}", "Bus. & Prof. Code", "CA"), ("Code 1940, T. 15, § {}", "Code of Alabama 1940", "AL"),
+    ("HG § {}", "HG", "MD"), ("K.S.A. 1973 {}", "K.S.A.", "KS"), ("IC 1971, {}", "IC", "IN"), ("Pen. Code § {}", "Pen. Code", "CA"), ("Bus. & Prof. Code, § {}", "Bus. & Prof. Code", "CA"), ("Code 1940, T. 15, § {}", "Code of Alabama 1940", "AL"),
     ("Tit. 7, § {}", "Code of Alabama 1940", "AL"), ("RLH 1955 § {}", "RLH", "HI"), ("Ill. Rev. Stat. 1981, ch. 38, par. {}", "Ill. Rev. Stat.", "IL"), ("G.L. 1956 § {}", "G.L. 1956", "RI"),
 )
 _FORM = "CASE p_partkey % {0} ".format(len(FORMS)) + " ".join("WHEN {0} THEN concat('{1}', {2}, '{3}')".format(i, f.split("{}")[0], SECTION, f.split("{}")[1]) for i, (f, _, _) in enumerate(FORMS)) + " END"
@@ -312,7 +312,7 @@ def footnote_zones(spark, sf_dir):
     return c.footnote_zones(rendered(spark, sf_dir, "concat('Text <footnote label=\"', o_orderkey % 50 + 1, '\">note</footnote> End.')")).select("doc_id", "number", "start")
 
 
-@query("prose_spans", f"SELECT o_orderkey AS doc_id, CAST(CASE k WHEN 0 THEN 0 ELSE 18 + length({FULL}) END AS INTEGER) AS start, CAST(CASE k WHEN 0 THEN 18 ELSE 18 + length({FULL}) + 20 END AS INTEGER) AS \"end\" FROM orders, (VALUES (0), (1)) t(k)")
+@query("prose_spans", f"SELECT o_orderkey AS doc_id, CAST(CASE k WHEN 0 THEN 0 ELSE 18 + length({FULL}) END AS INTEGER) AS start, CAST(CASE k WHEN 0 THEN 18 ELSE 18 + length({FULL}) + 19 END AS INTEGER) AS \"end\" FROM orders, (VALUES (0), (1)) t(k)")
 def prose_spans(spark, sf_dir):
     docs = rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '. The rest followed')")
     return c.prose_spans(docs).select("doc_id", "start", "end")
