@@ -175,3 +175,51 @@ def bluebook(c: dict) -> str:
     if kind == "canon":
         return f"Canon {g('number')}{sub}"
     return re.sub(r"\s+", " ", c["matched_text"])
+
+
+#: Words whose period does not end a sentence.
+_SHORTENED = frozenset("v vs no inc corp co ltd st mr mrs ms dr jr sr cir id cf ct app supp ed rev stat art sec ch para pp p e.g i.e u.s f d s n w e cal mass tex ill pa va md".split())
+
+
+def sentence_bounds(text: str, start: int, end: int) -> tuple[int, int]:
+    """The sentence around a span; abbreviations do not end it."""
+    lo, hi = 0, len(text)
+    for m in re.finditer(r"[.!?][\"')\]]*\s+(?=[A-Z\"'(])", text):
+        word = re.search(r"[\w.]*\Z", text[: m.start()])[0].lower()
+        if text[m.start()] == "." and (word in _SHORTENED or re.fullmatch(r"[a-z]|.*\.[a-z]|\d+[a-z]+", word)):
+            continue
+        if m.end() <= start:
+            lo = m.end()
+        elif m.start() >= end - 1:
+            hi = m.end()
+            break
+    return lo, hi
+
+
+def surrounding(text: str, start: int, end: int, unit: str = "sentence", most: int | None = None) -> str:
+    """The sentence or paragraph around a span, at most ``most`` characters of it, cut evenly around the span."""
+    if unit == "paragraph":
+        lo = text.rfind("\n\n", 0, start)
+        hi = text.find("\n\n", end)
+        lo, hi = (0 if lo < 0 else lo + 2), (len(text) if hi < 0 else hi)
+    else:
+        lo, hi = sentence_bounds(text, start, end)
+    if most is not None and hi - lo > most:
+        spare = max(0, most - (end - start)) // 2
+        lo, hi = max(lo, start - spare), min(hi, end + spare)
+    return text[lo:hi].strip()
+
+
+def token_bounded(text: str, needle: str) -> list[int]:
+    """Where needle stands in text as whole words."""
+    return [m.start() for m in re.finditer(re.escape(needle), text) if needle and not re.match(r"\w", text[m.start() - 1 : m.start()] or " ") and not re.match(r"\w", text[m.end() : m.end() + 1] or " ")]
+
+
+def durable_locator(text: str, start: int, end: int) -> dict | None:
+    """A locator that survives edits elsewhere: quote, 32 characters of its sentence on either side, occurrence, hash; None for a bad span."""
+    if not 0 <= start < end <= len(text):
+        return None
+    lo, hi = sentence_bounds(text, start, end)
+    exact, prefix, suffix = text[start:end], text[max(lo, start - 32) : start], text[end : min(hi, end + 32)]
+    before = token_bounded(text[:start], exact)
+    return {"v": 1, "exact": exact, "prefix": prefix, "suffix": suffix, "start": start, "end": end, "occurrence": len(before), "content_hash": content_hash(exact, prefix, suffix)}

@@ -128,6 +128,30 @@ def annotated(docs: DataFrame, before: str = "<cite>", after: str = "</cite>", o
     return per_document(docs, one, "annotated string, skipped array<int>", options)
 
 
+def contexts(docs: DataFrame, unit: str = "sentence", most: int | None = None, options: Options = Options()) -> DataFrame:
+    """doc_id, cite_idx, context: the sentence or paragraph of the source around each citation."""
+
+    def one(source, text, cites):
+        return [{"cite_idx": c["cite_idx"], "context": scalars.surrounding(source, c["source_start"], c["source_end"], unit, most)} for c in cites]
+
+    return per_document(docs, one, "cite_idx int, context string", options)
+
+
+def locators(docs: DataFrame, options: Options = Options()) -> DataFrame:
+    """doc_id, cite_idx and a durable locator of each citation in the source."""
+
+    def one(source, text, cites):
+        return [{"cite_idx": c["cite_idx"]} | (scalars.durable_locator(source, c["source_start"], c["source_end"]) or {}) for c in cites]
+
+    return per_document(docs, one, "cite_idx int, v int, exact string, prefix string, suffix string, start int, end int, occurrence int, content_hash string", options)
+
+
+def analyze(docs: DataFrame, options: Options = Options()) -> dict[str, DataFrame]:
+    """All views of a corpus by name: citations, edges, parallel and case groups, quotes, prose, footnotes."""
+    cites = extract_citations(docs, options)
+    return {"citations": cites, "edges": graph_edges(cites), "parallels": parallel_groups(cites), "cases": case_groups(cites), "quotes": quote_attributions(docs, options), "prose": prose_spans(docs, options), "footnotes": footnote_zones(docs)}
+
+
 def cleaned(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, clean_text and the segments that map it onto the source."""
     from .cleaning import clean_text

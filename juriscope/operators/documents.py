@@ -195,6 +195,14 @@ def generate(cites: list[dict], text: str) -> list[dict]:
             for m in _BARE_SECTION.finditer(text, at, stop):
                 if free(m.start(), m.end()) and not re.match(r"\d+-\d+-\d+", m[1]):
                     add(c, m.start(), m.end(), confidence=max(0.6, round(c["confidence"] - 0.1, 2)), **ps.parse_body(m[1].rstrip(".")))
+    for m in _BARE_LIST.finditer(text):
+        if free(m.start(), m.end()):
+            head = {"type": "statute", "pattern_id": "bare-section-list", "code": "§", "confidence": 0.3}
+            add(head, m.start(), m.end(), **ps.parse_body(m[1]))
+            at = m.end()
+            while (n := _MORE_SECTIONS.match(text, at)) is not None:
+                add(head, n.start(1), n.end(1), **ps.parse_body(n[1]))
+                at = n.end()
     anchors = {}
     for c in cites:
         if c["type"] == "case" and c.get("case_name"):
@@ -217,6 +225,31 @@ def generate(cites: list[dict], text: str) -> list[dict]:
     return out
 
 
+_NM_SIGNAL = re.compile(r"\bNMSA\b|\bN\.\s?M\.|\bNew\s+Mexico\b")
+_UPSTREAM = re.compile(r"(?P<DC>\bD\.\s?C\.|\bDistrict\s+of\s+Columbia\b)|(?P<VA>\bVa\.|\bVirginia\b)|(?P<GA>\bGa\.|\bGeorgia\b)")
+_BARE_LIST = re.compile(r"(?<![\w.])§§\s*(\d+[A-Za-z0-9\-]*(?:\.\d+)*(?:\([^)]*\))*)(?=\s*(?:,|and\b|&|or\b))")
+
+
+def place(cites: list[dict], text: str) -> None:
+    """Jurisdictions that the surroundings of bare sections and bare codes decide."""
+    context = None
+    for c in sorted(cites, key=lambda c: c["start"]):
+        if c.get("pattern_id") == "nm-bare-section" and not c.get("generated"):
+            sentence = re.split(r"(?<=[a-z)])\.\s", text[c["end"] : c["end"] + 200], maxsplit=1)[0]
+            if re.search(r",\s*MCA\b", sentence):
+                c["jurisdiction"], c["code"] = "MT", "MCA"
+            elif context in ("WV", "CO", "MT"):
+                c["jurisdiction"], c["code"] = context, {"WV": "W. Va. Code", "CO": "C.R.S.", "MT": "MCA"}[context]
+            elif not _NM_SIGNAL.search(text[max(0, c["start"] - 200) : c["start"]]) and context != "NM":
+                c["jurisdiction"], c["code"] = None, None
+        elif c.get("pattern_id") in ("va-bare-code", "ga-pre-1983") and c["matched_text"].startswith("Code"):
+            signals = list(_UPSTREAM.finditer(text, max(0, c["start"] - 400), c["start"]))
+            if signals and signals[-1]["DC"]:
+                c["jurisdiction"], c["code"] = "DC", "D.C. Code"
+        if c["type"] == "statute" and c.get("jurisdiction") in ("WV", "CO", "MT", "NM") and not c.get("generated"):
+            context = c["jurisdiction"]
+
+
 _SIGNALS = (("see, e.g.,", r"[Ss]ee,\s+e\.g\.,"), ("see also", r"[Ss]ee\s+also"), ("see generally", r"[Ss]ee\s+generally"), ("but see", r"[Bb]ut\s+see"), ("but cf.", r"[Bb]ut\s+cf\."), ("compare", r"[Cc]ompare"), ("contra", r"[Cc]ontra"), ("accord", r"[Aa]ccord"), ("cf.", r"[Cc]f\."), ("e.g.,", r"[Ee]\.g\.,"), ("see", r"[Ss]ee"))
 _SIGNAL_END = re.compile("(?:" + "|".join(f"(?P<s{k}>{r})" for k, (_, r) in enumerate(_SIGNALS)) + r"),?\s*\Z")
 _LINK = re.compile(r"\s*;\s*(.*)\Z", re.S)
@@ -234,6 +267,9 @@ def structure(cites: list[dict], text: str) -> None:
         begin = c["full_span"][0]
         c["signal"] = signal_before(text, begin, min(floor, begin)) or c.get("signal")
         floor = max(floor, c["end"])
+    for a, b in zip(cites, cites[1:], strict=False):
+        if a.get("signal") == "compare" and re.fullmatch(r"[\s,;.)]*with\s+", text[a["full_span"][1] : b["full_span"][0]]):
+            b["signal"] = "compare"
     # history: the i-th entry of a case and the next case at or after its end
     for i, c in enumerate(cites):
         for h in c.get("history") or []:
@@ -331,6 +367,7 @@ def extract(source: str | None, options: Options = Options()) -> tuple[Traced, l
         if "group_head" in c:
             c["group_id"], c["parallel_secondary"] = c["group_head"]["group_id"], True
     cites = generate(cites, text)
+    place(cites, text)
     kept = []
     for c in cites:
         c.setdefault("full_span", (c["start"], c["end"]))

@@ -158,6 +158,7 @@ def parties(name: str) -> dict:
 
 
 _PIN_AFTER = re.compile(r",\s+(?:at\s+)?(\*?\d+(?:\s*-\s*\*?\d+)?(?:\s+(?:nn?|note)\s*\.?\s*\d+)?|¶¶?\s*\d+(?:-\d+)?)(?=\s*[,.;()\[\]]|\s*\Z|\s+\()(?!\s*,?\s+[A-Z][A-Za-z.]*\d?[a-z.]*\s+\d)")
+_YEAR_FIRST = re.compile(r"\s*\(((?:[A-Z][^()]*\s)?)((?:17|18|19|20)\d{2})\)\s*\Z")
 _NEXT_CORE = re.compile(r",\s+\d+\s+[A-Z][A-Za-z.\d'& ]*?\s+(?:\d+|_{3,}|-{3,})(?=[\s,.;()]|\Z)")
 
 
@@ -217,8 +218,15 @@ def parse_case(token: dict, text: str, as_of_year: int, floor: int, parallel: bo
     if "court" not in out and reporter in ("U.S.", "S.Ct.", "L.Ed.", "L.Ed.2d"):
         out["court"] = "scotus"
     out["normalized_court"] = s.normalize_court(out.get("court"))
-    start = token["start"]
-    if not parallel and (found := case_name(text, token["start"], floor)) is not None:
+    start = name_end = token["start"]
+    # California style: the year stands between the caption and the citation
+    if (m := _YEAR_FIRST.search(text, max(floor, start - 60), start)) is not None:
+        name_end = m.start()
+        if "year" not in out:
+            out["year"], out["date"] = int(m[2]), s.parse_date(m[2], as_of_year)
+            if m[1] and "court" not in out:
+                out["court"], out["normalized_court"] = m[1].strip(), s.normalize_court(m[1])
+    if not parallel and (found := case_name(text, name_end, floor)) is not None:
         name, start = found
         out["case_name"] = squeezed(name).rstrip(",")
         out |= parties(out["case_name"])

@@ -8,6 +8,8 @@ from bisect import bisect_right
 from ..functions.scalars import levenshtein, normalize_party
 from .zones import depths, footnotes, paragraphs
 
+#: A caption in running text, from which an unmatched short form takes its name.
+_PROSE_CAPTION = re.compile(r"\b([A-Z][\w.'&-]*(?:\s+(?:of\s+|the\s+|&\s+)*[A-Z][\w.'&-]*)*)\s+vs?\.\s+([A-Z][\w'&-]*(?:\s+(?:of\s+|the\s+|&\s+)*[A-Z][\w'&-]*)*)")
 _SHORT = ("id", "supra", "shortFormCase")
 _FAMILY = {"case": "case", "docket": "case", "neutral": "case", "statute": "statute", "regulation": "statute", "constitutional": "statute"}
 
@@ -122,6 +124,9 @@ def resolve(cites: list[dict], text: str, source: str, options) -> None:
                 found, confidence = fits[-1], 0.95
             else:
                 failure = "No full citation with this volume and reporter"
+                prose = list(_PROSE_CAPTION.finditer(text, max(0, c["start"] - 400), c["start"]))
+                if prose:
+                    c["case_name"], c["plaintiff"], c["defendant"] = prose[-1][0], prose[-1][1], prose[-1][2]
         target[k] = found
         c["resolution"] = {"resolved_to": cites[found]["cite_idx"] if found is not None else None, "confidence": confidence if found is not None else None, "failure_reason": failure, "warnings": warnings}
     _inherit_pincites(cites, target, depth, position)

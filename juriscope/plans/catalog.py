@@ -370,6 +370,54 @@ def gate(spark, sf_dir):
     return c.extract_citations(rendered(spark, sf_dir, "concat('nothing to see here ', o_orderpriority)")).agg(F.count("*").alias("cites"))
 
 
+@query("year_first", f"SELECT o_orderkey AS doc_id, CAST({YEAR} AS INTEGER) AS year, concat({PLAINTIFF}, ' v. ', {DEFENDANT}) AS case_name FROM orders")
+def year_first(spark, sf_dir):
+    """The year between caption and citation."""
+    text = f"concat('It was so. ', {PLAINTIFF}, ' v. ', {DEFENDANT}, ' (', {YEAR}, ') ', {VOLUME}, ' Cal.3d ', {PAGE}, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "year", "case_name")
+
+
+@query("bare_code_jurisdiction", "SELECT p_partkey AS doc_id, CASE p_partkey % 2 WHEN 0 THEN 'DC' ELSE 'VA' END AS jurisdiction FROM part")
+def bare_code_jurisdiction(spark, sf_dir):
+    text = f"concat('The ', CASE p_partkey % 2 WHEN 0 THEN 'District of Columbia' ELSE 'Virginia' END, ' court read Code § 18.2-', {SECTION}, ' so')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).select("doc_id", "jurisdiction")
+
+
+@query("bare_section_jurisdiction", "SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'NM' WHEN 1 THEN 'MT' END AS jurisdiction FROM part")
+def bare_section_jurisdiction(spark, sf_dir):
+    text = f"concat('The ', CASE p_partkey % 3 WHEN 0 THEN 'New Mexico' ELSE 'local' END, ' law in Section 41-2-', {SECTION}, CASE p_partkey % 3 WHEN 1 THEN ' (1978), MCA' ELSE '' END, ' says so')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).filter("pattern_id = 'nm-bare-section'").select("doc_id", "jurisdiction")
+
+
+@query("bare_section_lists", f"SELECT p_partkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, '§' AS code, CAST({SECTION} + k AS VARCHAR) AS section FROM part, (VALUES (0), (1)) t(k)")
+def bare_section_lists(spark, sf_dir):
+    return c.extract_citations(rendered(spark, sf_dir, f"concat('as in §§ ', {SECTION}, ' and ', {SECTION} + 1, ', it is')", "part", "p_partkey")).select("doc_id", "cite_idx", "code", "section")
+
+
+@query("compare_signal", "SELECT o_orderkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, 'compare' AS signal FROM orders, (VALUES (0), (1)) t(k)")
+def compare_signal(spark, sf_dir):
+    text = f"concat('Compare ', {FULL}, ' with ', {DEFENDANT}, ' v. ', {PLAINTIFF}, ', ', {VOLUME} + 1, ' F.3d ', {PAGE}, ' (2d Cir. ', {YEAR}, ').')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "cite_idx", "signal")
+
+
+@query("inferred_names", f"SELECT o_orderkey AS doc_id, {PLAINTIFF} AS plaintiff, {DEFENDANT} AS defendant FROM orders WHERE o_orderkey % 8 <> 2 AND (o_custkey + 3) % 8 <> 2")
+def inferred_names(spark, sf_dir):
+    """A short form without its full citation takes the caption named in the text before it."""
+    text = f"concat('We discussed {{0}} earlier in ', {PLAINTIFF}, ' v. ', {DEFENDANT}, ' at length, see ', {VOLUME}, ' F.2d at ', {PAGE}, '.')".replace("{0}", "this")
+    rows = rendered(spark, sf_dir, text, where="o_orderkey % 8 <> 2 AND (o_custkey + 3) % 8 <> 2")
+    return c.extract_citations(rows).filter("type = 'shortFormCase'").select("doc_id", "plaintiff", "defendant")
+
+
+@query("context_sentence", f"SELECT o_orderkey AS doc_id, concat('The court decided ', {CITE}, ' here.') AS context FROM orders")
+def context_sentence(spark, sf_dir):
+    return c.contexts(rendered(spark, sf_dir, f"concat('Nothing was clear. The court decided ', {CITE}, ' here. Then it rose.')")).select("doc_id", "context")
+
+
+@query("locators", f"SELECT o_orderkey AS doc_id, {CITE} AS exact, 'The court decided ' AS prefix, CAST(37 AS INTEGER) AS start, CAST(0 AS INTEGER) AS occurrence FROM orders")
+def locators(spark, sf_dir):
+    return c.locators(rendered(spark, sf_dir, f"concat('Nothing was clear. The court decided ', {CITE}, ' here. Then it rose.')")).select("doc_id", "exact", "prefix", "start", "occurrence")
+
+
 # ---------------------------------------------------------------- functions, sources, streams
 
 @query("fn_parse_pincite", "SELECT p_partkey AS doc_id, CAST(p_partkey + 1200 AS INTEGER) AS page, CAST(p_partkey + 1200 + 10 - (p_partkey + 1200) % 10 - 1 AS INTEGER) AS end_page, CAST(p_size AS INTEGER) AS footnote FROM part")
