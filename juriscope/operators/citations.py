@@ -66,6 +66,18 @@ def row_of(c: dict) -> dict:
 _SLICE = 64
 
 
+#: Inputs below this size may come as one file; they are dealt out before the engine runs.
+_SMALL_BYTES = 256 << 20
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """Small inputs over all cores, since the work is in the rows; large ones keep their splits and are not shuffled."""
+    if docs.isStreaming:
+        return docs
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2) if size < _SMALL_BYTES else docs
+
+
 def extract_citations(docs: DataFrame, options: Options = Options(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and the fields of a citation, one row each, for all documents; the rows of a document stay together.
 
@@ -84,7 +96,7 @@ def extract_citations(docs: DataFrame, options: Options = Options(), text: str =
 
     schema = T.StructType([T.StructField(key, T.StringType()), *CITATION.fields])
     chosen = docs.select(F.col(key).cast("string").alias(key), F.col(text).alias("text")).filter(F.regexp_like("text", F.lit(TRIGGER)))
-    rows = chosen.mapInArrow(run, schema)
+    rows = spread(chosen).mapInArrow(run, schema)
     return rows.withColumn(key, F.col(key).cast(kind))
 
 
@@ -104,7 +116,7 @@ def per_document(docs: DataFrame, function, schema: str, options: Options = Opti
                     yield pa.RecordBatch.from_pylist(rows, schema=target)
 
     kind = docs.schema["doc_id"].dataType
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, f"doc_id string, {schema}")
+    rows = spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).mapInArrow(run, f"doc_id string, {schema}")
     return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

@@ -38,6 +38,8 @@ def scan(text: str, table: tuple[Pattern, ...] | None = None) -> list[dict]:
     first: dict[str, int] = {}
     for k, p in enumerate(table or patterns()):
         priority = first.setdefault(p.id, k)
+        if p.needs not in text:
+            continue
         for m in p.regex.finditer(text):
             if m.end() == m.start() or p.guard is not None and p.guard.search(text[max(0, m.start() - 80) : m.start()]):
                 continue

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import cache
+from re import _constants as _c
+from re import _parser as _p
 
 
 @dataclass(frozen=True)
@@ -17,6 +19,32 @@ class Pattern:
     type: str
     regex: re.Pattern
     guard: re.Pattern | None = None
+    needs: str = ""  # a text without this cannot match
+
+
+def mandatory(pattern: str) -> str:
+    """The longest run of characters that every match of a pattern holds, as written."""
+    best = run = ""
+
+    def walk(items) -> None:
+        nonlocal best, run
+        for op, arg in items:
+            if op is _c.LITERAL:
+                run += chr(arg)
+                best = max(best, run, key=len)
+            elif op is _c.SUBPATTERN and not arg[1] & re.I:
+                walk(arg[3])
+            elif op is _c.AT:
+                continue
+            elif op is _c.MAX_REPEAT and arg[0] > 0:
+                run = ""
+                walk(arg[2])
+                run = ""
+            else:
+                run = ""
+
+    walk(_p.parse(pattern))
+    return best
 
 
 # Pieces that many patterns share.
@@ -236,7 +264,7 @@ def _rows() -> list[tuple]:
 @cache
 def patterns() -> tuple[Pattern, ...]:
     """All patterns, most specific first; compiled once in each process."""
-    return tuple(Pattern(r[0], r[1], re.compile(r[2], re.ASCII), r[3] if len(r) > 3 else None) for r in _rows())
+    return tuple(Pattern(r[0], r[1], re.compile(r[2], re.ASCII), r[3] if len(r) > 3 else None, mandatory(r[2])) for r in _rows())
 
 
 #: A text that matches none of these holds no citation; evaluated in the JVM before Python sees the row.
