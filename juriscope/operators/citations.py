@@ -74,7 +74,7 @@ def spread(docs: DataFrame) -> DataFrame:
     """Small inputs over all cores, since the work is in the rows; large ones keep their splits and are not shuffled."""
     if docs.isStreaming:
         return docs
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2) if size < _SMALL_BYTES else docs
 
 
