@@ -507,7 +507,7 @@ def parse_short(token: dict, text: str) -> dict:
         points = 100 if token["text"][0] == "I" else 85
         if "," in token["text"][:4]:
             points = min(points, 90 if token["text"][0] == "I" else 70)
-        before = text[: token["start"]].rstrip()
+        before = text[max(0, token["start"] - 200) : token["start"]].rstrip()[-12:]
         if before and not re.search(r"[.;:!?)\]\"'—]\Z|\b(?:[Ss]ee|[Cc]f\.|also|[Aa]ccord|[Bb]ut)\Z", before):
             points = min(points, 40)
         section = re.compile(r"\s*(?:at\s+)?§§?\s*([\w.\-]+(?:\([^)]*\))*)").match(text, token["end"])

@@ -55,7 +55,7 @@ def resolve(cites: list[dict], text: str, source: str, options) -> None:
         if c["type"] == "id":
             family = "statute" if c.get("section") else "case" if c.get("pincite") is not None else None
             best, seen = None, set()
-            for back, j in enumerate(range(k - 1, -1, -1)):
+            for j in range(k - 1, -1, -1):
                 o = cites[j]
                 if o.get("parallel_secondary"):
                     continue
@@ -69,11 +69,13 @@ def resolve(cites: list[dict], text: str, source: str, options) -> None:
                 if t in seen:
                     continue
                 seen.add(t)
-                score = 10_000_000 * (family is not None and _FAMILY.get(cites[t]["type"]) == family) - back
-                if best is None or score > best[0]:
-                    best = (score, t)
+                fits = family is None or _FAMILY.get(cites[t]["type"]) == family
+                if best is None or fits:
+                    best = t
+                if fits:
+                    break  # the nearest of the preferred family; else the nearest of any
             if best is not None:
-                found, confidence = best[1], 1.0
+                found, confidence = best, 1.0
                 before = text[max(0, c["start"] - 80) : c["start"]]
                 named = set(re.findall(r"\b[A-Z][a-z]{3,}\b", before.rsplit(". ", 1)[-1]))
                 names = set(re.findall(r"[A-Z][a-z]{3,}", cites[found].get("case_name") or ""))
