@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def stored(cites: DataFrame) -> DataFrame:
+    """Citations that several views read: extracted once, kept by the executors, extracted again only where one is lost."""
+    return cites.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 # the numbers from which texts are rendered; the same expressions in Spark SQL and DuckDB
 VOLUME, PAGE = "(o_orderkey % 900 + 1)", "(o_orderkey % 1500 + 1)"
 REPORTERS = ("U.S.", "F.2d", "F.3d", "F.Supp.2d", "P.2d", "N.E.2d")
@@ -250,7 +256,6 @@ def string_citations(spark, sf_dir):
 
 
 _HISTORY = f"concat({FULL}, CASE o_orderstatus WHEN 'F' THEN ', aff''d, ' WHEN 'O' THEN ', rev''d, ' ELSE ', vacated, ' END, {VOLUME} + 5, ' U.S. ', {PAGE} + 1, ' (', {YEAR}, ').')"
-_HISTORY_DUCK = _HISTORY
 
 
 @query("history_links", "SELECT o_orderkey AS doc_id, CASE o_orderstatus WHEN 'F' THEN 'affirmed' WHEN 'O' THEN 'reversed' ELSE 'vacated' END AS history_signal, CAST(0 AS INTEGER) AS history_of FROM orders")
@@ -283,12 +288,12 @@ def pincite_inheritance(spark, sf_dir):
 
 @query("case_groups", f"SELECT o_orderkey AS doc_id, concat({VOLUME}, '-', {REPORTER}, '-', {PAGE}) AS case_key, CAST(5 AS BIGINT) AS mentions, CAST(1 AS BIGINT) AS full_mentions, CAST(4 AS BIGINT) AS short_mentions FROM orders")
 def case_groups(spark, sf_dir):
-    return c.case_groups(c.extract_citations(rendered(spark, sf_dir, _RESOLVE)))
+    return c.case_groups(stored(c.extract_citations(rendered(spark, sf_dir, _RESOLVE))))
 
 
 @query("graph_edges", "SELECT edge, count(*) AS edges FROM (SELECT 'resolves-to' AS edge FROM orders, (VALUES (1), (2), (3), (4)) t(k) UNION ALL SELECT 'pincite-inherit' FROM orders) GROUP BY edge")
 def graph_edges(spark, sf_dir):
-    return c.graph_edges(c.extract_citations(rendered(spark, sf_dir, _RESOLVE))).groupBy("edge").agg(F.count("*").alias("edges"))
+    return c.graph_edges(stored(c.extract_citations(rendered(spark, sf_dir, _RESOLVE)))).groupBy("edge").agg(F.count("*").alias("edges"))
 
 
 @query("paragraph_scope", "SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS resolved FROM orders")
@@ -337,7 +342,7 @@ def bluebook(spark, sf_dir):
 def source_offsets(spark, sf_dir):
     """Offsets point into the source, whatever cleaning removed before them."""
     text = f"concat('<p>In&#32;', {PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {CITE}, ' ', {PAREN}, '.</p>')"
-    return readers.projection(c.extract_citations(rendered(spark, sf_dir, text))).select("doc_id", F.col("start"), "key")
+    return readers.projection(stored(c.extract_citations(rendered(spark, sf_dir, text)))).select("doc_id", F.col("start"), "key")
 
 
 @query("false_positives", "SELECT o_orderkey AS doc_id, count(*) AS cites FROM orders, (VALUES (0)) t(k) WHERE o_orderkey % 2 = 1 GROUP BY 1")
