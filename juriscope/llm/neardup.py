@@ -6,7 +6,9 @@
    share a region; regions with one class are dropped. Rows are range-sorted by the tree's order, so
    those with the longest common prefixes are neighbours, and large regions are cut at deeper values
    (adaptive depth): no region needs to fit one task. Neighbours whose signatures agree enough are
-   candidates.
+   candidates. Where a region holds more rows than a window and the windows have not joined them all,
+   its rows are sorted again by further orders of their values, the more the larger the region is, so
+   that unrelated rows between two near copies do not keep these apart.
 3. Candidates are grouped by connected components, and within a group links are confirmed on the
    full sets through an inverted index, so classes that no tree put side by side are still compared.
    Groups too large for one task are linked block by block, then through the leaders of what is
@@ -35,6 +37,9 @@ NEIGHBOURS = 16
 #: Share of equal signature bytes from which neighbours are candidates: about four standard
 #: deviations of the estimate below a similarity of 0.75.
 LEAST_AGREEMENT = 0.56
+#: Chance that a pair of similarity 0.75 meets in none of a crowded region's further orders, where the
+#: other rows agree with them on half of the values; a pair shares a region in 13 of the 32 trees.
+MISSED = 1e-3
 #: Shingles of a candidate group that one task links; larger groups are linked in blocks.
 GROUP_SHINGLES = 3_000_000
 #: Candidate classes up to this count (16 bytes each) are broadcast to the scan of texts.
@@ -207,6 +212,37 @@ def _pairs(place: list[bytes], reps: np.ndarray, bits: np.ndarray) -> tuple[list
                 if (flat == label).all():
                     break
                 label = flat
+    a, b = _further_orders(region, reps, bits, label, least)
+    return a_out + a, b_out + b
+
+
+def _further_orders(region: np.ndarray, reps: np.ndarray, bits: np.ndarray, label: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """Candidate pairs between the labels that are left in regions larger than a window; merges them in label."""
+    a_out, b_out = [], []
+    edges = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])) if len(reps) else np.empty(0, np.int64)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = label[lo:hi]
+        if hi - lo <= NEIGHBOURS + 1 or (own == own[0]).all():
+            continue
+        meet = 0.75 ** np.log2((hi - lo) / NEIGHBOURS)
+        rng = np.random.default_rng(hi - lo)
+        for _ in range(int(np.ceil(np.log(MISSED) / np.log1p(-meet)))):
+            key = np.ascontiguousarray(bits[lo:hi, rng.permutation(VALUES)[:16]]).view(">u8")
+            order = lo + np.lexsort((key[:, 1], key[:, 0]))
+            for w in range(1, NEIGHBOURS + 1):
+                x, y = order[w:], order[:-w]
+                near = np.flatnonzero((label[x] != label[y]) & (reps[x] != reps[y]))
+                near = near[(bits[x[near]] == bits[y[near]]).sum(axis=1) >= least]
+                for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    p, q = _root(label, i), _root(label, j)
+                    if p != q:
+                        label[max(p, q)] = min(p, q)
+                        a_out.append(int(reps[i]))
+                        b_out.append(int(reps[j]))
+                while len(near) and (label[own] != own).any():
+                    label[lo:hi] = label[own]
+            if (own == own[0]).all():
+                break
     return a_out, b_out
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from juriscope.llm import contamination, neardup, secrets, substrings, topk
+from juriscope.llm import components, contamination, neardup, secrets, substrings, topk
 
 from .conftest import passage
 
@@ -159,6 +159,33 @@ def test_near_duplicates(spark, odd_rows, limit, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(plain_components(rows), key=str)
 
 
+def test_crowded_region():
+    """Near copies far apart among unrelated rows of one region are candidates nevertheless."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, neardup.VALUES, np.uint8)
+    bits = np.where(rng.random((1500, neardup.VALUES)) < 0.6, base, rng.integers(0, 256, (1500, neardup.VALUES), np.uint8))
+    bits = np.vstack([bits, np.where(rng.random((40, neardup.VALUES)) < 0.78, bits[:40], rng.integers(0, 256, (40, neardup.VALUES), np.uint8))]).astype(np.uint8)
+    rows = rng.permutation(len(bits))
+    places = [bytes(8) + bytes(int(x) for x in rng.integers(0, 256, 20)) for _ in rows]
+    a, b = neardup._pairs(sorted(places), rows.astype(np.int64), bits[rows])
+    union = components.Union()
+    for x, y in zip(a, b, strict=True):
+        union.join(x, y)
+    agree = (bits[1500:] == bits[:40]).mean(axis=1) >= neardup.LEAST_AGREEMENT
+    assert agree.sum() > 30 and all(union.find(k) == union.find(1500 + k) for k in np.flatnonzero(agree).tolist())
+    assert len({union.find(k) for k in range(1500)}) > 1000
+
+
+def test_components_with_hubs(spark):
+    """Stars larger than a task's share, a chain, a pair, repeated edges and loops."""
+    edges = [(0, k) for k in range(1, 400)] + [(k, 999) for k in range(390, 700)] + [(k, k + 1) for k in range(2000, 2040)] + [(9000, 8000)] * 3 + [(5, 5)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    union = components.Union()
+    for x, y in edges:
+        union.join(x, y)
+    assert got == {x: union.find(x) for e in edges for x in e}
+
+
 def test_keep_one(spark, odd_docs, odd_rows, no_docs):
     kept = neardup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
