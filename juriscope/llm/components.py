@@ -1,8 +1,8 @@
 """Connected components of a table of edges, by alternating large-star and small-star steps.
 
 No links reach the driver. Every round is written to the shared folder, so a lost executor costs
-one round at most; minima are combined before the shuffle and the joins back are plain equi-joins
-that adaptive execution may split where a node has very many neighbours.
+one round at most; minima are combined before the shuffle. A node with more neighbours than a task's
+share of all edges takes its minimum by broadcast, so its edges never meet in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import forget, materialise
@@ -57,18 +57,34 @@ def _sum(edges: DataFrame):
     return row["n"], row["s"]
 
 
+def _beside_minimum(rows: DataFrame, key: str, value: str, least: Column, share: int) -> DataFrame:
+    """rows with m, the aggregate least over the rows of their key.
+
+    At most count(rows) / share keys have more than share rows each; only those are broadcast, and
+    their rows stay where they are. The rows of all other keys are joined by a shuffle.
+    """
+    each = rows.groupBy(key).agg(least.alias("m"), F.count("*").alias("n"))
+    hubs = each.filter(F.col("n") > share).select(F.col(key).alias("hub"), F.col("m").alias("hub_m"))
+    told = rows.join(F.broadcast(hubs), F.col(key) == F.col("hub"), "left")
+    hot = told.filter("hub is not null").select(key, value, F.col("hub_m").alias("m"))
+    rest = told.filter("hub is null").select(key, value)
+    return rest.join(each.filter(F.col("n") <= share).select(key, "m"), key).select(key, value, "m").unionByName(hot)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for every node of an edge; edges has bigint a and b."""
     known = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = materialise(known.mapInArrow(_local, "a bigint, b bigint").distinct(), "edges")
     mark = _sum(now)
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while mark[0]:
+        share = max(64, mark[0] // tasks)  # hubs: at most two for each task
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        beside = _beside_minimum(both, "u", "v", F.least(F.col("u"), F.min("v")), share)
+        large = beside.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, "large")
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        paired = large.join(lowest, "a")
+        paired = _beside_minimum(large, "a", "b", F.min("b"), share)
         small = paired.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
         small = materialise(small, "small")
         after = _sum(small)
