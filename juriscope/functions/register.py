@@ -43,11 +43,19 @@ def content_hash(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else scalars.content_hash(x))
 
 
+@F.pandas_udf(T.StringType())
+def clean_text(text: pd.Series) -> pd.Series:
+    from ..operators.cleaning import clean_text as clean
+
+    return text.map(lambda x: None if x is None else clean(x).text)
+
+
 def register(spark: SparkSession) -> None:
-    """parse_pincite, parse_date, normalize_party, normalize_court, content_hash; extract_citations for LATERAL."""
+    """parse_pincite, parse_date, normalize_party, normalize_court, content_hash, clean_text; extract_citations and tokenize for LATERAL."""
     from ..operators.citations import CITATION
-    from .table import ExtractCitations
+    from .table import TOKEN, ExtractCitations, Tokenize
 
-    for name, udf in (("parse_pincite", parse_pincite), ("parse_date", parse_date), ("normalize_party", normalize_party), ("normalize_court", normalize_court), ("content_hash", content_hash)):
-        spark.udf.register(name, udf)
+    for udf in (parse_pincite, parse_date, normalize_party, normalize_court, content_hash, clean_text):
+        spark.udf.register(udf.__name__, udf)
     spark.udtf.register("extract_citations", F.udtf(ExtractCitations, returnType=CITATION))
+    spark.udtf.register("tokenize", F.udtf(Tokenize, returnType=TOKEN))

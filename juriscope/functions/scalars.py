@@ -63,11 +63,10 @@ def parse_pincite(text: str | None) -> dict | None:
 
 
 def normalize_court(court: str | None) -> str | None:
-    """No space after dots inside, a period at the end."""
-    if not court:
-        return None
-    out = re.sub(r"\.\s+(?=[A-Z])", ".", court.strip())
-    return out if out.endswith(".") or not re.search(r"[A-Za-z]\Z", out) or "." not in out else out + "."
+    """No space between a dot and the letter after it; abbreviations and numbered courts end with a period; blank is None."""
+    found = re.sub(r"\.\s+(?=[A-Za-z])", ".", (court or "").strip())
+    open_ended = found[-1:].isascii() and found[-1:].isalpha() and ("." in found or re.match(r"\d+\w*\s+[A-Za-z]", found))
+    return found + "." if open_ended else found or None
 
 
 _SUFFIX = re.compile(r",?\s+(?:inc|corp|co|ltd|llc|llp|lp|l\.l\.c|p\.c|n\.a|company|corporation|incorporated|limited)\.?\Z")

@@ -1,4 +1,4 @@
-"""The table function extract_citations(text)."""
+"""The table functions extract_citations(text) and tokenize(text)."""
 
 from __future__ import annotations
 
@@ -11,3 +11,17 @@ class ExtractCitations:
         for c in extract(text)[1]:
             row = row_of(c)
             yield tuple(row.get(n) for n in FIELDS.names)
+
+
+TOKEN = "token string, start int, end int, type string, pattern_id string"
+
+
+class Tokenize:
+    """Candidates of the pattern scan over cleaned text, before parsing; overlapping ones resolved."""
+
+    def eval(self, text: str):
+        from ..operators.cleaning import clean_text
+        from ..operators.documents import dedup, scan
+
+        for t in dedup(scan(clean_text(text).text)):
+            yield t["text"], t["start"], t["end"], t["type"], t["pattern_id"]

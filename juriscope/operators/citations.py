@@ -132,12 +132,15 @@ def footnote_zones(docs: DataFrame) -> DataFrame:
     return per_document(docs, lambda source, text, cites: zones.footnotes(source), "start int, end int, number int", Options(resolve=False))
 
 
-def annotated(docs: DataFrame, before: str = "<cite>", after: str = "</cite>", options: Options = Options()) -> DataFrame:
+def annotated(docs: DataFrame, before: str = "<cite>", after: str = "</cite>", options: Options = Options(), callback=None, escape: bool = True, clean: bool = False) -> DataFrame:
+    """doc_id, annotated, skipped (cite_idx), moved (places before and after); clean: marks in the cleaned text, not in the source."""
+    span = ("start", "end") if clean else ("source_start", "source_end")
+
     def one(source, text, cites):
-        marked, skipped = zones.annotate(source, cites, before, after)
-        return [{"annotated": marked, "skipped": skipped}]
+        marked, skipped, moved = zones.annotate(text if clean else source, cites, before, after, callback, escape, span)
+        return [{"annotated": marked, "skipped": skipped, "moved": moved}]
 
-    return per_document(docs, one, "annotated string, skipped array<int>", options)
+    return per_document(docs, one, "annotated string, skipped array<int>, moved array<struct<cite_idx:int,start:int,end:int,new_start:int,new_end:int>>", options)
 
 
 def contexts(docs: DataFrame, unit: str = "sentence", most: int | None = None, options: Options = Options()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 _TAG_NOTE = re.compile(r"<(footnote|fn)\b[^>]*>|<(\w+)\b[^>]*\b(?:class|id)\s*=\s*[\"'][^\"']*\b(?:footnote|fn)[^\"']*[\"'][^>]*>", re.I)
 _LABEL = re.compile(r"(?:label|id)\s*=\s*[\"']\D*(\d+)", re.I)
@@ -104,20 +105,50 @@ def prose(text: str, cites: list[dict]) -> list[dict]:
     return out
 
 
-def annotate(source: str, cites: list[dict], before: str = "<cite>", after: str = "</cite>") -> tuple[str, list[int]]:
-    """source with each citation wrapped; containers win, then higher confidence. Also the skipped citations."""
+# fixed values: characters that annotation escapes in quoted text
+_ESCAPES = str.maketrans({"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;", "'": "&#39;", "/": "&#x2F;"})
+_TAG = re.compile(r"<(?=[A-Za-z!/])[^>]*>?")
+#: Characters on either side of a citation that a callback sees.
+_SURROUNDING = 30
+
+
+def _outside_tags(a: int, b: int, starts: list[int], ends: list[int]) -> tuple[int, int] | None:
+    """The span widened so that no tag is split; None where one tag holds all of it."""
+    i, j = bisect_right(starts, a - 1) - 1, bisect_right(starts, b - 1) - 1
+    in_a, in_b = i >= 0 and a < ends[i], j >= 0 and b < ends[j]
+    if in_a and in_b and i == j or a >= b:
+        return None
+    return starts[i] if in_a else a, ends[j] if in_b else b
+
+
+def annotate(text: str, cites: list[dict], before: str = "<cite>", after: str = "</cite>", callback=None, escape: bool = True, span: tuple[str, str] = ("source_start", "source_end")) -> tuple[str, list[int], list[dict]]:
+    """text with each citation wrapped; containers win, then higher confidence.
+
+    callback(citation, surrounding text) replaces the citation where it is given; otherwise the
+    citation stands, escaped for HTML, between before and after. No tag is split: spans widen to
+    whole tags, and a citation inside one tag is skipped. span names the fields of the position.
+    Also the skipped citations, and where each annotated one was and is (cite_idx, start, end, new_start, new_end).
+    """
+    tags = [m.span() for m in _TAG.finditer(text)]
+    starts, ends = [t[0] for t in tags], [t[1] for t in tags]
     kept, skipped = [], []
-    for c in sorted(cites, key=lambda c: (c["source_start"], -c["source_end"])):
-        if kept and c["source_start"] < kept[-1]["source_end"]:
-            if c["source_end"] > kept[-1]["source_end"] and c["confidence"] > kept[-1]["confidence"]:
-                skipped.append(kept.pop()["cite_idx"])
+    spans = [(_outside_tags(c[span[0]], c[span[1]], starts, ends), c) for c in cites]
+    skipped += [c["cite_idx"] for s, c in spans if s is None]
+    for s, c in sorted(((s, c) for s, c in spans if s is not None), key=lambda x: (x[0][0], -x[0][1])):
+        if kept and s[0] < kept[-1][0][1]:
+            if s[1] > kept[-1][0][1] and c["confidence"] > kept[-1][1]["confidence"]:
+                skipped.append(kept.pop()[1]["cite_idx"])
             else:
                 skipped.append(c["cite_idx"])
                 continue
-        kept.append(c)
-    out, at = [], 0
-    for c in kept:
-        a, b = c["source_start"], c["source_end"]
-        out += [source[at:a], before, source[a:b], after]
+        kept.append((s, c))
+    out, moved, at, length = [], [], 0, 0
+    for (a, b), c in kept:
+        quoted = text[a:b]
+        mark = callback(c, text[max(0, a - _SURROUNDING) : b + _SURROUNDING]) if callback else before + (quoted.translate(_ESCAPES) if escape else quoted) + after
+        out += [text[at:a], mark]
+        length += a - at
+        moved.append({"cite_idx": c["cite_idx"], "start": a, "end": b, "new_start": length, "new_end": length + len(mark)})
+        length += len(mark)
         at = b
-    return "".join(out) + source[at:], sorted(skipped)
+    return "".join(out) + text[at:], sorted(skipped), moved

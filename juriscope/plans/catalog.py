@@ -333,6 +333,13 @@ def annotate(spark, sf_dir):
     return c.annotated(rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '.')")).select("doc_id", "annotated")
 
 
+@query("annotate_callback", f"SELECT o_orderkey AS doc_id, concat('The court decided ', {PLAINTIFF}, ' v. ', {DEFENDANT}, ', [case ', {CITE}, '] ', {PAREN}, '.') AS annotated, CAST(18 + length({PLAINTIFF}) + 4 + length({DEFENDANT}) + 2 AS INTEGER) AS new_start FROM orders")
+def annotate_callback(spark, sf_dir):
+    docs = rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '.')")
+    marked = c.annotated(docs, callback=lambda cite, around: f"[{cite['type']} {cite['matched_text']}]")
+    return marked.select("doc_id", "annotated", F.col("moved")[0]["new_start"].alias("new_start"))
+
+
 @query("bluebook", f"SELECT o_orderkey AS doc_id, {FULL} AS bluebook, {CITE} AS reporter_key FROM orders")
 def bluebook(spark, sf_dir):
     return cases(spark, sf_dir).select("doc_id", "bluebook", "reporter_key")
@@ -443,6 +450,25 @@ def fn_normalize_party(spark, sf_dir):
     return rows.select(F.col("c_custkey").alias("doc_id"), register.normalize_party(F.expr("concat('The Acme ', c_custkey, ', Inc., et al.')")).alias("party"))
 
 
+@query("fn_normalize_court", "SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'D.Mass.' WHEN 1 THEN '9th Cir.' WHEN 2 THEN 'scotus' END AS court FROM customer")
+def fn_normalize_court(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("doc_id"), register.normalize_court(F.expr("CASE c_custkey % 4 WHEN 0 THEN 'D. Mass' WHEN 1 THEN ' 9th Cir' WHEN 2 THEN 'scotus' ELSE ' ' END")).alias("court"))
+
+
+@query("fn_tokenize", f"SELECT o_orderkey AS doc_id, {CITE} AS token, 'case' AS type FROM orders")
+def fn_tokenize(spark, sf_dir):
+    register.register(spark)
+    rendered(spark, sf_dir, f"concat('The court decided ', {CITE}, '.')").createOrReplaceTempView("rendered_tokens")
+    return spark.sql("SELECT doc_id, x.token, x.type FROM rendered_tokens, LATERAL tokenize(text) x")
+
+
+@query("fn_clean_text", "SELECT p_partkey AS doc_id, concat('page ', p_partkey, ' \"of\" ', p_size, '-', p_partkey) AS clean FROM part")
+def fn_clean_text(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("doc_id"), register.clean_text(F.expr("concat('page   ', p_partkey, ' \u201cof\u201d ', p_size, '\u2013', p_partkey)")).alias("clean"))
+
+
 @query("fn_content_hash")
 def fn_content_hash(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")

@@ -135,7 +135,7 @@ def test_zones():
     assert zones.attribute_quotes(text, cites(text))[0]["kind"] == "inline"
     assert zones.footnotes("a<footnote>1 x</footnote>b")[0]["number"] == 1
     assert [z["number"] for z in zones.footnotes("text " * 20 + "\n__________\n1. one\n2. two\n")] == [1, 2]
-    marked, skipped = zones.annotate(text, cites(text), "[", "]")
+    marked, skipped, moved = zones.annotate(text, cites(text), "[", "]")
     assert "[5 F.3d 1]" in marked and skipped == []
     assert zones.prose(text, cites(text))[0]["start"] == 0
 
@@ -148,3 +148,16 @@ def test_scalars():
     assert s.normalize_party("The Acme Co., Inc., et al.") == "acme" and s.levenshtein("kitten", "sitting") == 3
     assert s.roman("XIV") == 14 and s.to_roman(14) == "XIV" and s.content_hash("a") == s.content_hash("a") != s.content_hash("b")
     assert s.bluebook(cites("Adams v. Baker, 500 F.2d 123 (9th Cir. 2020)")[0]) == "Adams v. Baker, 500 F.2d 123 (9th Cir. 2020)"
+
+
+def test_annotation_keeps_tags_whole():
+    one = {"cite_idx": 0, "confidence": 0.9, "source_start": 2, "source_end": 9}
+    text = 'a <b class="x">5 U.S. 1</b> & c'
+    marked, skipped, moved = zones.annotate(text, [one | {"source_start": 15, "source_end": 25}], "{", "}", escape=False)
+    assert marked == 'a <b class="x">{5 U.S. 1</b>} & c' and not skipped
+    assert moved == [{"cite_idx": 0, "start": 15, "end": 27, "new_start": 15, "new_end": 29}]
+    assert zones.annotate(text, [one | {"source_start": 5, "source_end": 10}]) == (text, [0], [])
+    assert zones.annotate("x < 5 & 6", [one | {"source_start": 2, "source_end": 7}])[0] == "x <cite>&lt; 5 &amp;</cite> 6"
+    seen = []
+    assert zones.annotate("see 5 U.S. 1.", [one | {"source_start": 4, "source_end": 12}], callback=lambda c, around: seen.append(around) or "#")[0] == "see #."
+    assert seen == ["see 5 U.S. 1."]
