@@ -9,7 +9,9 @@ from ..functions.scalars import levenshtein, normalize_party
 from .zones import depths, footnotes, paragraphs
 
 #: A caption in running text, from which an unmatched short form takes its name.
-_PROSE_CAPTION = re.compile(r"\b([A-Z][\w.'&-]*(?:\s+(?:of\s+|the\s+|&\s+)*[A-Z][\w.'&-]*)*)\s+vs?\.\s+([A-Z][\w'&-]*(?:\s+(?:of\s+|the\s+|&\s+)*[A-Z][\w'&-]*)*)")
+_SIDE = r"[A-Z][\w.'&/-]*(?:\s+(?:of\s+|the\s+|&\s+)*[A-Z][\w.'&/-]*)*"
+_PROSE_CAPTION = re.compile(rf"\b({_SIDE})\s+vs?\.\s+({_SIDE})")
+_LEADING_SIGNAL = re.compile(r"(?:In(?!\s+re\b)|See(?:\s+also)?|Compare|But(?:\s+see)?|Cf\.?|Also)\s+", re.I)
 _SHORT = ("id", "supra", "shortFormCase")
 _FAMILY = {"case": "case", "docket": "case", "neutral": "case", "statute": "statute", "regulation": "statute", "constitutional": "statute"}
 
@@ -27,6 +29,15 @@ def _authority(c: dict) -> str:
     return c.get("group_id") or f"{c.get('volume')}-{c.get('reporter')}-{c.get('page')}"
 
 
+def _prose_captions(text: str, c: dict) -> list[tuple[str, str]]:
+    """Plaintiff and defendant of the captions before a short form; only those that have its party, where it names one."""
+    sides = [(m[1][s.end() :] if (s := _LEADING_SIGNAL.match(m[1])) else m[1], m[2]) for m in _PROSE_CAPTION.finditer(text, max(0, c["start"] - 400), c["start"])]
+    party = normalize_party(c.get("party_name"))
+    if not party:
+        return sides
+    return [s for s in sides if any(x and (x in party or party in x) for x in map(normalize_party, s))]
+
+
 def resolve(cites: list[dict], text: str, source: str, options) -> None:
     """Adds ``resolution`` to every short form: resolved_to (cite_idx), confidence, failure, warnings."""
     depth = depths(text, [c["start"] for c in cites])
@@ -126,9 +137,10 @@ def resolve(cites: list[dict], text: str, source: str, options) -> None:
                 found, confidence = fits[-1], 0.95
             else:
                 failure = "No full citation with this volume and reporter"
-                prose = list(_PROSE_CAPTION.finditer(text, max(0, c["start"] - 400), c["start"]))
+                prose = _prose_captions(text, c)
                 if prose:
-                    c["case_name"], c["plaintiff"], c["defendant"] = prose[-1][0], prose[-1][1], prose[-1][2]
+                    c["plaintiff"], c["defendant"] = prose[-1]
+                    c["case_name"] = " v. ".join(prose[-1])
         target[k] = found
         c["resolution"] = {"resolved_to": cites[found]["cite_idx"] if found is not None else None, "confidence": confidence if found is not None else None, "failure_reason": failure, "warnings": warnings}
     _inherit_pincites(cites, target, depth, position)

@@ -420,6 +420,13 @@ def inferred_names(spark, sf_dir):
     return c.extract_citations(rows).filter("type = 'shortFormCase'").select("doc_id", "plaintiff", "defendant")
 
 
+@query("inferred_names_all", f"SELECT o_orderkey AS doc_id, concat({PLAINTIFF}, ' v. ', {DEFENDANT}) AS case_name, {PLAINTIFF} AS plaintiff, {DEFENDANT} AS defendant FROM orders")
+def inferred_names_all(spark, sf_dir):
+    """The same over all orders, also those with abbreviated parties; where the short form names its party, a nearer caption is of others."""
+    text = f"concat('We discussed this in ', {PLAINTIFF}, ' v. ', {DEFENDANT}, ' at length', CASE {YEAR} % 2 WHEN 0 THEN concat(' and not in Roe v. Doe before it. ', {PLAINTIFF}, ', ') ELSE ', see ' END, {VOLUME}, ' F.2d at ', {PAGE}, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).filter("type = 'shortFormCase'").select("doc_id", "case_name", "plaintiff", "defendant")
+
+
 @query("context_sentence", f"SELECT o_orderkey AS doc_id, concat('The court decided ', {CITE}, ' here.') AS context FROM orders")
 def context_sentence(spark, sf_dir):
     return c.contexts(rendered(spark, sf_dir, f"concat('Nothing was clear. The court decided ', {CITE}, ' here. Then it rose.')")).select("doc_id", "context")
