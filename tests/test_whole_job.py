@@ -3,6 +3,7 @@
 import pytest
 
 from juriscope.operators.documents import Options, extract
+from juriscope.plans import catalog
 
 
 def cites(text, **options):
@@ -21,3 +22,16 @@ def cites(text, **options):
 def test_captions_in_prose(text, plaintiff, defendant):
     c = cites(text)[-1]
     assert (c["type"], c.get("plaintiff"), c.get("defendant")) == ("shortFormCase", plaintiff, defendant)
+
+
+def table(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_entities_of_all_pages(spark, tmp_path):
+    """Pages of several lines and with any of the entities are read too."""
+    html = {1: "a\t\n b &sect;&para; c", 2: "x&mdash;y&ndash;z &apos;q&apos;", 3: "one  two  　three", 4: "p &amp; q “r” &lt;&gt;&quot;&nbsp;"}
+    sf_dir = table(spark, tmp_path, "pages", list(html.items()), "page_id long, html string")
+    got = {r.page_id: r.text for r in catalog.QUERIES["native_entities_all"](spark, sf_dir).collect()}
+    assert got == {1: "a b §¶ c", 2: "x—y-z 'q'", 3: "one two three", 4: 'p & q "r" <>" '}
