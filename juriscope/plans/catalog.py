@@ -110,6 +110,13 @@ def blank_pages(spark, sf_dir):
     return c.extract_citations(rendered(spark, sf_dir, text, where="o_custkey % 6 <> 0")).select("doc_id", "volume_num", "has_blank_page", "page")
 
 
+@query("blank_pages_all", f"SELECT o_orderkey AS doc_id, CAST({VOLUME} AS BIGINT) AS volume_num, {REPORTER} AS reporter, true AS has_blank_page, CAST(NULL AS BIGINT) AS page FROM orders")
+def blank_pages_all(spark, sf_dir):
+    """All six reporters, U.S. too."""
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' ', {REPORTER}, CASE WHEN o_orderkey % 2 = 0 THEN ' ___ ' ELSE ' --- ' END, {PAREN}, '.')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "volume_num", "reporter", "has_blank_page", "page")
+
+
 @query("court_inference", f"SELECT level, count(*) AS cites FROM (SELECT CASE {REPORTER} WHEN 'U.S.' THEN 'supreme' WHEN 'F.Supp.2d' THEN 'trial' WHEN 'P.2d' THEN 'unknown' WHEN 'N.E.2d' THEN 'unknown' ELSE 'appellate' END AS level FROM orders) GROUP BY level")
 def court_inference(spark, sf_dir):
     return cases(spark, sf_dir).groupBy(F.col("inferred_court.level").alias("level")).agg(F.count("*").alias("cites"))
@@ -127,6 +134,13 @@ def reporter_validation(spark, sf_dir):
     return c.validate(c.extract_citations(rendered(spark, sf_dir, text, where="o_custkey % 6 = 1"))).select("doc_id", F.round(F.col("validated") * 100).cast("int").alias("hundredths"))
 
 
+@query("reporter_validation_all", "SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 35 END AS INTEGER) AS hundredths FROM orders")
+def reporter_validation_all(spark, sf_dir):
+    """The same over all orders."""
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, CASE WHEN o_orderkey % 2 = 0 THEN ' F.2d ' ELSE ' Xyz. ' END, {PAGE}, ' (9th Cir. ', {YEAR}, ').')"
+    return c.validate(c.extract_citations(rendered(spark, sf_dir, text))).select("doc_id", F.round(F.col("validated") * 100).cast("int").alias("hundredths"))
+
+
 @query("dispositions", "SELECT o_orderkey AS doc_id, CASE o_orderkey % 2 WHEN 0 THEN 'en banc' ELSE 'per curiam' END AS disposition FROM orders")
 def dispositions(spark, sf_dir):
     text = f"concat({FULL}, CASE o_orderkey % 2 WHEN 0 THEN ' (en banc)' ELSE ' (per curiam)' END, '.')"

@@ -35,3 +35,11 @@ def test_entities_of_all_pages(spark, tmp_path):
     sf_dir = table(spark, tmp_path, "pages", list(html.items()), "page_id long, html string")
     got = {r.page_id: r.text for r in catalog.QUERIES["native_entities_all"](spark, sf_dir).collect()}
     assert got == {1: "a b §¶ c", 2: "x—y-z 'q'", 3: "one two three", 4: 'p & q "r" <>" '}
+
+
+@pytest.mark.parametrize("name", ["blank_pages_all", "reporter_validation_all"])
+def test_all_orders(spark, tmp_path, name):
+    """One row for each order, whatever its customer's remainder."""
+    rows = [(k, k + 5, "1995-01-02") for k in range(1, 25)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "date(d) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r.doc_id for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [k for k, _, _ in rows]
