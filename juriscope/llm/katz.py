@@ -36,6 +36,8 @@ from .shared import shared_dir
 #: Counts above this are not discounted.
 MOST_DISCOUNTED = 5
 ORDER = 2
+#: The order of the registered query.
+QUERY_ORDER = 3
 #: Fixed hashes of the start marker, the end token and the unknown word.
 START, END, UNKNOWN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995), np.uint64(0x2545F4914F6CDD1D)
 
@@ -418,4 +420,4 @@ def _shared_contexts(table: DataFrame) -> dict[int, list[float]]:
 
 
 def op1_katz(docs: DataFrame) -> DataFrame:
-    return score_texts(docs)
+    return score_texts(docs, order=QUERY_ORDER)

@@ -107,3 +107,13 @@ def test_frequent_contexts_in_pieces(spark, monkeypatch):
     for i, t in rows[:10]:
         seq = [START, *tokens(t)]
         assert abs(got[i] - sum(math.log10(plain.p(seq[j], [seq[j - 1]])) for j in range(1, len(seq)))) < 1e-6
+
+
+def test_query_uses_two_words_of_context(spark):
+    """The registered query is a model of order 3."""
+    rows = [(i, TEXTS[i % len(TEXTS)]) for i in range(60)]
+    plain = Plain([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    got = {r.doc_id: r.score for r in katz.op1_katz(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        seq = [START, START, *tokens(t)]
+        assert abs(got[i] - sum(math.log10(plain.p(seq[j], seq[j - 2 : j])) for j in range(2, len(seq)))) < 1e-6
