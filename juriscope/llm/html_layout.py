@@ -51,7 +51,7 @@ def build(page: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
-    at, lowered, end = 0, page.lower(), len(page)
+    at, end = 0, len(page)
 
     def close(names, stops) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -105,8 +105,8 @@ def build(page: str) -> Node:
             node = Node(tag, {a[0].lower(): _html.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(m["attrs"])})
             stack[-1].children.append(node)
             if tag in RAW:
-                stop = lowered.find(f"</{tag}", at)
-                stop = end if stop < 0 else stop
+                shut = re.compile(f"</{tag}", re.I | re.A).search(page, at)
+                stop = shut.start() if shut else end
                 body = page[at:stop]
                 node.children.append(_html.unescape(body) if tag in ("textarea", "title") else body)
                 at = stop
@@ -209,9 +209,30 @@ def _number(text: str, most: int, otherwise: int = 1) -> int:
     return min(int(text), most) if text.isascii() and text.isdigit() and 0 < len(text) < 9 and int(text) > 0 else otherwise
 
 
+def _spanned(rows: list[list], groups: set[int]) -> list[list]:
+    """Rows of (text, colspan) in which the columns of cells from rows above are empty cells; no cell reaches out of its row group."""
+    out, held = [], []  # held: first column, width, rows left
+    for i, row in enumerate(rows):
+        if i in groups:
+            held = []
+        line, column, at, new = [], 0, 0, []
+        for text, wide, high in row:
+            while at < len(held) and held[at][0] <= column:
+                line.append(("", held[at][1]))
+                column = max(column, held[at][0] + held[at][1])
+                at += 1
+            line.append((text, wide))
+            if high > 1:
+                new.append((column, wide, high - 1))
+            column += wide
+        out.append(line)
+        held = sorted([(c, n, k - 1) for c, n, k in held if k > 1] + new)
+    return out
+
+
 def render(root: Node) -> str:
     """Everything visible, as text."""
-    writers, tables, lists, pre = [Writer()], [], [], 0
+    writers, tables, groups, lists, pre = [Writer()], [], [], [], 0
     work: list = [(root, False)]
     while work:
         item, leaving = work.pop()
@@ -242,6 +263,9 @@ def render(root: Node) -> str:
                 w.block(2 if tag in SPACED and not nested else 1)
             if tag == "table":
                 tables.append([])
+                groups.append(set())
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                groups[-1].add(len(tables[-1]))
             elif tag in ("ul", "ol", "menu"):
                 lists.append([tag, _number(item.attrs.get("start", ""), 10**8), w.indent])
             elif tag == "li":
@@ -264,10 +288,11 @@ def render(root: Node) -> str:
             text = " ".join(writers.pop().text().split())
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((text, _number(item.attrs.get("colspan", ""), 1000)))
+            high = item.attrs.get("rowspan", "").strip()
+            tables[-1][-1].append((text, _number(item.attrs.get("colspan", ""), 1000), 65534 if high == "0" else _number(high, 65534)))
             continue
         if tag == "table":
-            rows = [r for r in tables.pop() if any(t for t, _ in r)]
+            rows = [r for r in _spanned(tables.pop(), groups.pop()) if any(t for t, _ in r)]
             w.block(2)
             for line in _table(rows):
                 w.parts.append(line)

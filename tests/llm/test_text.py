@@ -87,3 +87,17 @@ def test_pipeline(spark, labelled, tmp_path):
     assert ids and not any(i is not None and i < 300 and i % 3 == 0 for i in ids)  # rejected texts are gone
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen.count()
+
+
+def test_rows_below_a_spanning_cell():
+    """A cell over several rows keeps its column in the rows below, up to the end of its row group."""
+    below = lambda page: [line.index("z") for line in extract(page).splitlines() if "z" in line]
+    spanning = "<table><tr><td rowspan=3>long one<td>y<tr><td>z<tr><td>z</table>"
+    assert below(spanning) == [below("<table><tr><td>long one<td>y<tr><td>u<td>z</table>")[0]] * 2
+    grouped = "<table><tbody><tr><td rowspan=0>long one<td>y<tbody><tr><td>z<td>w</table>"
+    assert below(grouped) == [0]
+
+
+def test_raw_end_after_growing_letters():
+    """Letters that lower-case to two characters do not move the end of a raw element."""
+    assert extract("\u0130" * 12 + "<SCRIPT>x</Script>seen <b>too</b>") == "\u0130" * 12 + "seen too"
