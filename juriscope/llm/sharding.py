@@ -3,8 +3,8 @@
 Every shard draws an exponential variate from hash(doc_id, shard) divided by its weight, and every
 inner node's draw is the smallest below it. The smallest of independent exponential draws is again
 one, with the summed weight, so at each level a node is taken with probability equal to its
-subtree's share of weight, and the descent follows the smallest draw through region, rack and
-shard. A change of one shard's weight changes no draw outside its own path: more weight (or a new
+subtree's share of weight. The nested least equals the flat least over all shards, so the tree
+reduces to flat weighted rendezvous hashing: every shard is drawn, regions and racks change no result. A change of one shard's weight changes no draw outside its own path: more weight (or a new
 shard) only pulls rows into that shard, less weight only pushes rows out of it.
 """
 
@@ -50,7 +50,7 @@ def _least(nodes: list[Column]) -> Column:
 
 
 def place(key: Column, tree: Tree) -> Column:
-    """The shard of a key: descend from the root to the child with the smallest draw."""
+    """The shard of a key: the smallest draw of all shards, taken node by node."""
     regions = []
     for racks in tree.paths().values():
         regions.append(_least([_least([_draw(key, s, tree.weight(s)) for s in shards]) for shards in racks.values()]))
