@@ -196,7 +196,7 @@ def case_groups(cites: DataFrame) -> DataFrame:
 
 
 def graph_edges(cites: DataFrame) -> DataFrame:
-    """doc_id, edge, from_idx, to_idx: the document's citation graph, without self-edges or repeats."""
+    """doc_id, edge, from_idx, to_idx: the document's citation graph but for antecedent edges, without self-edges or repeats."""
     base = cites.select("doc_id", "cite_idx", "group_id", "nested_in", "history_of", "pincite_inherited_from", "string_group_id", F.col("resolution.resolved_to").alias("to"))
 
     def edges(kind: str, target: str) -> DataFrame:
