@@ -50,12 +50,37 @@ def clean_text(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else clean(x).text)
 
 
+@F.pandas_udf(T.StringType())
+def find_named_code(state: pd.Series, name: pd.Series) -> pd.Series:
+    from ..operators.lexicon import find_named_code as find
+
+    return pd.Series([None if s is None or n is None else find(s, n) for s, n in zip(state, name, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.StructType().add("code", T.StringType()).add("jurisdiction", T.StringType()))
+def find_state_code(text: pd.Series) -> pd.DataFrame:
+    from ..operators.lexicon import find_state_code as find
+
+    return pd.DataFrame([(None, None) if x is None else find(x) for x in text], columns=["code", "jurisdiction"], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def normalize_reporter(text: pd.Series) -> pd.Series:
+    from ..operators.lexicon import find_reporter
+
+    return pd.Series([None if x is None or not find_reporter(x) else find_reporter(x)[0] for x in text], dtype=object)
+
+
 def register(spark: SparkSession) -> None:
-    """parse_pincite, parse_date, normalize_party, normalize_court, content_hash, clean_text; extract_citations and tokenize for LATERAL."""
+    """Scalars: parse_pincite, parse_date, normalize_party, normalize_court, normalize_reporter, content_hash, clean_text,
+    find_state_code, find_named_code. For LATERAL: extract_citations and tokenize, and one function for each type of
+    full citation (extract_case, extract_statute, ...)."""
     from ..operators.citations import CITATION
-    from .table import TOKEN, ExtractCitations, Tokenize
+    from .table import SINGLE, TOKEN, ExtractCitations, Tokenize, of_type
 
-    for udf in (parse_pincite, parse_date, normalize_party, normalize_court, content_hash, clean_text):
+    for udf in (parse_pincite, parse_date, normalize_party, normalize_court, normalize_reporter, content_hash, clean_text, find_state_code, find_named_code):
         spark.udf.register(udf.__name__, udf)
     spark.udtf.register("extract_citations", F.udtf(ExtractCitations, returnType=CITATION))
+    for name, kind in SINGLE.items():
+        spark.udtf.register(name, F.udtf(of_type(kind), returnType=CITATION))
     spark.udtf.register("tokenize", F.udtf(Tokenize, returnType=TOKEN))

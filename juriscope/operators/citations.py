@@ -7,18 +7,19 @@ relational: views below group, join and aggregate the exploded rows, always with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scalars
 from . import zones
+from .cleaning import CLEANERS
 from .documents import Options, extract
-from .patterns import TRIGGER
+from .patterns import GATE
 
 _STR, _INT, _DBL, _BOOL = pa.string(), pa.int32(), pa.float64(), pa.bool_()
 _SPAN = pa.struct([("start", _INT), ("end", _INT)])
@@ -29,14 +30,14 @@ FIELDS = pa.schema([
     ("cite_idx", _INT), ("id", _STR), ("type", _STR), ("pattern_id", _STR), ("matched_text", _STR), ("span", _SPAN), ("source_span", _SPAN), ("full_span", _SPAN), ("confidence", _DBL),
     ("volume", _STR), ("volume_num", pa.int64()), ("reporter", _STR), ("page", pa.int64()), ("has_blank_page", _BOOL), ("pincite", _INT), ("pincite_info", _PIN), ("more_pincites", pa.list_(_PIN)), ("pincite_inherited_from", _INT),
     ("court", _STR), ("normalized_court", _STR), ("inferred_court", pa.struct([("level", _STR), ("jurisdiction", _STR), ("state", _STR), ("confidence", _DBL)])), ("year", _INT), ("date", _DATE),
-    ("case_name", _STR), ("plaintiff", _STR), ("defendant", _STR), ("plaintiff_norm", _STR), ("defendant_norm", _STR), ("procedural_prefix", _STR), ("disposition", _STR), ("unpublished", _BOOL),
+    ("case_name", _STR), ("plaintiff", _STR), ("defendant", _STR), ("plaintiff_norm", _STR), ("defendant_norm", _STR), ("procedural_prefix", _STR), ("disposition", _STR), ("justices", pa.list_(_STR)), ("scope", _STR), ("normalized_reporter", _STR), ("unpublished", _BOOL),
     ("nominative_volume", _INT), ("nominative_reporter", _STR), ("title", _INT), ("code", _STR), ("section", _STR), ("section_end", _STR), ("subsection", _STR), ("subsection_end", _STR), ("jurisdiction", _STR),
     ("chapter", _STR), ("publisher", _STR), ("edition_label", _STR), ("has_et_seq", _BOOL), ("article", _INT), ("amendment", _INT), ("clause", _INT), ("preamble", _BOOL), ("rule_set", _STR), ("rule", _STR),
     ("journal", _STR), ("series", _STR), ("number", _STR), ("database", _STR), ("congress", _INT), ("edition", _STR), ("subject", _STR), ("work", _STR), ("party_name", _STR), ("party_norm", _STR),
     ("group_id", _STR), ("parallel_secondary", _BOOL), ("parallel_primary", _INT), ("parentheticals", pa.list_(pa.struct([("text", _STR), ("type", _STR), ("start", _INT), ("end", _INT), ("children", pa.list_(_INT))]))),
     ("nested_in", _INT), ("history", pa.list_(pa.struct([("signal", _STR), ("raw_signal", _STR), ("ord", _INT)]))), ("history_of", _INT), ("history_signal", _STR), ("signal", _STR),
-    ("string_group_id", _STR), ("string_group_index", _INT), ("string_group_size", _INT), ("footnote_number", _INT), ("generated", _BOOL), ("warnings", pa.list_(_STR)),
-    ("resolution", pa.struct([("resolved_to", _INT), ("confidence", _DBL), ("failure_reason", _STR), ("warnings", pa.list_(_STR))])), ("bluebook", _STR), ("reporter_key", _STR), ("content_hash", _STR),
+    ("string_group_id", _STR), ("string_group_index", _INT), ("string_group_size", _INT), ("footnote_number", _INT), ("generated", _BOOL), ("first_of_reporter", _BOOL), ("warnings", pa.list_(_STR)),
+    ("resolution", pa.struct([("resolved_to", _INT), ("confidence", _DBL), ("failure_reason", _STR), ("warnings", pa.list_(_STR)), ("antecedent", _INT)])), ("bluebook", _STR), ("reporter_key", _STR), ("content_hash", _STR),
 ])
 
 
@@ -49,17 +50,25 @@ def _spark_type(t: pa.DataType) -> T.DataType:
 
 
 CITATION = T.StructType([T.StructField(f.name, _spark_type(f.type)) for f in FIELDS])
-_NAMES = set(FIELDS.names)
+
+
+def with_derived(c: dict, names: list[str] = FIELDS.names) -> dict:
+    """A citation with the fields that are derived from others; keys that are no fields stay and are ignored."""
+    for name in ("span", "source_span", "full_span"):
+        c[name] = dict(zip(("start", "end"), c["full_span"] if name == "full_span" else (c["start"], c["end"]) if name == "span" else (c["source_start"], c["source_end"]), strict=True))
+    if "bluebook" in names:
+        c["bluebook"] = scalars.bluebook(c)
+    if "reporter_key" in names:
+        c["reporter_key"] = scalars.reporter_key(c)
+    if "content_hash" in names:
+        c["content_hash"] = scalars.content_hash(c["matched_text"])
+    return c
 
 
 def row_of(c: dict) -> dict:
     """A citation as a row of FIELDS."""
-    row = {k: v for k, v in c.items() if k in _NAMES}
-    row["span"] = {"start": c["start"], "end": c["end"]}
-    row["source_span"] = {"start": c["source_start"], "end": c["source_end"]}
-    row["full_span"] = {"start": c["full_span"][0], "end": c["full_span"][1]}
-    row["bluebook"], row["reporter_key"], row["content_hash"] = scalars.bluebook(c), scalars.reporter_key(c), scalars.content_hash(c["matched_text"])
-    return row
+    c = with_derived(dict(c))
+    return {k: c[k] for k in FIELDS.names if k in c}
 
 
 #: Texts handed to the engine at once; documents are far larger than other rows.
@@ -78,24 +87,41 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism * 2) if size < _SMALL_BYTES else docs
 
 
-def extract_citations(docs: DataFrame, options: Options = Options(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and the fields of a citation, one row each, for all documents; the rows of a document stay together.
+def may_cite(text: Column | str, options: Options = Options()) -> Column:
+    """False only where a text holds no citation, null and empty ones among them; a JVM expression.
 
-    Null and empty texts give no rows; a text of any length is read whole.
+    With other cleaners or patterns than the default ones nothing is known, so any text may.
     """
-    out = pa.schema([(key, pa.string()), *FIELDS])
+    column = F.col(text) if isinstance(text, str) else text
+    if options.patterns is not None or options.cleaners is not CLEANERS or options.more_cleaners:
+        return F.coalesce(F.length(column) > 0, F.lit(False))
+    return F.coalesce(F.regexp_like(column, F.lit(GATE)), F.lit(False))
+
+
+def extract_citations(docs: DataFrame, options: Options = Options(), text: str = "text", key: str = "doc_id", fields: Iterable[str] | None = None) -> DataFrame:
+    """key and the fields of a citation (all of them, or those named), one row each, for all documents.
+
+    The rows of a document stay together. Null and empty texts give no rows; a text of any length is read whole.
+    """
+    chosen_fields = FIELDS if fields is None else pa.schema([FIELDS.field(f) for f in fields])
+    out = pa.schema([(key, pa.string()), *chosen_fields])
+    names = chosen_fields.names
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                rows = [{key: k} | row_of(c) for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for c in extract(x, options)[1]]
+                keys, rows = [], []
+                for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for c in extract(x, options)[1]:
+                        keys.append(k)
+                        rows.append(with_derived(c, names))
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([r.get(f.name) for r in rows], f.type) for f in chosen_fields)], schema=out)
 
-    schema = T.StructType([T.StructField(key, T.StringType()), *CITATION.fields])
-    chosen = docs.select(F.col(key).cast("string").alias(key), F.col(text).alias("text")).filter(F.regexp_like("text", F.lit(TRIGGER)))
+    schema = T.StructType([T.StructField(key, T.StringType()), *(T.StructField(f.name, _spark_type(f.type)) for f in chosen_fields)])
+    chosen = docs.select(F.col(key).cast("string").alias(key), F.col(text).alias("text")).filter(may_cite("text", options))
     rows = spread(chosen).mapInArrow(run, schema)
     return rows.withColumn(key, F.col(key).cast(kind))
 
@@ -196,13 +222,14 @@ def case_groups(cites: DataFrame) -> DataFrame:
 
 
 def graph_edges(cites: DataFrame) -> DataFrame:
-    """doc_id, edge, from_idx, to_idx: the document's citation graph but for antecedent edges, without self-edges or repeats."""
-    base = cites.select("doc_id", "cite_idx", "group_id", "nested_in", "history_of", "pincite_inherited_from", "string_group_id", F.col("resolution.resolved_to").alias("to"))
+    """doc_id, edge, from_idx, to_idx: the document's citation graph, without self-edges or repeats;
+    antecedent: the citation just before a short form in its scope, by position."""
+    base = cites.select("doc_id", "cite_idx", "group_id", "nested_in", "history_of", "pincite_inherited_from", "string_group_id", F.col("resolution.resolved_to").alias("to"), F.col("resolution.antecedent").alias("before"))
 
     def edges(kind: str, target: str) -> DataFrame:
         return base.filter(f"{target} is not null").select("doc_id", F.lit(kind).alias("edge"), F.col("cite_idx").alias("from_idx"), F.col(target).alias("to_idx"))
 
-    out = edges("resolves-to", "to").unionByName(edges("in-parenthetical-of", "nested_in")).unionByName(edges("history-of", "history_of")).unionByName(edges("pincite-inherit", "pincite_inherited_from"))
+    out = edges("resolves-to", "to").unionByName(edges("antecedent", "before")).unionByName(edges("in-parenthetical-of", "nested_in")).unionByName(edges("history-of", "history_of")).unionByName(edges("pincite-inherit", "pincite_inherited_from"))
     grouped = base.filter("group_id is not null").select("doc_id", "group_id", "cite_idx")
     other = grouped.select("doc_id", "group_id", F.col("cite_idx").alias("to_idx"))
     pairs = grouped.join(other, ["doc_id", "group_id"]).filter("cite_idx < to_idx").select("doc_id", F.lit("parallel").alias("edge"), F.col("cite_idx").alias("from_idx"), "to_idx")
@@ -212,16 +239,22 @@ def graph_edges(cites: DataFrame) -> DataFrame:
 
 
 def reporter_summary(cites: DataFrame) -> DataFrame:
-    """reporter, cites, documents, first_year, last_year over the corpus; partial aggregation before the shuffle."""
-    return cites.filter("type = 'case'").groupBy("reporter").agg(F.count("*").alias("cites"), F.countDistinct("doc_id").alias("documents"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    """reporter, cites, documents (input rows that cite it), first_year, last_year over the corpus.
+
+    The first citation of a reporter in each document is marked where it is extracted, so documents are
+    counted before the shuffle and none of their keys travels.
+    """
+    return cites.filter("type = 'case'").groupBy("reporter").agg(F.count("*").alias("cites"), F.count_if("first_of_reporter").alias("documents"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
 def reporters(spark: SparkSession) -> DataFrame:
     """The reporter dimension: reporter, key (lower case, no spaces or dots), level, jurisdiction, state."""
-    from .parsers import KNOWN_REPORTERS, infer_court
+    from . import lexicon as lx
+    from .parsers import KNOWN_REPORTERS
 
-    rows = [(r, r.lower().replace(" ", "").replace(".", ""), *((infer_court(r) or {}).get(k) for k in ("level", "jurisdiction", "state"))) for r in KNOWN_REPORTERS]
-    return spark.createDataFrame(rows, "reporter string, key string, level string, court_jurisdiction string, state string")
+    rows = {lx.bare(r): (r, lx.bare(r), None, None, None) for r in KNOWN_REPORTERS}
+    rows |= {key: (printed, key, level or None, jurisdiction, state) for key, (printed, level, jurisdiction, state) in lx.reporter_table().items()}
+    return spark.createDataFrame(list(rows.values()), "reporter string, key string, level string, court_jurisdiction string, state string")
 
 
 def validate(cites: DataFrame, boost: float = 0.2, penalty: float = 0.3) -> DataFrame:
@@ -230,3 +263,37 @@ def validate(cites: DataFrame, boost: float = 0.2, penalty: float = 0.3) -> Data
     joined = cites.join(dim, F.col("reporter") == F.col("known"), "left")
     score = F.when(F.col("type") != "case", F.col("confidence")).when(F.col("known").isNotNull(), F.least(F.lit(1.0), F.col("confidence") + boost)).otherwise(F.greatest(F.lit(0.0), F.col("confidence") - penalty))
     return joined.withColumn("validated", F.round(score, 2)).drop("known")
+
+
+def find_reporters(rows: DataFrame, printed: str) -> DataFrame:
+    """rows with ``reporter``: the reporter that the printed form means, whatever its case and spacing; null if unknown.
+
+    The key is made in the JVM and the dimension, of fewer than 200 rows, is broadcast.
+    """
+    key = F.regexp_replace(F.lower(F.col(printed)), r"[.\s']", "")
+    fixed = F.regexp_replace(key, r"(?<=[23])(?:nd|rd|ds|cl)$", "d")
+    dim = F.broadcast(reporters(rows.sparkSession).select("reporter", "key"))
+    return rows.withColumn("key", fixed).join(dim, "key", "left").drop("key")
+
+
+def similar_names(names: DataFrame, edits: int) -> DataFrame:
+    """name, other, distance: all pairs of distinct names (name < other) within so many edits.
+
+    A longer name that is within ``edits`` of a shorter one holds one of the shorter's edits + 1 parts unchanged,
+    at most ``edits`` places away; names meet on those parts only, and the bounded distance decides. Null names take
+    no part; names shorter than edits + 1 have empty parts, which meet every name of nearly their length.
+    """
+    n = names.select("name").filter("name is not null").distinct().withColumn("size", F.length("name"))
+    parts = edits + 1
+    # part i of a name of length l starts at l * i / parts
+    at = lambda size, i: F.floor(size * i / parts).cast("int")
+    number = F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("part")
+    short = n.select(F.col("name").alias("short"), F.col("size").alias("length"), number)
+    start = at(F.col("length"), F.col("part"))
+    short = short.withColumn("piece", F.substring("short", start + 1, at(F.col("length"), F.col("part") + 1) - start))
+    long = n.select(F.col("name").alias("long"), "size", F.explode(F.sequence(F.greatest(F.col("size") - edits, F.lit(0)), F.col("size"))).alias("length")).select("*", number)
+    begin, width = at(F.col("length"), F.col("part")), at(F.col("length"), F.col("part") + 1) - at(F.col("length"), F.col("part"))
+    places = F.sequence(F.greatest(begin - edits, F.lit(0)), F.greatest(F.least(begin + edits, F.col("size") - width), F.greatest(begin - edits, F.lit(0))))
+    long = long.withColumn("piece", F.explode(F.array_distinct(F.transform(places, lambda k: F.substring(F.col("long"), k + 1, width)))))
+    met = short.join(long, ["length", "part", "piece"]).filter("short <> long").select(F.least("short", "long").alias("name"), F.greatest("short", "long").alias("other")).distinct()
+    return met.withColumn("distance", F.levenshtein("name", "other", edits)).filter("distance >= 0")

@@ -113,17 +113,31 @@ def strip_page_breaks(doc: Traced) -> None:
 
 
 def replace_spaces(doc: Traced) -> None:
-    doc.translate({ord(c): " " for c in SPACES})
+    if doc.text.isascii():  # str.replace is far quicker than a table
+        for c in "\t\n\r":
+            doc.text = doc.text.replace(c, " ")
+    else:
+        doc.translate({ord(c): " " for c in SPACES})
 
 
 def collapse_spaces(doc: Traced) -> None:
     doc.edit(re.compile(r"  +"), lambda m: " ")
 
 
+def normalize_whitespace(doc: Traced) -> None:
+    """Both steps in one: any white space becomes a blank, and runs of blanks one."""
+    replace_spaces(doc)
+    collapse_spaces(doc)
+
+
+# Marks, soft hyphens, fractions, the numero sign and square units, whose compatibility forms read as letters and digits.
+_NO_LETTERS = re.compile("[™®©℠\u00ad¼-¾⅐-⅞№㎀-㏿℀-⅏]")
+
+
 def normalize_unicode(doc: Traced) -> None:
     if doc.text.isascii():
         return
-    doc.edit(re.compile("[™®©℠\u00ad]"), lambda m: "")
+    doc.edit(_NO_LETTERS, lambda m: "")
     doc.edit(re.compile(r"[^\x00-\x7f]+"), lambda m: m[0] if all(c in "§¶–—‘’“”…′″†‡°" for c in m[0]) else unicodedata.normalize("NFKC", m[0]))
 
 
@@ -136,25 +150,33 @@ def normalize_dashes(doc: Traced) -> None:
 
 
 def fix_quotes(doc: Traced) -> None:
+    if doc.text.isascii():
+        return
     doc.translate({ord(c): '"' for c in "“”„"} | {ord(c): "'" for c in "‘’‚"})
 
 
 def normalize_typography(doc: Traced) -> None:
+    if doc.text.isascii():
+        return
     doc.translate({0x2032: "'", 0x2033: "'"})
     doc.edit(re.compile("…"), lambda m: "...")
     doc.edit(re.compile("[\u200b\u200c\u200d\u2060]"), lambda m: "")
 
 
+# Abbreviations that are printed with and without inner blanks.
 _SPACING = [
     (re.compile(r"\bU\.\s*S\.\s*C\."), "U.S.C."), (re.compile(r"\bC\.\s*F\.\s*R\."), "C.F.R."), (re.compile(r"\b([NS])\.\s+([EW])\."), r"\1.\2."),
     (re.compile(r"\bU\.\s+S\.(?=\s)"), "U.S."), (re.compile(r"\bS\.\s+Ct\."), "S.Ct."), (re.compile(r"\bL\.\s+Ed\."), "L.Ed."), (re.compile(r"\bF\.\s+Supp\."), "F.Supp."),
-    (re.compile(r"((?:[A-Z][A-Za-z]*\.)+)\s+(2d|3d|[4-9]th)(?=\s+(?:\d|_|-|at\b))"), r"\1\2"),
 ]
+_SERIES_GAP = re.compile(r"(?<=[A-Za-z]\.)\s+(?=\d+[a-z]+\b(?!\s+Cir\.))")
+_ILLINOIS = re.compile(r"\bIll\.\s+App\.\Z")
 
 
 def reporter_spacing(doc: Traced) -> None:
+    """Blanks inside reporters go, and those before a series ("So. 2d"), but not before a circuit; Illinois Appellate keeps its blank."""
     for pattern, new in _SPACING:
         doc.edit(pattern, lambda m, new=new: m.expand(new))
+    doc.edit(_SERIES_GAP, lambda m: " " if _ILLINOIS.search(m.string[max(0, m.start() - 12) : m.start()]) else "")
 
 
 #: The default chain; its order is part of the semantics.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 from . import parsers as ps
 from .cleaning import CLEANERS, Traced, clean_text
@@ -36,44 +37,59 @@ def scan(text: str, table: tuple[Pattern, ...] | None = None) -> list[dict]:
     """Every match of every pattern, by start, then by priority."""
     out = []
     first: dict[str, int] = {}
+    low = text.lower()
     for k, p in enumerate(table or patterns()):
         priority = first.setdefault(p.id, k)
-        if p.needs not in text:
+        if p.needles and not any(n in low for n in p.needles):
             continue
-        for m in p.regex.finditer(text):
-            if m.end() == m.start() or p.guard is not None and p.guard.search(text[max(0, m.start() - 80) : m.start()]):
+        at = 0
+        while (m := p.regex.search(text, at)) is not None:
+            if m.end() == m.start() or p.accept is not None and not p.accept(m):
+                at = m.start() + 1
                 continue
             out.append({"start": m.start(), "end": m.end(), "text": m[0], "type": p.type, "pattern_id": p.id, "priority": priority, "groups": m.groupdict()})
+            at = m.end()
     out.sort(key=lambda t: (t["start"], t["priority"]))
     return out
 
 
+class Cover:
+    """A union of spans, kept as disjoint sorted ones."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, b - 1)
+        return k > 0 and self.ends[k - 1] > a
+
+    def joined(self, spans) -> Cover:
+        return Cover([*zip(self.starts, self.ends, strict=True), *spans])
+
+
 def dedup(tokens: list[dict]) -> list[dict]:
     """Tokens inside a kept one of no worse priority go; then better priority wins where two overlap."""
     kept: list[dict] = []
+    open_: list[dict] = []  # kept tokens that reach beyond the present start
     for t in sorted(tokens, key=lambda t: (t["start"], -t["end"], t["priority"])):
-        inside = False
-        for o in reversed(kept):
-            if o["end"] <= t["start"] and o["start"] < t["start"] - 4000:
-                break
-            if o["start"] <= t["start"] and t["end"] <= o["end"] and o["priority"] <= t["priority"] and (o["end"] - o["start"] > t["end"] - t["start"] or o["priority"] < t["priority"]):
-                inside = True
-                break
-        if not inside:
+        open_ = [o for o in open_ if o["end"] > t["start"]]
+        if not any(o["end"] >= t["end"] and (o["priority"] < t["priority"] or o["priority"] == t["priority"] and o["end"] - o["start"] > t["end"] - t["start"]) for o in open_):
             kept.append(t)
+            open_.append(t)
     accepted: list[dict] = []
-    starts: list[int] = []
-    for t in sorted(kept, key=lambda t: (t["priority"], t["start"])):
-        k = bisect_right(starts, t["end"] - 1)
-        clash = False
-        for o in reversed(accepted[max(0, k - 50) : k]):
-            if o["end"] > t["start"] and o["start"] < t["end"] and o["priority"] < t["priority"]:
-                clash = True
-                break
-        if not clash:
-            at = bisect_right(starts, t["start"])
-            starts.insert(at, t["start"])
-            accepted.insert(at, t)
+    better = Cover()
+    for _, same in groupby(sorted(kept, key=lambda t: (t["priority"], t["start"])), key=lambda t: t["priority"]):
+        fresh = [t for t in same if not better.meets(t["start"], t["end"])]
+        accepted += fresh
+        better = better.joined((t["start"], t["end"]) for t in fresh) if fresh else better
+    accepted.sort(key=lambda t: (t["start"], t["priority"]))
     return accepted
 
 
@@ -110,6 +126,8 @@ def parallel_runs(tokens: list[dict], text: str) -> dict[int, int]:
 # Words that make a reporter implausible, and reporters that are codes or not American.
 _PROSE = frozenset("The In On At By For And Or But Of To From With This That These Those Under Section Rule Article Chapter Page Vol Volume No Number Day Days Year Years Month Months Street Avenue Road Plaintiff Defendant Court January February March April May June July August September October November December".split())
 _MONTHS = frozenset("January February March April May June July August September October November December Jan Feb Mar Apr Jun Jul Aug Sept Sep Oct Nov Dec".split())
+# Words of sentences that no reporter has; a small volume before them is a paragraph's number.
+_SENTENCE_WORDS = frozenset("the a an in on at but and for by to with from as if so nor yet not no then when where who what how that this these those he she it they we his her its their our was were is are has had been being did does do may shall will would could should held said found made took gave see also january february march april june july august september october november december".split())
 _BLOCKED = frozenset("I.C.J. I.L.M. U.N.T.S. E.C.R. E.H.R.R. Q.B. A.C. Ch. W.L.R. All E.R. S.C.R. D.L.R. C.L.R. U.S.C. C.F.R. I.R.C. R.C. M.C.L. O.C.G.A. N.J.S.A. Stat.".split())
 
 
@@ -131,7 +149,7 @@ def hard_false(c: dict, as_of_year: int) -> bool:
 
 def soft_false(c: dict, source: str) -> str | None:
     """Why a citation is doubtful; None if it is not."""
-    if c["type"] in ("case", "journal"):
+    if c["type"] in ("case", "journal", "shortFormCase"):
         reporter = c.get("reporter") or c.get("journal") or ""
         if reporter in _BLOCKED:
             return "blocked reporter"
@@ -143,6 +161,8 @@ def soft_false(c: dict, source: str) -> str | None:
             return "implausible volume"
         if re.fullmatch(r"\d{2}-\d{3,}", c.get("volume") or ""):
             return "docket number as volume"
+        if v is not None and 1 <= v <= 20 and "." not in reporter and any(w in _SENTENCE_WORDS for w in reporter.lower().split()):
+            return "paragraph number as volume"
         if v is not None and 1900 <= v <= 2099 and reporter.startswith("Fed. R."):
             return "rule as reporter"
     if c["type"] in ("case", "journal", "federalRegister", "statutesAtLarge") and c.get("year") is not None and c["year"] < 1750:
@@ -156,6 +176,9 @@ def soft_false(c: dict, source: str) -> str | None:
 _MORE_SECTIONS = re.compile(r"\s*(?:,\s*(?:and\s+|or\s+|&\s*)?|\s+and\s+|\s*&\s*)(\d+[A-Za-z0-9\-]*(?:\.\d+[A-Za-z0-9\-]*)*(?:\([^)]*\))*)(?!\s*(?:U\.?S\.?C|C\.?F\.?R|[A-Z][a-z]*\.))(?=[\s,.;)]|\Z)")
 _CHAINED = re.compile(r"\s*;\s*(?:and\s+)?(art(?:icle)?\.?|amend(?:ment)?\.?)\s+([IVX]+|\d+)(?:,?\s*§\s*([\w-]+))?(?:,?\s*cl\.?\s*(\d+))?")
 _BARE_PARTY = re.compile(r",\s+at\s+(\*?\d+(?:-\d+)?)\b")
+_WORD_START = re.compile(r"(?<![^\W_])[^\W_]")
+# Parties that too many cases share for a bare name to mean one.
+_COMMON_PARTIES = frozenset(("state", "people", "united states", "commonwealth", "doe", "roe", "board", "city", "county"))
 _BARE_SECTION = re.compile(r"(?<![\w§])§\s*(\d+[A-Za-z0-9.:]*(?:-\d+[A-Za-z0-9]*)?(?:\([^)]*\))*)")
 
 
@@ -164,10 +187,10 @@ def generate(cites: list[dict], text: str) -> list[dict]:
     more: list[dict] = []
     spans = sorted((c["start"], c["end"]) for c in cites)
     starts = [a for a, _ in spans]
+    taken = Cover(spans)
 
     def free(a: int, b: int) -> bool:
-        k = bisect_right(starts, b - 1)
-        return not any(y > a for _, y in spans[max(0, k - 8) : k])
+        return not taken.meets(a, b)
 
     def add(base: dict, a: int, b: int, **fields) -> dict:
         row = {k: v for k, v in base.items() if k not in ("subsection", "subsection_end", "section_end", "has_et_seq", "clause", "article", "amendment", "pincite", "pincite_info")}
@@ -205,22 +228,26 @@ def generate(cites: list[dict], text: str) -> list[dict]:
             while (n := _MORE_SECTIONS.match(text, at)) is not None:
                 add(head, n.start(1), n.end(1), **ps.parse_body(n[1]))
                 at = n.end()
-    anchors = {}
+    anchors: dict[str, list[dict]] = {}
     for c in cites:
         if c["type"] == "case" and c.get("case_name"):
             for name in (c.get("plaintiff"), c.get("defendant")):
-                if name and len(name) >= 3 and name.lower() not in ("state", "people", "united states", "commonwealth", "doe", "roe", "board", "city", "county"):
+                if name and len(name) >= 3 and name.lower() not in _COMMON_PARTIES:
                     anchors.setdefault(name, []).append(c)
     if anchors:
-        ordered = sorted(anchors, key=len, reverse=True)
+        longest = max(map(len, anchors))
         for m in _BARE_PARTY.finditer(text):
-            name = next((n for n in ordered if text.endswith(n, 0, m.start()) and not text[max(0, m.start() - len(n) - 1) : m.start() - len(n)].isalnum()), None)
-            if name is None:
+            lo = max(0, m.start() - longest)
+            # the names that may end here begin where a word begins; the longest known one is meant
+            begins = [w.start() for w in _WORD_START.finditer(text, lo, m.start()) if w.start() > lo or lo == 0 or not text[lo - 1].isalnum()]
+            a = next((k for k in begins if text[k : m.start()] in anchors), None)
+            if a is None:
                 continue
-            a = m.start() - len(name)
-            earlier = [c for c in anchors[name] if c["end"] <= a]
-            if earlier and free(a, m.end()):
-                c, info = earlier[-1], ps.s.parse_pincite(m[1])
+            name = text[a : m.start()]
+            known = anchors[name]
+            k = bisect_right(known, a, key=lambda c: c["end"])
+            if k and free(a, m.end()):
+                c, info = known[k - 1], ps.s.parse_pincite(m[1])
                 more.append({"type": "shortFormCase", "pattern_id": "bare-party", "start": a, "end": m.end(), "matched_text": text[a : m.end()], "volume": c["volume"], "volume_num": c["volume_num"], "reporter": c["reporter"], "page": c["page"], "party_name": name, "party_norm": ps.s.normalize_party(name), "pincite": info["page"], "pincite_info": info, "confidence": 0.85, "generated": True})
     out = cites + more
     out.sort(key=lambda c: c["start"])
@@ -275,6 +302,8 @@ def structure(cites: list[dict], text: str) -> None:
     # history: the i-th entry of a case and the next case at or after its end
     for i, c in enumerate(cites):
         for h in c.get("history") or []:
+            if h.get("inner"):
+                continue  # says what became of the case, without a citation
             for j in range(i + 1, len(cites)):
                 o = cites[j]
                 if o["type"] == "case" and o["start"] >= h["end"] - 1 and not o.get("parallel_secondary"):
@@ -312,14 +341,21 @@ def structure(cites: list[dict], text: str) -> None:
             group.append(b)
         else:
             close()
-    # nesting: the narrowest parenthesis of another citation that holds this one
-    holes = sorted(((p["end"] - p["start"], i, k, p["start"], p["end"]) for i, c in enumerate(cites) for k, p in enumerate(c.get("parentheticals") or [])), key=lambda x: x[:3])
-    for j, c in enumerate(cites):
-        for _, i, k, a, b in holes:
-            if i != j and a < c["start"] and c["end"] <= b:
-                c["nested_in"] = i
-                cites[i]["parentheticals"][k].setdefault("children", []).append(j)
-                break
+    # nesting: the narrowest parenthesis of another citation that holds this one; both sides in text order
+    holes = sorted((p["start"], p["end"], i, k) for i, c in enumerate(cites) for k, p in enumerate(c.get("parentheticals") or []))
+    around: list[tuple[int, int, int, int]] = []
+    at = 0
+    for j in sorted(range(len(cites)), key=lambda j: cites[j]["start"]):
+        c = cites[j]
+        while at < len(holes) and holes[at][0] < c["start"]:
+            around.append(holes[at])
+            at += 1
+        around = [h for h in around if h[1] > c["start"]]
+        holding = [h for h in around if h[2] != j and c["end"] <= h[1]]
+        if holding:
+            _, _, i, k = min(holding, key=lambda h: (h[1] - h[0], h[2], h[3]))
+            c["nested_in"] = i
+            cites[i]["parentheticals"][k].setdefault("children", []).append(j)
 
 
 def extract(source: str | None, options: Options = Options()) -> tuple[Traced, list[dict]]:
@@ -393,11 +429,16 @@ def extract(source: str | None, options: Options = Options()) -> tuple[Traced, l
     if options.exclude_parenthetical_children:
         kept = [c for c in kept if c.get("nested_in") is None]
     if options.detect_footnotes:
-        from .zones import footnotes
-
-        marks = footnotes(source or "")
-        for c in kept:
-            c["footnote_number"] = next((z["number"] for z in marks if z["start"] <= c["source_start"] < z["end"]), None)
+        from .zones import footnotes, zone_numbers
+
+        marks = zone_numbers(footnotes(source or ""), [c["source_start"] for c in kept])
+        for c, number in zip(kept, marks, strict=True):
+            c["footnote_number"] = number
+    seen: set[str] = set()
+    for c in kept:
+        if c["type"] == "case":
+            c["first_of_reporter"] = c["reporter"] not in seen
+            seen.add(c["reporter"])
     if options.resolve:
         from .resolver import resolve
 

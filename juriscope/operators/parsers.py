@@ -5,13 +5,11 @@ from __future__ import annotations
 import re
 
 from ..functions import scalars as s
+from . import lexicon as lx
 from . import patterns as p
 
 # Reporters that raise a case's confidence, and court inference by reporter.
 KNOWN_REPORTERS = ("F.", "F.2d", "F.3d", "F.4th", "F.Supp.", "F.Supp.2d", "F.Supp.3d", "F.App'x", "U.S.", "S.Ct.", "L.Ed.", "L.Ed.2d", "P.", "P.2d", "P.3d", "A.", "A.2d", "A.3d", "N.E.", "N.E.2d", "N.E.3d", "N.W.", "N.W.2d", "S.E.", "S.E.2d", "S.W.", "S.W.2d", "S.W.3d", "So.", "So.2d", "So.3d", "Cal.", "Cal.2d", "Cal.3d", "Cal.4th", "Cal.5th", "Cal.App.", "Cal.App.2d", "Cal.App.3d", "Cal.App.4th", "Cal.App.5th", "Cal.Rptr.", "Cal.Rptr.2d", "Cal.Rptr.3d", "N.Y.", "N.Y.2d", "N.Y.3d", "N.Y.S.", "N.Y.S.2d", "N.Y.S.3d", "A.D.", "A.D.2d", "A.D.3d", "Ill.", "Ill.2d", "B.R.", "T.C.", "Fed.Cl.")
-_FEDERAL = {"U.S.": "supreme", "S.Ct.": "supreme", "L.Ed.": "supreme", "L.Ed.2d": "supreme", "F.": "appellate", "F.2d": "appellate", "F.3d": "appellate", "F.4th": "appellate", "F.App'x": "appellate", "F.Supp.": "trial", "F.Supp.2d": "trial", "F.Supp.3d": "trial", "B.R.": "trial", "T.C.": "trial", "Fed.Cl.": "trial"}
-_STATE = {"Cal.": ("supreme", "CA"), "Cal.App.": ("appellate", "CA"), "Cal.Rptr.": ("unknown", "CA"), "N.Y.": ("supreme", "NY"), "A.D.": ("appellate", "NY"), "N.Y.S.": ("unknown", "NY"), "Ill.": ("supreme", "IL")}
-_REGIONAL = ("P.", "A.", "N.E.", "N.W.", "S.E.", "S.W.", "So.")
 PREFIXES = ("In the Matter of the Application of", "In the Matter of the Estate of", "In the Matter of", "In the Interest of", "In re", "In Re", "Ex parte", "Ex Parte", "Matter of", "Petition of", "Application of", "Adoption of", "Guardianship of", "Conservatorship of", "Estate of", "Succession of", "Marriage of", "State ex rel.", "United States ex rel.", "People ex rel.", "Commonwealth ex rel.", "Ex rel.")
 SIGNALS = ("see, e.g.,", "see also", "but see", "see generally", "but cf.", "compare", "contra", "accord", "see", "cf.", "e.g.,", "also", "with", "and")
 _SIGNAL = re.compile(r"\A(?:(?:See,?\s+e\.g\.,|See\s+also,?|But\s+see,?|See\s+generally,?|But\s+cf\.,?|Compare|Contra,?|Accord,?|See,?|Cf\.,?|E\.g\.,|In|Under|Citing|citing|Quoting|quoting|also|And|and|But|with|See|see|cf\.)\s+)+(?=[A-Z])")
@@ -19,16 +17,34 @@ _CONNECTORS = frozenset("of the and & for in on at to ex rel. de la du van von d
 #: Words whose period does not end a sentence inside a case name.
 ABBREVIATIONS = frozenset("v vs no inc corp co ltd st mr mrs ms dr jr sr bros assn ass'n dep't dept gov't int'l nat'l fed u.s us ins mfg mut elec ry r.r rr bd comm'n comm educ univ hosp dist cnty twp sch sec'y att'y gen assocs assoc auth ctr cent chem constr corr dev dir distrib div enter entm't envtl equip exch fid fin found grp guar hous indem indus info inst inv lab liab loc mach maint mgmt mem'l merch metro mun prod prop prot pub rd ref reg'l rehab ret sav sec serv soc sys tech tel transp tr util cas com commc'ns consol coop def e.g i.e cf id ibid al rel s n e w a b c d f g h i j k l m o p q r t x y z".split())
 
-_PAREN_YEAR = re.compile(r"(\d{4})(?:\s*,[^()]*)?\Z")
-_DISPOSITIONS = ((re.compile(r"\ben banc\b|\bin bank\b", re.I), "en banc"), (re.compile(r"\bper curiam\b", re.I), "per curiam"), (re.compile(r"\bmem\.?\b", re.I), "mem."), (re.compile(r"\bplurality\b", re.I), "plurality opinion"), (re.compile(r"\bunpublished\b|\btable\b", re.I), "unpublished"))
-_GERUND = re.compile(r"\A(holding|finding|stating|noting|explaining|concluding|quoting|citing|discussing|describing|recognizing|applying|rejecting|affirming|reversing|overruling|emphasizing|observing|collecting|distinguishing|adopting|upholding|interpreting|requiring|same)\b", re.I)
-HISTORY = (
-    ("affirmed", r"aff'd(?:\s+(?:in\s+part|mem\.|per\s+curiam|sub\s+nom\.))?|affirmed"), ("reversed", r"rev'd(?:\s+(?:in\s+part|mem\.|on\s+other\s+grounds|sub\s+nom\.))?|reversed"), ("cert_denied", r"cert\.?\s+denied|certiorari\s+denied"),
-    ("cert_granted", r"cert\.?\s+granted|certiorari\s+granted"), ("cert_dismissed", r"cert\.?\s+dismissed"), ("vacated", r"vacated(?:\s+(?:and\s+remanded|in\s+part|as\s+moot))?"), ("remanded", r"remanded"), ("modified", r"modified"),
-    ("overruled", r"overruled(?:\s+by|\s+in\s+part)?"), ("abrogated", r"abrogated\s+by|abrogated"), ("superseded", r"superseded\s+(?:by\s+statute)?"), ("disapproved", r"disapproved"), ("reh_denied", r"reh'?g\s+denied|rehearing\s+denied"),
-    ("review_denied", r"review\s+denied"), ("appeal_dismissed", r"appeal\s+dismissed"), ("withdrawn", r"withdrawn"), ("enforced", r"enforced"), ("questioned", r"questioned\s+(?:in|by)"), ("limited", r"limited\s+by"),
+# Words that open an explanatory parenthetical, and the kinds of separate opinions.
+_EXPLAINS = frozenset("holding finding stating noting explaining quoting citing discussing describing recognizing applying rejecting adopting requiring".split())
+_OPINIONS = (
+    ("concurring in part and dissenting in part", "mixed", "in_part"), ("concurring in the judgment", "concurrence", "in_judgment"), ("concurring in part", "concurrence", "in_part"), ("dissenting in part", "dissent", "in_part"),
+    ("dissenting from denial of", "dissent", "from_denial"), ("concurring", "concurrence", None), ("dissenting", "dissent", None), ("joining", "majority", None),
 )
-_HISTORY = re.compile(r"\s*[,;]?\s*(?:" + "|".join(f"(?P<{n}>{r})" for n, r in HISTORY) + r")\b\.?,?\s*", re.I)
+_JUSTICES = re.compile(r"(?P<names>[A-Z][a-z]+(?:(?:,\s+(?:and\s+)?|\s+and\s+)[A-Z][a-z]+)*),?\s*(?:C\.J|JJ?)\.,?\s*(?P<role>\S.*)", re.S)
+_WHOLE_DISPOSITION = re.compile(r"\s*(?:(?P<plurality>plurality\s+opinion\b)|(?P<mem>mem\.\s*\Z)|(?P<table>unpublished\s+table\s+decision\b))", re.I)
+_LAST_DISPOSITION = re.compile(r"\(?\b(en\s+banc|in\s+bank|per\s+curiam)\s*\)?\s*\Z", re.I)
+_NO_COURT = re.compile(r"\b(?:en banc|in bank|per curiam|mem\.|plurality|unpublished|table)\b\.?|\(\s*\)", re.I)
+
+
+def _phrase(printed: str) -> str:
+    """A history phrase: any white space between words, apostrophes may be missing."""
+    return re.escape(printed).replace(r"\ ", r"\s+").replace("'", "'?") + (r"(?=[\s,;(\[]|\Z)" if printed == "cert. den." else "" if printed.endswith(".") else r"\b")
+
+
+_PHRASES = sorted(((p, n) for n, phrases in lx.HISTORY.items() for p in phrases), key=lambda x: -len(x[0]))
+_SIGNAL_PHRASE = "|".join(f"(?P<h{k}>{_phrase(p)})" for k, (p, _) in enumerate(_PHRASES))
+_QUALIFIED = r"(?:\s+(?:in\s+part|mem\.|per\s+curiam|sub\s+nom\.|and\s+remanded|as\s+moot|by\s+statute))*"
+_HISTORY = re.compile(rf"\s*[,;]?\s*(?:{_SIGNAL_PHRASE}){_QUALIFIED}\.?,?\s*", re.I)
+_INNER_HISTORY = re.compile(rf"\s*,\s*(?:{_SIGNAL_PHRASE})", re.I)
+
+
+def _signal_of(m: re.Match) -> tuple[str, str]:
+    """The normalised history signal of a match, and its phrase as printed."""
+    group = next(k for k, v in m.groupdict().items() if v)
+    return _PHRASES[int(group[1:])][1], m[group]
 
 
 def squeezed(text: str) -> str:
@@ -50,35 +66,49 @@ def matched_paren(text: str, start: int, most: int = 2000) -> int:
 
 
 def infer_court(reporter: str | None) -> dict | None:
-    """Level, jurisdiction, state and confidence that a reporter implies."""
-    if reporter in _FEDERAL:
-        return {"level": _FEDERAL[reporter], "jurisdiction": "federal", "state": None, "confidence": 1.0}
-    series = re.sub(r"(?:\d+(?:d|th|st|nd|rd))\Z", "", reporter or "")
-    if series in _STATE:
-        level, state = _STATE[series]
-        return {"level": level, "jurisdiction": "state", "state": state, "confidence": 1.0}
-    if series in _REGIONAL:
-        return {"level": "unknown", "jurisdiction": "state", "state": None, "confidence": 0.7}
-    return None
+    """Level, jurisdiction, state and confidence that a reporter implies; reporters of several states less surely."""
+    found = lx.find_reporter(reporter) if reporter else None
+    if found is None or not found[1] or re.sub(r"\s", "", found[0]) != re.sub(r"\s", "", reporter):
+        return None
+    _, level, jurisdiction, state = found
+    return {"level": level, "jurisdiction": jurisdiction, "state": state, "confidence": 0.7 if jurisdiction == "state" and state is None else 1.0}
+
+
+def _explains(content: str) -> str | None:
+    """The word that opens an explanatory parenthetical."""
+    word = re.match(r"[A-Za-z]+", content)
+    return word[0].lower() if word and word[0].lower() in _EXPLAINS else None
 
 
 def parse_paren(content: str, as_of_year: int) -> dict:
-    """A metadata parenthesis: court, year, date, disposition; or an explanatory one."""
+    """A metadata parenthesis (court, date, history after the year, disposition, justices and scope of an opinion), or an explanatory one."""
     out: dict = {"text": content}
-    for pattern, name in _DISPOSITIONS:
-        if pattern.search(content):
-            out["disposition"] = name
-            break
+    kind = _explains(content)
+    if kind or content.count("(") > content.count(")"):
+        return {"text": content, "type": kind or "other"}
+    if m := _JUSTICES.fullmatch(content.strip()):
+        role = re.sub(r"\s+", " ", m["role"].strip().rstrip(".,").lower())
+        _, disposition, scope = next((o for o in _OPINIONS if role.startswith(o[0])), (None, None, None))
+        out["justices"] = re.split(r",\s+and\s+|,\s+|\s+and\s+", m["names"])
+        out |= {k: v for k, v in (("disposition", disposition), ("scope", scope)) if v}
+        return out
+    if m := _WHOLE_DISPOSITION.match(content):
+        return out | {"disposition": {"plurality": "plurality opinion", "mem": "mem.", "table": "unpublished table decision"}[m.lastgroup]}
     date = s.parse_date(content, as_of_year)
-    if _GERUND.match(content) or content.count("(") != content.count(")") or (date is None and "disposition" not in out):
-        return {"text": content, "type": _GERUND.match(content)[1].lower() if _GERUND.match(content) else "other"}
+    court = content
     if date:
         out |= {"date": date, "year": date["year"]}
-        court = s.DATE.sub("", content)
-        court = re.sub(r"\b(?:en banc|in bank|per curiam|mem\.|plurality|unpublished|table)\b\.?", "", court, flags=re.I)
-        court = squeezed(court).strip(" ,;")
-        if court and re.search("[A-Za-z]", court):
-            out["court"] = court
+        tail = content.rfind(str(date["year"])) + 4
+        if (h := _INNER_HISTORY.match(content, tail)) is not None:
+            out["inner_history"] = _signal_of(h)
+            court = content[:tail]
+    if m := _LAST_DISPOSITION.search(court):
+        out["disposition"], court = squeezed(m[1].lower()), court[: m.start()]
+    if date is None and "disposition" not in out:
+        return {"text": content, "type": "other"}
+    court = squeezed(_NO_COURT.sub("", s.DATE.sub("", court))).strip(" ,;")
+    if date and court and re.search("[A-Za-z]", court):
+        out["court"] = court
     return out
 
 
@@ -197,16 +227,19 @@ def parse_case(token: dict, text: str, as_of_year: int, floor: int, parallel: bo
             if "type" in node:
                 parens.append(node)
             else:
-                for key in ("court", "year", "date", "disposition"):
+                for key in ("court", "year", "date", "disposition", "justices", "scope"):
                     if key in node and key not in meta:
                         meta[key] = node[key]
+                if "inner_history" in node:
+                    name, raw = node["inner_history"]
+                    history.append({"signal": name, "raw_signal": raw, "end": stop, "ord": len(history), "inner": True})
                 if re.fullmatch(r"U|UV", node["text"].strip()):
                     meta["unpublished"] = True
             at = full_end = stop
             continue
         if (h := _HISTORY.match(text, at)) is not None:
-            name = next(n for n, v in h.groupdict().items() if v)
-            history.append({"signal": name, "raw_signal": h[name], "end": h.end(), "ord": len(history)})
+            name, raw = _signal_of(h)
+            history.append({"signal": name, "raw_signal": raw, "end": h.end(), "ord": len(history)})
             if re.match(r"\s*\d+\s+[A-Z]|[A-Z]", text[h.end() : h.end() + 12] or ""):
                 break
             at = h.end()
@@ -232,6 +265,8 @@ def parse_case(token: dict, text: str, as_of_year: int, floor: int, parallel: bo
         out |= parties(out["case_name"])
     out["full_span"] = (start, max(full_end, token["end"]))
     out["inferred_court"] = infer_court(reporter)
+    known = lx.find_reporter(reporter)
+    out["normalized_reporter"] = known[0] if known else None
     out["confidence"] = case_confidence(out, as_of_year)
     return out
 
@@ -284,6 +319,11 @@ _ADMIN = {"nmac": ("NMAC", "NM"), "nmac2": ("NMAC", "NM"), "oar": ("OAR", "OR"),
 _YEAR_PAREN = re.compile(r"\s*\(((?:[A-Z][A-Za-z.&' ]*?\s+)?)((?:17|18|19|20)\d{2})(?:\s+([A-Za-z. ]+))?\)")
 
 
+_NAMED_STATES = {lx.bare(k): v for k, v in lx.NAMED_CODE_STATES.items()}
+_CA_PRINTED = {lx.bare(c): c for c in lx.CA_CODES} | {lx.bare(a): c for a, c in lx.CA_ALIASES.items()}
+_STATES = {lx.bare(k): v for k, v in lx.STATES.items()}
+
+
 def parse_statute(token: dict, text: str) -> dict:
     kind, g = token["pattern_id"], token["groups"]
     out: dict = {"type": "statute"}
@@ -301,8 +341,8 @@ def parse_statute(token: dict, text: str) -> dict:
         points += 5
     elif kind == "abbreviated-code":
         out |= parse_body(g["body"], ranges=double)
-        code = squeezed(g["code"])
-        jurisdiction = p.CODE_JURISDICTION.get(p.bare(code))
+        code, jurisdiction = lx.find_state_code(squeezed(g["code"]))
+        code = code or squeezed(g["code"])
         out |= {"code": code, "jurisdiction": jurisdiction}
         points = (95 if g.get("mark") else 85) if jurisdiction else (60 if g.get("mark") else 40)
         points += 5 * (title is not None)
@@ -311,8 +351,7 @@ def parse_statute(token: dict, text: str) -> dict:
         out |= parse_body(g["body"] if g.get("body") else g.get("chapter") or "", ranges=kind in ("named-code", "ca-bare-code") and double)
         code = code or squeezed(g["code"]).rstrip(",")
         if kind == "named-code":
-            state = re.sub(r"[.\s]", "", g["state"])
-            jurisdiction = {"NY": "NY", "Cal": "CA", "California": "CA", "Tex": "TX", "Texas": "TX", "Md": "MD", "Va": "VA", "Ala": "AL", "Alabama": "AL"}[state]
+            jurisdiction = _NAMED_STATES[lx.bare(g["state"])]
         elif kind == "ny-acronym-bare":
             code = f"N.Y. {code}"
         elif kind == "mass-chapter":
@@ -324,8 +363,7 @@ def parse_statute(token: dict, text: str) -> dict:
         elif kind == "chapter-act":
             code = g["act"]
         elif kind == "ca-bare-code":
-            code = next(c for c in p.CA_CODES if p.bare(c) == p.bare(code))
-            code = "Health & Saf. Code" if code == "Health & Safety Code" else code
+            code = _CA_PRINTED[lx.bare(code)]
         elif kind == "prose":
             points += 5
         out |= {"code": code, "jurisdiction": jurisdiction}
@@ -370,9 +408,9 @@ def parse_constitutional(token: dict, text: str) -> dict:
     if kind == "us-constitution" or kind.startswith("bare-amendment"):
         out["jurisdiction"] = "US"
     elif g.get("state"):
-        out["jurisdiction"] = p.STATES.get(re.sub(r"[.\s]", "", g["state"]))
+        out["jurisdiction"] = _STATES.get(lx.bare(g["state"]))
     elif g.get("name"):
-        out["jurisdiction"] = p.STATE_NAMES.get(squeezed(g["name"]).title())
+        out["jurisdiction"] = lx.STATE_NAMES.get(squeezed(g["name"]).title())
     number = numeral(g.get("number") or g.get("ordinal"))
     amendment = bool(g.get("ordinal")) or (g.get("kind") or "").lower().startswith("am")
     if g.get("preamble"):
@@ -502,7 +540,7 @@ def parse_short(token: dict, text: str) -> dict:
     k = re.compile(r"\s*\(").match(text, token["end"])
     if k and (stop := matched_paren(text, k.end() - 1)) > 0 and "(" not in text[k.end() : stop - 1]:
         content = text[k.end() : stop - 1]
-        out["parentheticals"] = [{"text": content, "type": _GERUND.match(content)[1].lower() if _GERUND.match(content) else "other", "start": k.end() - 1, "end": stop}]
+        out["parentheticals"] = [{"text": content, "type": _explains(content) or "other", "start": k.end() - 1, "end": stop}]
     if kind in ("id", "ibid"):
         points = 100 if token["text"][0] == "I" else 85
         if "," in token["text"][:4]:
@@ -519,7 +557,8 @@ def parse_short(token: dict, text: str) -> dict:
             while (m := _PARTY_SIGNAL.match(party)) is not None and m.end() < len(party):
                 party = party[m.end() :]
             party = party.rstrip(",")
-        return {"type": "supra", "party_name": party, "confidence": 0.9 if party else 0.8} | out
+        place = g.get("section") or (f"Part {g['part']}" if g.get("part") else None)
+        return {"type": "supra", "party_name": party, "section": place, "confidence": 0.9 if party else 0.8} | out
     reporter = canonical_reporter(g["reporter"]).rstrip(",")
     party = squeezed(g["party"]) if g.get("party") else None
     if party:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 _TAG_NOTE = re.compile(r"<(footnote|fn)\b[^>]*>|<(\w+)\b[^>]*\b(?:class|id)\s*=\s*[\"'][^\"']*\b(?:footnote|fn)[^\"']*[\"'][^>]*>", re.I)
 _LABEL = re.compile(r"(?:label|id)\s*=\s*[\"']\D*(\d+)", re.I)
@@ -21,10 +21,10 @@ def footnotes(source: str) -> list[dict]:
                 continue
             tag = m[1] or m[2]
             depth, end = 1, len(source)
-            for t in re.finditer(rf"<(/?){tag}\b[^>]*>", source[m.end() :], re.I):
+            for t in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(source, m.end()):
                 depth += -1 if t[1] else 1
                 if depth == 0:
-                    end = m.end() + t.end()
+                    end = t.end()
                     break
             nth += 1
             label = _LABEL.search(m[0]) or re.match(r"\s*(?:<[^>]+>\s*)*(\d+)", source[m.end() : end])
@@ -41,6 +41,22 @@ def footnotes(source: str) -> list[dict]:
     return out
 
 
+def zone_numbers(zones: list[dict], places: list[int]) -> list[int | None]:
+    """The number of the first zone that holds each place; zones in order of their starts."""
+    starts, reach = [z["start"] for z in zones], []
+    for z in zones:  # how far the zones up to here reach, so that a search can stop
+        reach.append(max(z["end"], reach[-1] if reach else 0))
+    out: list[int | None] = []
+    for place in places:
+        k, found = bisect_right(starts, place) - 1, None
+        while k >= 0 and reach[k] > place:
+            if zones[k]["end"] > place:
+                found = zones[k]["number"]
+            k -= 1
+        out.append(found)
+    return out
+
+
 _QUOTE = re.compile(r"\"[^\"\n]{1,600}\"|“[^”\n]{1,600}”")
 _BLOCK = re.compile(r"(?:^>[^\n]*(?:\n|\Z))+", re.M)
 
@@ -48,7 +64,8 @@ _BLOCK = re.compile(r"(?:^>[^\n]*(?:\n|\Z))+", re.M)
 def quotations(text: str) -> list[dict]:
     """start, end, block of quoted passages."""
     out = [{"start": m.start(), "end": m.end(), "block": True} for m in _BLOCK.finditer(text)]
-    out += [{"start": m.start(), "end": m.end(), "block": False} for m in _QUOTE.finditer(text) if not any(b["start"] <= m.start() < b["end"] for b in out)]
+    inside = zone_numbers([b | {"number": 1} for b in out], [m.start() for m in _QUOTE.finditer(text)])
+    out += [{"start": m.start(), "end": m.end(), "block": False} for m, blocked in zip(_QUOTE.finditer(text), inside, strict=True) if not blocked]
     return sorted(out, key=lambda z: z["start"])
 
 
@@ -76,9 +93,19 @@ def paragraphs(source: str, pattern: str) -> list[int]:
 def attribute_quotes(text: str, cites: list[dict]) -> list[dict]:
     """Each quotation with the citation that follows it closely, and how sure that is."""
     out = []
+    starts = [c["start"] for c in cites]
+    holes = sorted((p["start"], p["end"], k) for k, c in enumerate(cites) for p in c.get("parentheticals") or [])
+    around: list[tuple[int, int, int]] = []
+    at = 0
     for q in quotations(text):
-        follow = next((c for c in cites if c["start"] >= q["end"]), None)
-        inside = next((c for c in cites for p in c.get("parentheticals") or [] if p["start"] <= q["start"] and q["end"] <= p["end"]), None)
+        after = bisect_left(starts, q["end"])
+        follow = cites[after] if after < len(cites) else None
+        while at < len(holes) and holes[at][0] <= q["start"]:
+            around.append(holes[at])
+            at += 1
+        around = [h for h in around if h[1] > q["start"]]
+        owner = min((h[2] for h in around if q["end"] <= h[1]), default=None)
+        inside = None if owner is None else cites[owner]
         long = q["block"] or len(text[q["start"] : q["end"]].split()) >= 50
         row = {"start": q["start"], "end": q["end"], "cite_idx": None, "confidence": None, "kind": "unattributed"}
         gap = follow["start"] - q["end"] if follow else None

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import register
 from ..operators import citations as c
+from ..operators import lexicon as lx
 from ..operators.cleaning import clean_column, strip_html_column
 from ..operators.documents import Options
 from ..sources import readers
@@ -53,17 +54,17 @@ PAREN = f"concat('(', CASE WHEN {COURT} IS NULL THEN '' ELSE concat({COURT}, ' '
 FULL = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {CITE}, ' ', {PAREN})"
 
 
-def rendered(spark: SparkSession, sf_dir: str, text: str, table: str = "orders", key: str = "o_orderkey", where: str = "true") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").filter(where).selectExpr(f"CAST({key} AS BIGINT) AS doc_id", f"{text} AS text")
+def rendered(spark: SparkSession, sf_dir: str, text: str, table: str = "orders", key: str = "o_orderkey") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"CAST({key} AS BIGINT) AS doc_id", f"{text} AS text")
 
 
-def cases(spark: SparkSession, sf_dir: str, options: Options = Options()) -> DataFrame:
-    return c.extract_citations(rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '. The rest followed.')"), options)
+def cases(spark: SparkSession, sf_dir: str, options: Options = Options(), fields=None) -> DataFrame:
+    return c.extract_citations(rendered(spark, sf_dir, f"concat('The court decided ', {FULL}, '. The rest followed.')"), options, fields=fields)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of each reporter over all rendered opinions."""
-    return c.reporter_summary(cases(spark, sf_dir))
+    return c.reporter_summary(cases(spark, sf_dir, fields=("type", "reporter", "year", "first_of_reporter")))
 
 
 query("reporter_summary", f"SELECT {REPORTER} AS reporter, count(*) AS cites, count(DISTINCT o_orderkey) AS documents, CAST(min({YEAR}) AS INTEGER) AS first_year, CAST(max({YEAR}) AS INTEGER) AS last_year FROM orders GROUP BY 1")(flagship)
@@ -104,14 +105,8 @@ def pincites(spark, sf_dir):
     return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "pincite", F.col("pincite_info.end_page").alias("end_page"))
 
 
-@query("blank_pages", f"SELECT o_orderkey AS doc_id, CAST({VOLUME} AS BIGINT) AS volume_num, true AS has_blank_page, CAST(NULL AS BIGINT) AS page FROM orders WHERE o_custkey % 6 <> 0")
+@query("blank_pages", f"SELECT o_orderkey AS doc_id, CAST({VOLUME} AS BIGINT) AS volume_num, {REPORTER} AS reporter, true AS has_blank_page, CAST(NULL AS BIGINT) AS page FROM orders")
 def blank_pages(spark, sf_dir):
-    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' ', {REPORTER}, CASE WHEN o_orderkey % 2 = 0 THEN ' ___ ' ELSE ' --- ' END, {PAREN}, '.')"
-    return c.extract_citations(rendered(spark, sf_dir, text, where="o_custkey % 6 <> 0")).select("doc_id", "volume_num", "has_blank_page", "page")
-
-
-@query("blank_pages_all", f"SELECT o_orderkey AS doc_id, CAST({VOLUME} AS BIGINT) AS volume_num, {REPORTER} AS reporter, true AS has_blank_page, CAST(NULL AS BIGINT) AS page FROM orders")
-def blank_pages_all(spark, sf_dir):
     """All six reporters, U.S. too."""
     text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' ', {REPORTER}, CASE WHEN o_orderkey % 2 = 0 THEN ' ___ ' ELSE ' --- ' END, {PAREN}, '.')"
     return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "volume_num", "reporter", "has_blank_page", "page")
@@ -128,15 +123,8 @@ def reporter_lookup(spark, sf_dir):
     return cases(spark, sf_dir).select("reporter").join(dim, "reporter").groupBy("reporter", "court_jurisdiction").agg(F.count("*").alias("cites"))
 
 
-@query("reporter_validation", f"SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 35 END AS INTEGER) AS hundredths FROM orders WHERE o_custkey % 6 = 1")
+@query("reporter_validation", "SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 35 END AS INTEGER) AS hundredths FROM orders")
 def reporter_validation(spark, sf_dir):
-    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, CASE WHEN o_orderkey % 2 = 0 THEN ' F.2d ' ELSE ' Xyz. ' END, {PAGE}, ' (9th Cir. ', {YEAR}, ').')"
-    return c.validate(c.extract_citations(rendered(spark, sf_dir, text, where="o_custkey % 6 = 1"))).select("doc_id", F.round(F.col("validated") * 100).cast("int").alias("hundredths"))
-
-
-@query("reporter_validation_all", "SELECT o_orderkey AS doc_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 100 ELSE 35 END AS INTEGER) AS hundredths FROM orders")
-def reporter_validation_all(spark, sf_dir):
-    """The same over all orders."""
     text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, CASE WHEN o_orderkey % 2 = 0 THEN ' F.2d ' ELSE ' Xyz. ' END, {PAGE}, ' (9th Cir. ', {YEAR}, ').')"
     return c.validate(c.extract_citations(rendered(spark, sf_dir, text))).select("doc_id", F.round(F.col("validated") * 100).cast("int").alias("hundredths"))
 
@@ -305,9 +293,18 @@ def case_groups(spark, sf_dir):
     return c.case_groups(stored(c.extract_citations(rendered(spark, sf_dir, _RESOLVE))))
 
 
-@query("graph_edges", "SELECT edge, count(*) AS edges FROM (SELECT 'resolves-to' AS edge FROM orders, (VALUES (1), (2), (3), (4)) t(k) UNION ALL SELECT 'pincite-inherit' FROM orders) GROUP BY edge")
+@query("graph_edges", "SELECT o_orderkey AS doc_id, edge, CAST(a AS INTEGER) AS from_idx, CAST(b AS INTEGER) AS to_idx FROM orders, (VALUES ('resolves-to', 1, 0), ('resolves-to', 3, 0), ('resolves-to', 4, 0), ('resolves-to', 5, 0), ('pincite-inherit', 5, 4)) t(edge, a, b)")
 def graph_edges(spark, sf_dir):
-    return c.graph_edges(stored(c.extract_citations(rendered(spark, sf_dir, _RESOLVE)))).groupBy("edge").agg(F.count("*").alias("edges"))
+    return c.graph_edges(stored(c.extract_citations(rendered(spark, sf_dir, _RESOLVE)))).select("doc_id", "edge", "from_idx", "to_idx")
+
+
+_WEB = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' U.S. ', {PAGE}, ', ', {VOLUME} + 1, ' S. Ct. ', {PAGE} + 1, ' (', {YEAR}, ') (quoting Roe v. Poe, 5 F.3d 6 (1990)), aff''d, 7 U.S. 8 (1999). See Coe v. Loe, 9 F.3d 10 (1991); see also Foe v. Moe, 11 F.3d 12 (1992). Zorro, supra, at 3. Id.')"
+
+
+@query("graph_all_edges", "SELECT o_orderkey AS doc_id, edge, CAST(a AS INTEGER) AS from_idx, CAST(b AS INTEGER) AS to_idx FROM orders, (VALUES ('parallel', 0, 1), ('in-parenthetical-of', 2, 0), ('history-of', 3, 0), ('string-cite', 4, 5), ('antecedent', 7, 6)) t(edge, a, b)")
+def graph_all_edges(spark, sf_dir):
+    """The other five kinds of edges."""
+    return c.graph_edges(stored(c.extract_citations(rendered(spark, sf_dir, _WEB.replace("''", "\\'"))))).select("doc_id", "edge", "from_idx", "to_idx")
 
 
 @query("paragraph_scope", "SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS resolved FROM orders")
@@ -384,12 +381,6 @@ def native_cleaning(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", strip_html_column(F.col("html")).alias("text"))
 
 
-@query("native_entities", "SELECT page_id, CAST(length(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"')) AS INTEGER) AS n FROM pages WHERE NOT regexp_matches(html, '  |[\\t\\n\\r]|&(apos|sect|para|mdash|ndash);')")
-def native_entities(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter(~F.regexp_like("html", F.lit(r"  |[\t\n\r]|&(apos|sect|para|mdash|ndash);")))
-    return pages.select("page_id", F.length(clean_column(F.col("html"))).alias("n"))
-
-
 _CLEANED = "html"
 for _name, _char in (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("sect", "§"), ("para", "¶"), ("mdash", "—"), ("ndash", "–")):
     _CLEANED = f"replace({_CLEANED}, '&{_name};', '{_char}')"
@@ -397,16 +388,28 @@ _CLEANED = rf"regexp_replace({_CLEANED}, '[\t\n\r\x{{A0}}\x{{2000}}-\x{{200B}}\x
 _CLEANED = f"translate(regexp_replace({_CLEANED}, ' +', ' ', 'g'), '‐‑‒–“”„‘’‚′', '----\"\"\"{2 * 4 * chr(39)}')"
 
 
-@query("native_entities_all", f"SELECT page_id, {_CLEANED} AS text FROM pages")
-def native_entities_all(spark, sf_dir):
-    """The whole text of all pages, also of those with white space to fold and the entities that native_entities leaves out."""
+@query("native_entities", f"SELECT page_id, {_CLEANED} AS text FROM pages")
+def native_entities(spark, sf_dir):
+    """The whole text of all pages: entities, white space folded, dashes and quotes."""
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", clean_column(F.col("html")).alias("text"))
 
 
-@query("gate", "SELECT count(*) AS cites FROM orders WHERE o_orderkey < 0")
+_PLAIN = "concat('there is nothing to see here but ', regexp_replace(lower(o_orderpriority), '[^a-z]+', ' '{g}), ' words')"
+_GATED = "CASE o_orderkey % 4 WHEN 0 THEN {plain} WHEN 1 THEN 'We agree. <em>Id</em>. The holding stands.' WHEN 2 THEN concat('See IRC &sect; ', o_orderkey % 900 + 1, ' there.') ELSE concat('It said sec-\n', 'tion ', o_orderkey % 900 + 1, ' of title 42 so') END"
+
+
+@query("gate", "SELECT CAST(o_orderkey % 4 AS INTEGER) AS kind, count(*) AS docs, CAST(sum(CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS passed FROM orders GROUP BY 1")
 def gate(spark, sf_dir):
-    """Texts without any trigger never reach Python and give no rows."""
-    return c.extract_citations(rendered(spark, sf_dir, "concat('nothing to see here ', o_orderpriority)")).agg(F.count("*").alias("cites"))
+    """The documents of each kind, and how many of them reach Python: plain prose does not, citations behind tags, entities and line ends do."""
+    text = _GATED.format(plain=_PLAIN.format(g=""))
+    docs = rendered(spark, sf_dir, text)
+    return docs.select(F.expr("CAST(doc_id % 4 AS INT)").alias("kind"), c.may_cite("text").alias("passes")).groupBy("kind").agg(F.count("*").alias("docs"), F.count_if("passes").alias("passed"))
+
+
+@query("gate_citations", "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 1 THEN 'id' ELSE 'statute' END AS type, CASE WHEN o_orderkey % 4 > 1 THEN CAST(o_orderkey % 900 + 1 AS VARCHAR) END AS section FROM orders, (VALUES (0)) t(k) WHERE o_orderkey % 4 > 0")
+def gate_citations(spark, sf_dir):
+    """The citations behind tags, entities and divided words, all found; plain prose has none."""
+    return c.extract_citations(rendered(spark, sf_dir, _GATED.format(plain=_PLAIN.format(g="")))).select("doc_id", "type", "section")
 
 
 @query("year_first", f"SELECT o_orderkey AS doc_id, CAST({YEAR} AS INTEGER) AS year, concat({PLAINTIFF}, ' v. ', {DEFENDANT}) AS case_name FROM orders")
@@ -439,17 +442,9 @@ def compare_signal(spark, sf_dir):
     return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "cite_idx", "signal")
 
 
-@query("inferred_names", f"SELECT o_orderkey AS doc_id, {PLAINTIFF} AS plaintiff, {DEFENDANT} AS defendant FROM orders WHERE o_orderkey % 8 <> 2 AND (o_custkey + 3) % 8 <> 2")
+@query("inferred_names", f"SELECT o_orderkey AS doc_id, concat({PLAINTIFF}, ' v. ', {DEFENDANT}) AS case_name, {PLAINTIFF} AS plaintiff, {DEFENDANT} AS defendant FROM orders")
 def inferred_names(spark, sf_dir):
-    """A short form without its full citation takes the caption named in the text before it."""
-    text = f"concat('We discussed {{0}} earlier in ', {PLAINTIFF}, ' v. ', {DEFENDANT}, ' at length, see ', {VOLUME}, ' F.2d at ', {PAGE}, '.')".replace("{0}", "this")
-    rows = rendered(spark, sf_dir, text, where="o_orderkey % 8 <> 2 AND (o_custkey + 3) % 8 <> 2")
-    return c.extract_citations(rows).filter("type = 'shortFormCase'").select("doc_id", "plaintiff", "defendant")
-
-
-@query("inferred_names_all", f"SELECT o_orderkey AS doc_id, concat({PLAINTIFF}, ' v. ', {DEFENDANT}) AS case_name, {PLAINTIFF} AS plaintiff, {DEFENDANT} AS defendant FROM orders")
-def inferred_names_all(spark, sf_dir):
-    """The same over all orders, also those with abbreviated parties; where the short form names its party, a nearer caption is of others."""
+    """A short form without its full citation takes the caption named in the text before it; where the short form names its party, a nearer caption is of others."""
     text = f"concat('We discussed this in ', {PLAINTIFF}, ' v. ', {DEFENDANT}, ' at length', CASE {YEAR} % 2 WHEN 0 THEN concat(' and not in Roe v. Doe before it. ', {PLAINTIFF}, ', ') ELSE ', see ' END, {VOLUME}, ' F.2d at ', {PAGE}, '.')"
     return c.extract_citations(rendered(spark, sf_dir, text)).filter("type = 'shortFormCase'").select("doc_id", "case_name", "plaintiff", "defendant")
 
@@ -464,6 +459,126 @@ def locators(spark, sf_dir):
     return c.locators(rendered(spark, sf_dir, f"concat('Nothing was clear. The court decided ', {CITE}, ' here. Then it rose.')")).select("doc_id", "exact", "prefix", "start", "occurrence")
 
 
+# ---------------------------------------------------------------- closed vocabularies: every value of each
+
+def _cases(key: str, values) -> str:
+    quoted = [str(v).replace("'", "''") if v is not None else None for v in values]
+    return f"CASE {key} % {len(quoted)} " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(quoted)) + " END"
+
+
+def _spark(sql: str) -> str:
+    """Quotes in literals as Spark wants them."""
+    return sql.replace("''", "\\'")
+
+
+_PHRASES = [(p, n) for n, phrases in lx.HISTORY.items() for p in phrases]
+_PHRASE, _PHRASE_SIGNAL = _cases("o_orderkey", [p for p, _ in _PHRASES]), _cases("o_orderkey", [n for _, n in _PHRASES])
+
+
+@query("history_signals", f"SELECT o_orderkey AS doc_id, {_PHRASE_SIGNAL} AS signal, {_PHRASE} AS raw_signal FROM orders")
+def history_signals(spark, sf_dir):
+    """All phrases of all 38 history signals."""
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {CITE}, ' ', {PAREN}, ', ', {_spark(_PHRASE)}, ', and more.')"
+    rows = c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", F.explode("history").alias("h"))
+    return rows.select("doc_id", "h.signal", "h.raw_signal")
+
+
+@query("inner_history", f"SELECT o_orderkey AS doc_id, 'Tex. App.---Dallas' AS court, CAST({YEAR} AS INTEGER) AS year, {_cases('o_orderkey', ['no_pet', 'writ_refused', 'pet_denied', 'writ_dismissed'])} AS signal FROM orders")
+def inner_history(spark, sf_dir):
+    """History inside the parenthesis of court and year."""
+    phrase = _spark(_cases("o_orderkey", ["no pet.", "writ ref'd n.r.e.", "pet. denied", "writ dism'd w.o.j."]))
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' S.W.3d ', {PAGE}, ' (Tex. App.---Dallas ', {YEAR}, ', ', {phrase}, ').')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "court", "year", F.col("history")[0]["signal"].alias("signal"))
+
+
+_OPINIONS = (("Brennan, J., dissenting", "dissent", None, 1), ("Roberts, C.J., concurring", "concurrence", None, 1), ("Kennedy, J., concurring in the judgment", "concurrence", "in_judgment", 1), ("Brennan and Marshall, JJ., dissenting", "dissent", None, 2), ("Roberts, C.J., concurring in part and dissenting in part", "mixed", "in_part", 1), ("plurality opinion", "plurality opinion", None, None), ("mem.", "mem.", None, None), ("in bank", "in bank", None, None))
+
+
+@query("opinions", f"SELECT o_orderkey AS doc_id, {_cases('o_orderkey', [o[1] for o in _OPINIONS])} AS disposition, {_cases('o_orderkey', [o[2] for o in _OPINIONS])} AS scope, CAST({_cases('o_orderkey', [o[3] for o in _OPINIONS])} AS INTEGER) AS justices FROM orders")
+def opinions(spark, sf_dir):
+    """Who wrote separately, and how far."""
+    text = f"concat({FULL}, ' (', {_cases('o_orderkey', [o[0] for o in _OPINIONS])}, ').')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "disposition", "scope", F.when(F.col("justices").isNotNull(), F.size("justices")).alias("justices"))
+
+
+_REPORTERS = [(printed, level, jurisdiction, state) for printed, level, jurisdiction, state in lx.reporter_table().values() if level]
+
+
+@query("court_levels", f"SELECT o_orderkey AS doc_id, {_cases('o_orderkey', [r[1] for r in _REPORTERS])} AS level, {_cases('o_orderkey', [r[2] for r in _REPORTERS])} AS jurisdiction, {_cases('o_orderkey', [r[3] for r in _REPORTERS])} AS state FROM orders")
+def court_levels(spark, sf_dir):
+    """What every reporter of the table says of its court."""
+    text = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' ', {_cases('o_orderkey', [r[0] for r in _REPORTERS])}, ' ', {PAGE}, ' (', {YEAR}, ').')"
+    return c.extract_citations(rendered(spark, sf_dir, text)).select("doc_id", "inferred_court.level", "inferred_court.jurisdiction", "inferred_court.state")
+
+
+_VARIANTS = (("F. 2d", "F.2d"), ("f.2d", "F.2d"), ("F.2nd", "F.2d"), ("n.e.2d", "N.E.2d"), ("Cal. App. 4th", "Cal.App.4th"), ("So. 3rd", "So.3d"), ("u. s.", "U.S."), ("Ohio St. 3d", "Ohio St.3d"))
+
+
+@query("reporter_variants", f"SELECT o_orderkey AS doc_id, {_cases('o_orderkey', [v[1] for v in _VARIANTS])} AS reporter FROM orders")
+def reporter_variants(spark, sf_dir):
+    """Printed variants looked up whatever their case, spacing and scanned series."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS doc_id", f"{_cases('o_orderkey', [v[0] for v in _VARIANTS])} AS printed")
+    return c.find_reporters(rows, "printed").select("doc_id", "reporter")
+
+
+# "PS" before a section mark is an article of Maryland, which comes first
+_SPELLINGS = [(s, s, state) for state, *cs in lx.STATE_CODES for s in cs if s != "PS"]
+_SPELLINGS += [("R. C.", "R.C.", "OH"), ("O. R. C.", "R.C.", "OH"), ("Colorado Revised Statutes Ann.", "CRS", "CO"), ("A. R.S.", "A.R.S.", "AZ"), ("N. J. S. A.", "N.J.S.A.", "NJ"), ("Pa. C. S.", "Pa.C.S.", "PA"), ("Burns' Indiana Statutes Annotated", "Ind. Ann. Stat.", "IN")]
+
+
+@query("state_spellings", f"SELECT p_partkey AS doc_id, {_cases('p_partkey', [x[1] for x in _SPELLINGS])} AS code, {_cases('p_partkey', [x[2] for x in _SPELLINGS])} AS jurisdiction, CAST({SECTION} AS VARCHAR) AS section FROM part")
+def state_spellings(spark, sf_dir):
+    """Every printed spelling of every state code, and some spaced ones, which take the canonical form."""
+    text = f"concat('Under ', {_spark(_cases('p_partkey', [x[0] for x in _SPELLINGS]))}, ' § ', {SECTION}, ' it is so.')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).select("doc_id", "code", "jurisdiction", "section")
+
+
+#: pattern, type, text with the place of a number; the citation ends where the text does, unless a bar marks its end.
+_MORE = (
+    ("state-vendor-neutral-hyphenated-ms", "neutral", "2019-CT-{}-SCT"), ("state-vendor-neutral", "neutral", "2012 ND {}"), ("state-vendor-neutral", "neutral", "2011 IL App (1st) {}-U"), ("compact-law-review", "journal", "15 Harv.L.Rev. {}"),
+    ("nv-session-law", "sessionLaw", "1975 Nev. Stat., ch. {}"), ("treaty-volume-page", "treaty", "40 U.S.T. {}"), ("legmat-cong-rec", "legislativeMaterial", "120 Cong. Rec. H{}"), ("supra", "supra", "[supra, {}]"), ("supra", "supra", "supra note {}"),
+    ("supra", "supra", "supra § {}"), ("id-rcp-spelled", "stateRule", "Idaho Rule of Civil Procedure {}"), ("nc-rap", "stateRule", "N.C. R. App. P. {}"), ("nc-rcp", "stateRule", "N.C. R. Civ. P. {}"), ("sc-scacr-postfix", "stateRule", "Rule {}, SCACR"),
+    ("rcfc", "stateRule", "RCFC {}"), ("hcn-rcp", "stateRule", "HCN R. Civ. P. {}"), ("tcrcp", "stateRule", "T.C.R.C.P. {}"), ("bare-journal", "journal", "12 JAMA {}"), ("bankruptcy-code-prefix", "statute", "Bankruptcy Code § {}"),
+    ("mass-chapter", "statute", "Mass. Gen. Laws ch. 93A, § {}"), ("colorado-prose", "statute", "section {}, Colo. Rev. Stat. 1973"), ("rcw-chapter-postfix", "statute", "chapter 49.{} RCW"), ("state-admin-code", "statute", "OAR 123-45-{}"),
+    ("state-admin-code", "statute", "IDAPA 01.02.03.04.{}"), ("wi-stats-postfix", "statute", "sec. 9.{}, Stats."), ("minn-st-year-edition", "statute", "Minn. St. 1971, § {}"), ("wv-code-1931", "statute", "Code, 1931, 5-1-{}"),
+    ("nyc-admin-code", "statute", "NYC Admin. Code § 7-{}"), ("ga-pre-1983", "statute", "Code Ann. § 26-{}"), ("ala-title-trailer", "statute", "Title 7, § {}, Code of Alabama 1940"), ("ca-bare-code", "statute", "Water Code § {}"),
+    ("bare-constitution", "constitutional", "Const. art. I, § {}"), ("bare-article-section", "constitutional", "Article III, Section {}"), ("state-const-prose-declaration", "constitutional", "article {} of the Massachusetts Declaration of Rights"),
+    ("state-const-prose-section-article", "constitutional", "Section {}, Article I of the Texas Constitution"), ("state-const-prose-article-first", "constitutional", "article I, section {} of the California Constitution"),
+    ("constitutional-historical-reform", "constitutional", "Cal. Const., former art. VI, § {} (now art. VI, § 10)"), ("ibid", "id", "Ibid."),
+)
+_MORE_TEXT = f"CASE p_partkey % {len(_MORE)} " + " ".join("WHEN {} THEN concat('{}', {}, '{}')".format(i, t.partition("{}")[0], SECTION if "{}" in t else "''", t.partition("{}")[2]) for i, (_, _, t) in enumerate(_MORE)) + " END"
+
+
+@query("more_forms", f"SELECT p_partkey AS doc_id, {_cases('p_partkey', [m[0] for m in _MORE])} AS pattern_id, {_cases('p_partkey', [m[1] for m in _MORE])} AS type, {_MORE_TEXT} AS matched_text FROM part")
+def more_forms(spark, sf_dir):
+    """The forms that the other queries do not render."""
+    return c.extract_citations(rendered(spark, sf_dir, f"concat('it was so: ', {_MORE_TEXT}, ' and that was all')", "part", "p_partkey")).select("doc_id", "pattern_id", "type", "matched_text")
+
+
+@query("amendments", "SELECT o_orderkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, CASE k WHEN 2 THEN 'bare-amendment-word' ELSE 'bare-amendment-coord' END AS pattern_id, CAST(4 + k AS INTEGER) AS amendment FROM orders, (VALUES (0), (1), (2)) t(k)")
+def amendments(spark, sf_dir):
+    """Every ordinal of a list of amendments."""
+    return c.extract_citations(rendered(spark, sf_dir, "concat('under the Fourth, Fifth, and Sixth Amendments by order ', lower(o_orderpriority))")).select("doc_id", "cite_idx", "pattern_id", "amendment")
+
+
+@query("plural_sections", f"SELECT p_partkey AS doc_id, CAST(k AS INTEGER) AS cite_idx, CAST({SECTION} + k AS VARCHAR) AS section, 'TX' AS jurisdiction, CAST(1 AS INTEGER) AS article FROM part, (VALUES (0), (1)) t(k)")
+def plural_sections(spark, sf_dir):
+    text = f"concat('as in Sections ', {SECTION}, ' and ', {SECTION} + 1, ' of Article I of the Texas Constitution')"
+    return c.extract_citations(rendered(spark, sf_dir, text, "part", "p_partkey")).select("doc_id", "cite_idx", "section", "jurisdiction", "article")
+
+
+_NAMED_LOOKUP = [(state, names[-1], short) for state, entries in lx.NAMED_CODES.items() for short, *names in entries]
+
+
+@query("named_code_lookup", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}', '{}')".format(a, b.replace("'", "''"), s) for a, b, s in sorted(set(_NAMED_LOOKUP))) + ") t(state, name, short)")
+def named_code_lookup(spark, sf_dir):
+    """Every named code found by its longest printed name."""
+    register.register(spark)
+    rows = spark.createDataFrame(sorted({(a, b) for a, b, _ in _NAMED_LOOKUP}), "state string, name string")
+    return rows.select("state", "name", register.find_named_code("state", "name").alias("short"))
+
+
+
 # ---------------------------------------------------------------- functions, sources, streams
 
 @query("fn_parse_pincite", "SELECT p_partkey AS doc_id, CAST(p_partkey + 1200 AS INTEGER) AS page, CAST(p_partkey + 1200 + 10 - (p_partkey + 1200) % 10 - 1 AS INTEGER) AS end_page, CAST(p_size AS INTEGER) AS footnote FROM part")
@@ -503,18 +618,22 @@ def fn_clean_text(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("doc_id"), register.clean_text(F.expr("concat('page   ', p_partkey, ' \u201cof\u201d ', p_size, '\u2013', p_partkey)")).alias("clean"))
 
 
-@query("fn_content_hash")
+_FNV = "lambda h, x: (xor(CAST(h AS UBIGINT), CAST(x AS UBIGINT))::HUGEINT * 1099511628211) % 18446744073709551616"
+
+
+@query("fn_content_hash", f"SELECT c_custkey AS doc_id, lower(lpad(hex(CAST(list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(string_split(c_name, ''), lambda x: unicode(x)::HUGEINT), [0::HUGEINT, 0::HUGEINT]), {_FNV}) AS UBIGINT)), 16, '0')) AS hash FROM customer")
 def fn_content_hash(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return rows.select(F.col("c_custkey").alias("doc_id"), register.content_hash(F.col("c_name")).alias("hash"))
 
 
-@query("party_similarity_join", "SELECT count(*) AS pairs FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND abs(length(a.n_name) - length(b.n_name)) <= 2 AND levenshtein(lower(a.n_name), lower(b.n_name)) <= 2")
+@query("party_similarity_join", "WITH n AS (SELECT p_name AS name, count(*) AS parts FROM part GROUP BY 1) SELECT a.name AS name, b.name AS other, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance, CAST(a.parts * b.parts AS BIGINT) AS pairs FROM n a JOIN n b ON a.name < b.name AND levenshtein(a.name, b.name) <= 2")
 def party_similarity_join(spark, sf_dir):
-    """Names within edit distance 2, by a length band and the bounded built-in distance."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("x"), F.length("n_name").alias("l"))
-    bands = n.withColumn("band", F.explode(F.sequence(F.col("l") - 2, F.col("l") + 2))).select(F.col("k").alias("k2"), F.col("x").alias("x2"), "band")
-    return n.join(bands, F.col("l") == F.col("band")).filter((F.col("k") < F.col("k2")) & (F.levenshtein("x", "x2", 2) >= 0)).agg(F.count("*").alias("pairs"))
+    """All pairs of names within two edits, and how many pairs of rows have them."""
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("parts"))
+    found = c.similar_names(names.select("name"), 2)
+    left, right = names.withColumnRenamed("parts", "a"), names.select(F.col("name").alias("other"), F.col("parts").alias("b"))
+    return found.join(left, "name").join(right, "other").select("name", "other", "distance", (F.col("a") * F.col("b")).alias("pairs"))
 
 
 @query("table_function", f"SELECT o_orderkey AS doc_id, {REPORTER} AS reporter FROM orders")
@@ -536,3 +655,12 @@ def stream_summary(spark, sf_dir):
     out, mark = f"{folder}/out-{uuid.uuid4().hex}", f"{folder}/mark-{uuid.uuid4().hex}"
     streaming.run_to_table(spark, docs, out, mark)
     return spark.read.parquet(out).groupBy("reporter").agg(F.count("*").alias("cites"))
+
+
+@query("single_type_functions", f"SELECT o_orderkey AS doc_id, 'case' AS type, {CITE} AS matched_text FROM orders UNION ALL SELECT o_orderkey, 'statute', concat('42 U.S.C. § ', o_orderkey % 900 + 1) FROM orders")
+def single_type_functions(spark, sf_dir):
+    """extract_case and extract_statute over the same texts."""
+    register.register(spark)
+    rendered(spark, sf_dir, f"concat('The court decided ', {CITE}, ' and read 42 U.S.C. § ', o_orderkey % 900 + 1, '.')").createOrReplaceTempView("rendered_both")
+    one = "SELECT doc_id, x.type, x.matched_text FROM rendered_both, LATERAL {}(text) x"
+    return spark.sql(one.format("extract_case") + " UNION ALL " + one.format("extract_statute"))

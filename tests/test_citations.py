@@ -127,7 +127,7 @@ def test_bad_inputs_are_fast(text):
     patterns()
     began = time.time()
     extract(text)
-    assert time.time() - began < 5
+    assert time.time() - began < 0.5
 
 
 def test_zones():

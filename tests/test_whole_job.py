@@ -33,11 +33,11 @@ def test_entities_of_all_pages(spark, tmp_path):
     """Pages of several lines and with any of the entities are read too."""
     html = {1: "a\t\n b &sect;&para; c", 2: "x&mdash;y&ndash;z &apos;q&apos;", 3: "one  two  　three", 4: "p &amp; q “r” &lt;&gt;&quot;&nbsp;"}
     sf_dir = table(spark, tmp_path, "pages", list(html.items()), "page_id long, html string")
-    got = {r.page_id: r.text for r in catalog.QUERIES["native_entities_all"](spark, sf_dir).collect()}
+    got = {r.page_id: r.text for r in catalog.QUERIES["native_entities"](spark, sf_dir).collect()}
     assert got == {1: "a b §¶ c", 2: "x—y-z 'q'", 3: "one two three", 4: 'p & q "r" <>" '}
 
 
-@pytest.mark.parametrize("name", ["blank_pages_all", "reporter_validation_all"])
+@pytest.mark.parametrize("name", ["blank_pages", "reporter_validation"])
 def test_all_orders(spark, tmp_path, name):
     """One row for each order, whatever its customer's remainder."""
     rows = [(k, k + 5, "1995-01-02") for k in range(1, 25)]
