@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from itertools import groupby
 
 from . import parsers as ps
@@ -33,15 +34,26 @@ class Options:
         return replace(self, **changes)
 
 
+@lru_cache(maxsize=16)
+def _literals(table: tuple[Pattern, ...]) -> tuple[str, ...]:
+    return tuple({n: None for p in table for n in p.needles})
+
+
+@lru_cache(maxsize=4096)
+def _possible(table: tuple[Pattern, ...], present: tuple[str, ...]) -> list[tuple[int, Pattern]]:
+    """The patterns that a text with these literals may match, with their priorities; a repeated id has its first one's."""
+    first: dict[str, int] = {}
+    here = set(present)
+    ranked = [(first.setdefault(p.id, k), p) for k, p in enumerate(table)]
+    return [(k, p) for k, p in ranked if not p.needles or not here.isdisjoint(p.needles)]
+
+
 def scan(text: str, table: tuple[Pattern, ...] | None = None) -> list[dict]:
     """Every match of every pattern, by start, then by priority."""
     out = []
-    first: dict[str, int] = {}
+    table = patterns() if table is None else table
     low = text.lower()
-    for k, p in enumerate(table or patterns()):
-        priority = first.setdefault(p.id, k)
-        if p.needles and not any(n in low for n in p.needles):
-            continue
+    for priority, p in _possible(table, tuple([n for n in _literals(table) if n in low])):
         at = 0
         while (m := p.regex.search(text, at)) is not None:
             if m.end() == m.start() or p.accept is not None and not p.accept(m):

@@ -19,7 +19,7 @@ from . import lexicon as lx
 from .lexicon import one_of, tolerant
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Pattern:
     id: str
     type: str
