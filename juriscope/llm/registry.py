@@ -62,9 +62,10 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-#: Hash trees, fitted networks, language models and rendered pages are tested against brute force instead.
+#: Fitted networks, language models and rendered pages are tested against brute force instead.
 ORACLES = {
     "op2_contamination": contamination.ORACLE,
+    "op3_shard_tree": sharding.ORACLE,
     "op4_top_k": topk.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op6_substrings": substrings.ORACLE,

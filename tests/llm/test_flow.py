@@ -1,5 +1,7 @@
 """Sharding and mixing: laws, movement, targets, odd rows."""
 
+import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -22,21 +24,81 @@ def test_slots_and_sizes(odd_docs, odd_rows):
     assert all(len(s) == 1 for s in by_id.values())
 
 
-def test_movement_follows_weights(spark):
-    ids = spark.range(20000).withColumnRenamed("id", "doc_id")
-    even = sharding.place(ids["doc_id"], sharding.Tree(12))
-    heavy = sharding.place(ids["doc_id"], sharding.Tree(12, weights=(1, 1, 1, 3)))
-    rows = ids.select(even.alias("a"), heavy.alias("b")).collect()
-    assert all(r.a == r.b or r.b == 3 for r in rows)  # only into the shard whose weight grew
-    share = Counter(r.b for r in rows)[3] / 20000
-    assert abs(share - 3 / 14) < 0.02
-    assert max(Counter(r.a for r in rows).values()) < 20000 / 12 * 1.15
+def plain_shard(key, tree):
+    """The descent in plain Python."""
+    node, name = tree.regions, "root"
+    for _ in range(3):
+        draws = []
+        for i, child in enumerate(node):
+            weight = sharding._weight(child)
+            if weight > 0:
+                u = (int(hashlib.md5(f"{name}/{i}:{'' if key is None else key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                draws.append((-math.log(u) / weight, i))
+        i = min(draws)[1]
+        node, name = node[i], f"{name}/{i}"
+    return node[0]
 
 
-def test_gone_shard_moves_only_its_rows(spark):
-    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
-    rows = ids.select(sharding.place(ids["doc_id"], sharding.Tree(6)).alias("a"), sharding.place(ids["doc_id"], sharding.Tree(6, weights=(1, 1, 0))).alias("b")).collect()
-    assert all(r.a == r.b or r.a == 2 for r in rows) and all(r.b != 2 for r in rows)
+def places(spark, n, **trees):
+    rows = sharding.place(spark.range(n).withColumnRenamed("id", "doc_id"), "doc_id", trees).collect()
+    return [r.asDict() for r in sorted(rows)]
+
+
+def test_descent_against_plain_python(spark, odd_docs, odd_rows):
+    trees = {"a": sharding.Tree.even(24), "b": sharding.Tree.even(24).grown(), "c": sharding.Tree.even(7, 2, 3, (1, 2.5, 0, 4)), "d": sharding.Tree.even(1)}
+    for r in places(spark, 400, **trees):
+        assert all(r[n] == plain_shard(r["doc_id"], t) for n, t in trees.items())
+    got = {(r.doc_id, r.shard, r.grown_shard) for r in sharding.shard_documents(odd_docs, shards=5).collect()}
+    small = sharding.Tree.even(5)
+    assert got == {(d, plain_shard(d, small), plain_shard(d, small.grown())) for d, _, _ in odd_rows}
+
+
+def region_of(shard):
+    return shard % 3
+
+
+def rack_of(shard):
+    return shard % 3, shard // 3 % 2
+
+
+def test_movement_is_confined_to_changed_subtrees(spark):
+    """A heavier shard draws rows into its region, within the region into its rack, within the rack into itself; nothing else moves."""
+    rows = places(spark, 20000, a=sharding.Tree.even(12), b=sharding.Tree.even(12, weights=(1, 1, 1, 3)))
+    moved = [(r["a"], r["b"]) for r in rows if r["a"] != r["b"]]
+    assert all(region_of(b) == 0 for _, b in moved)
+    inside = [(a, b) for a, b in moved if region_of(a) == 0]
+    assert all(rack_of(b) == rack_of(3) for a, b in inside) and all(b == 3 for a, b in inside if rack_of(a) == rack_of(3))
+    shares = Counter(r["b"] for r in rows)
+    assert abs(shares[3] / 20000 - 3 / 14) < 0.02 and abs(shares[5] / 20000 - 1 / 14) < 0.01
+    assert max(Counter(r["a"] for r in rows).values()) < 20000 / 12 * 1.15
+
+
+def test_gone_shard_empties_and_leaves_other_regions(spark):
+    rows = places(spark, 5000, a=sharding.Tree.even(12), b=sharding.Tree.even(12, weights=(1, 1, 0)))
+    assert all(r["b"] != 2 for r in rows)
+    moved = [(r["a"], r["b"]) for r in rows if r["a"] != r["b"]]
+    # out of shard 2's region to others, or inside that region; never between two other regions
+    assert moved and all(region_of(a) == 2 for a, _ in moved)
+
+
+def test_growth_moves_rows_only_into_the_new_shard(spark):
+    rows = places(spark, 20000, a=sharding.Tree.even(24), b=sharding.Tree.even(24).grown())
+    moved = [r for r in rows if r["a"] != r["b"]]
+    assert all(r["b"] == 24 for r in moved) and abs(len(moved) - 20000 / 25) < 120
+
+
+def test_the_shape_of_the_tree_matters(spark):
+    rows = places(spark, 3000, a=sharding.Tree.even(24, 3, 2), b=sharding.Tree.even(24, 4, 2))
+    assert sum(r["a"] != r["b"] for r in rows) > 2000
+
+
+def test_slots_of_repeated_rows(spark):
+    """One doc_id and text holds most rows: equal rows are divided over partitions and numbered once each."""
+    docs = spark.range(4000).selectExpr("CASE WHEN id < 3000 THEN 7 ELSE id END AS doc_id", "'same' AS text").repartition(9)
+    slots = defaultdict(list)
+    for r in sharding.shard_documents(docs, shards=4).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 4000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
 def test_empty_tables(no_docs):
