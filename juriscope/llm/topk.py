@@ -1,10 +1,14 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Vectors become integer term weights (one term per dimension). Documents are cut into blocks of
-neighbouring ids; a block keeps a forward index (its weight matrix) and each term's maximum and
-minimum. For a query the bound of a block is the sum over terms of the largest product the block
-can reach. Each task takes its blocks in falling order of their bounds, scores a block through its
-forward index, and stops for a query once the next bound falls below the query's k-th score.
+Vectors become integer term weights (one term per dimension). Documents are numbered so that similar
+ones are neighbours (by the nearest of a few centres) and cut into blocks of neighbours; a block keeps
+a forward index (its weight matrix) and each term's maximum and minimum. For a query the bound of a
+block is the sum over terms of the largest product the block can reach. Every query starts with the
+k-th score that it reaches among a bounded number of documents spread over all centres, so all tasks
+prune by it from their first block. A task takes its blocks in falling order of their bounds, scores a
+block through its forward index, and stops for a query once the next bound falls below its k-th score.
+
+Numbering and starting scores decide only how much is pruned, never what is found.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from .shared import materialise
 BLOCK_ROWS = 256
 #: Bytes of queries searched (and broadcast) at once; more queries take more passes.
 QUERY_BYTES = 32 << 20
+#: Centres by which documents are numbered, and documents at most from which they and the first k-th scores are taken.
+CENTRES = 64
+SEEDS = 4096
 #: Sums of products below this are exact in doubles.
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
@@ -59,17 +66,18 @@ def _widen(m: np.ndarray, width: int) -> np.ndarray:
 class _Best:
     """The k best (score, smaller id first) of each query so far."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, least: np.ndarray | None = None):
         self.scores: list[np.ndarray] = [np.empty(0, np.int64)] * queries
         self.ids: list[np.ndarray] = [np.empty(0, np.int64)] * queries
-        self.k, self.kth = k, np.full(queries, -np.inf)
+        # least: scores that k candidates are known to reach, wherever those are
+        self.k, self.kth = k, np.full(queries, -np.inf) if least is None else least.astype(np.float64)
 
     def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate([self.scores[query], scores]), np.concatenate([self.ids[query], ids])
         order = np.lexsort((i, -s))[: self.k]
         self.scores[query], self.ids[query] = s[order], i[order]
         if len(order) == self.k:
-            self.kth[query] = float(s[order[-1]])
+            self.kth[query] = max(self.kth[query], float(s[order[-1]]))
 
 
 def search_blocks(blocks: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, query_ids: np.ndarray, k: int, best: _Best, counts: list[int]) -> None:
@@ -100,10 +108,74 @@ def search_blocks(blocks: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarr
                     best.add(int(r), s[good], ids[good])
 
 
+def _centres(x: np.ndarray, most: int) -> np.ndarray:
+    """Unit centres of the rows by a few rounds of spherical k-means, begun at evenly spaced rows."""
+    norms = np.linalg.norm(x, axis=1)
+    x = x[norms > 0] / norms[norms > 0, None]
+    if not len(x):
+        return np.zeros((1, x.shape[1]))
+    centres = x[np.linspace(0, len(x) - 1, min(most, len(x))).astype(int)]
+    for _ in range(8):
+        nearest = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+    return centres
+
+
+def _near(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row; rows may be shorter or longer than the centres."""
+    width = min(x.shape[1], centres.shape[1])
+    if not width or not len(x):
+        return np.zeros(len(x), np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.nan_to_num(x[:, :width] @ centres[:, :width].T).argmax(axis=1)
+
+
 _OUT = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64) -> DataFrame:
+def numbered(vectors: DataFrame, seeds: tuple[np.ndarray, np.ndarray], scale: int) -> DataFrame:
+    """vec_id, v, centre of usable vectors, range-partitioned by (centre, vec_id): the order of the blocks.
+
+    A centre that holds many rows fills many partitions, since vec_id and the vector's hash divide it.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    centres = _centres(seeds[1], CENTRES)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = _near(_matrix(batch.column("v").to_pylist(), scale), centres)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["vec_id", "v", "centre"])
+
+    rows = rows.mapInArrow(assign, "vec_id bigint, v array<double>, centre int")
+    return materialise(rows.repartitionByRange("centre", "vec_id", F.xxhash64("v")).sortWithinPartitions("centre", "vec_id"), "vectors")
+
+
+def _seeds(vectors: DataFrame, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vec_id, weights) of at most SEEDS usable vectors: those whose hash is least, so the choice does not depend on the partitions."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    chosen = rows.orderBy(F.xxhash64("vec_id", "v")).limit(SEEDS).toArrow()
+    return chosen.column("vec_id").to_numpy(), _matrix(chosen.column("v").to_pylist(), scale)
+
+
+def _begin(q: np.ndarray, query_ids: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int) -> np.ndarray:
+    """For each query the k-th score that seeds with another id reach; none where there are fewer than k."""
+    ids, x = seeds
+    out = np.full(len(q), -np.inf)
+    if len(ids) < k:
+        return out
+    width = max(q.shape[1], x.shape[1])
+    q, x = _widen(q, width), _widen(x, width)
+    for at in range(0, len(q), 256):
+        scores = _products(q[at : at + 256], x).astype(np.float64)
+        scores[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
+        out[at : at + 256] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    return out
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, report: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of vectors for every row of queries, exactly.
 
     Both tables have vec_id and embedding. Vectors that are null or hold a null or non-finite
@@ -111,41 +183,48 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64)
     candidates are the rows with another vec_id, rows that repeat a vec_id being candidates each;
     queries that repeat exactly are asked once; ties go to the smaller vec_id; scores beyond 64 bits
     saturate; empty tables give an empty result; other columns are not read.
+
+    Queries are asked in passes of QUERY_BYTES: a pass is broadcast, its results are written and its
+    broadcast is dropped before the next one begins. ``report`` takes a row (scored, skipped) of pairs
+    of query and block for each pass.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    seeds = _seeds(vectors, scale)
+    rows = numbered(vectors, seeds, scale)
     asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("v")).filter(usable(F.col("v")) & F.col("query_id").isNotNull()).distinct()
     asked = materialise(asked.withColumn("query", F.monotonically_increasing_id()), "queries")
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v") * 8 + 64), F.lit(0)).alias("bytes")).first()
     passes = max(1, math.ceil(size["bytes"] / QUERY_BYTES))
-    # document ranges: rows of neighbouring ids meet in one partition, however often an id repeats
-    parts = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
-    ranged = rows.repartitionByRange(parts, "vec_id", F.xxhash64("v")).sortWithinPartitions("vec_id")
     found = None
     for p in range(passes):
         some = (asked.filter(F.pmod(F.xxhash64("query"), F.lit(passes)) == p) if passes > 1 else asked).orderBy("query").toArrow()
-        shared = spark.sparkContext.broadcast(some)
+        matrix = _matrix(some.column("v").to_pylist(), scale)
+        ids, names = some.column("query_id").to_numpy(), some.column("query").to_numpy()
+        shared = spark.sparkContext.broadcast((matrix, ids, names, _begin(matrix, ids, seeds, k)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            if table.num_rows == 0:
+            matrix, ids, names, least = shared.value
+            if not len(ids):
                 return
-            matrix = _matrix(table.column("v").to_pylist(), scale)
-            ids, names = table.column("query_id").to_numpy(), table.column("query").to_numpy()
-            best, counts = _Best(len(ids), k), [0, 0]
+            best, counts = _Best(len(ids), k, least), [0, 0]
             for batch in batches:  # a batch is a run of neighbouring blocks; thresholds carry over
                 own, rest = batch.column("vec_id").to_numpy(), batch.column("v").to_pylist()
                 blocks = [(own[i : i + BLOCK_ROWS], _matrix(rest[i : i + BLOCK_ROWS], scale)) for i in range(0, len(rest), BLOCK_ROWS)]
                 if blocks:
                     search_blocks(blocks, matrix, ids, k, best, counts)
+            # a row without query carries the counts of pairs scored and skipped
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([counts[0]]), pa.array([counts[1]])], schema=_OUT)
             for i, name in enumerate(names):
                 if len(best.ids[i]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best.ids[i]), name, np.int64)), pa.array(best.ids[i]), pa.array(best.scores[i])], schema=_OUT)
 
-        part = ranged.mapInArrow(search, "query bigint, vec_id bigint, score bigint")
+        part = materialise(rows.mapInArrow(search, "query bigint, vec_id bigint, score bigint"), f"best-{p}")
+        shared.unpersist()
+        if report is not None:
+            report.append(tuple(part.filter("query is null").agg(F.coalesce(F.sum("vec_id"), F.lit(0)), F.coalesce(F.sum("score"), F.lit(0))).first()))
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.filter("query is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     names = asked.select("query", "query_id")
     names = F.broadcast(names) if size["n"] <= 1_000_000 else names
     return ranked.join(names, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -222,6 +222,36 @@ def test_top_k_empty_and_passes(spark, monkeypatch):
     assert sorted(map(tuple, topk.op4_top_k(df).collect())) == whole
 
 
+def test_clustered_vectors_are_pruned(spark, monkeypatch):
+    """Vectors in tight groups, ids in random order: most pairs of query and block are skipped, and the result is exact."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(20, 16))
+    rows = [(int(i), [float(x) for x in heads[i % 20] + rng.normal(size=16) * 0.05]) for i in rng.permutation(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    report = []
+    got = sorted(map(tuple, topk.top_k(df, df.filter("vec_id % 20 = 0"), 5, 64, report).collect()))
+    ids, x = np.array([r[0] for r in rows]), np.floor(np.array([r[1] for r in rows]) * 64).astype(int)
+    want = []
+    for i, v in zip(ids, x, strict=True):
+        if i % 20 == 0:
+            best = sorted((-int(s), int(j)) for s, j in zip(x @ v, ids, strict=True) if j != i)[:5]
+            want += [(int(i), n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    scored, skipped = report[0]
+    assert skipped > 3 * scored, report
+
+
+def test_starting_scores_are_reached():
+    rng = np.random.default_rng(6)
+    x, ids = np.floor(rng.normal(size=(90, 5)) * 30), np.arange(90) % 80
+    q = x[:7]
+    least = topk._begin(q, ids[:7], (ids, x), 4)
+    for r in range(7):
+        assert least[r] == sorted((x[ids != ids[r]] @ q[r]).tolist())[-4]
+    assert (topk._begin(q, ids[:7], (ids[:3], x[:3]), 4) == -np.inf).all()
+
+
 def test_blocks_are_pruned():
     rng = np.random.default_rng(3)
     blocks = [(np.arange(b * 50, b * 50 + 50), np.floor(rng.normal(size=(50, 4)) * (1 + 20 * (b == 0)))) for b in range(20)]
