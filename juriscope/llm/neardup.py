@@ -6,13 +6,16 @@
    share a region; regions with one class are dropped. Rows are range-sorted by the tree's order, so
    those with the longest common prefixes are neighbours, and large regions are cut at deeper values
    (adaptive depth): no region needs to fit one task. Neighbours whose signatures agree enough are
-   candidates. Where a region holds more rows than a window and the windows have not joined them all,
-   its rows are sorted again by further orders of their values, the more the larger the region is, so
-   that unrelated rows between two near copies do not keep these apart.
-3. Candidates are grouped by connected components, and within a group links are confirmed on the
-   full sets through an inverted index, so classes that no tree put side by side are still compared.
-   Groups too large for one task are linked block by block, then through the leaders of what is
-   linked so far, then exactly for all that is outside the largest part.
+   candidates.
+3. A window may be too narrow for a region that holds more rows than it. Regions in which the windows of
+   all trees have left rows apart are looked at again as a whole: up to CROWD rows, all their
+   signatures are compared; beyond, all their rows become one group of candidates, on which step 4 is
+   exact. So no pair that shares a region is lost to the width of a window.
+4. Candidates are grouped by connected components, and within a group links are confirmed on the
+   full sets through an index of their rarest shingles (two sets with the similarity asked for share one
+   among those), so classes that no tree put side by side are still compared. Groups whose work is
+   more than a task's share are cut into blocks: linked block by block, then through the leaders of
+   what is linked so far, then exactly for all that is outside the largest part.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ NEIGHBOURS = 16
 #: Share of equal signature bytes from which neighbours are candidates: about four standard
 #: deviations of the estimate below a similarity of 0.75.
 LEAST_AGREEMENT = 0.56
-#: Chance that a pair of similarity 0.75 meets in none of a crowded region's further orders, where the
-#: other rows agree with them on half of the values; a pair shares a region in 13 of the 32 trees.
-MISSED = 1e-3
-#: Shingles of a candidate group that one task links; larger groups are linked in blocks.
+#: Rows of a region whose signatures are all compared; beyond, the region becomes a group of candidates.
+CROWD = 512
+#: Shingles that one task may hold, and shingles of a group that are not worth dividing.
 GROUP_SHINGLES = 3_000_000
+LEAST_SHINGLES = 20_000
 #: Candidate classes up to this count (16 bytes each) are broadcast to the scan of texts.
 MOST_BROADCAST = 1_000_000
 
@@ -167,7 +170,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trees = part.column("tree").to_numpy()
             bits = (signed & 0xFF).astype(np.uint8)
             place = [int(r).to_bytes(8, "big", signed=True) + deeper[t][k].tobytes() for k, (r, t) in enumerate(zip(regions, trees, strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.binary()), part.column("rep"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["place", "rep", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("region"), pa.array(place, pa.binary()), part.column("rep"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["region", "place", "rep", "bits"])
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("seam", pa.int64()), ("place", pa.binary()), ("bits", pa.binary())])
@@ -212,37 +215,6 @@ def _pairs(place: list[bytes], reps: np.ndarray, bits: np.ndarray) -> tuple[list
                 if (flat == label).all():
                     break
                 label = flat
-    a, b = _further_orders(region, reps, bits, label, least)
-    return a_out + a, b_out + b
-
-
-def _further_orders(region: np.ndarray, reps: np.ndarray, bits: np.ndarray, label: np.ndarray, least: int) -> tuple[list[int], list[int]]:
-    """Candidate pairs between the labels that are left in regions larger than a window; merges them in label."""
-    a_out, b_out = [], []
-    edges = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])) if len(reps) else np.empty(0, np.int64)
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        own = label[lo:hi]
-        if hi - lo <= NEIGHBOURS + 1 or (own == own[0]).all():
-            continue
-        meet = 0.75 ** np.log2((hi - lo) / NEIGHBOURS)
-        rng = np.random.default_rng(hi - lo)
-        for _ in range(int(np.ceil(np.log(MISSED) / np.log1p(-meet)))):
-            key = np.ascontiguousarray(bits[lo:hi, rng.permutation(VALUES)[:16]]).view(">u8")
-            order = lo + np.lexsort((key[:, 1], key[:, 0]))
-            for w in range(1, NEIGHBOURS + 1):
-                x, y = order[w:], order[:-w]
-                near = np.flatnonzero((label[x] != label[y]) & (reps[x] != reps[y]))
-                near = near[(bits[x[near]] == bits[y[near]]).sum(axis=1) >= least]
-                for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True):
-                    p, q = _root(label, i), _root(label, j)
-                    if p != q:
-                        label[max(p, q)] = min(p, q)
-                        a_out.append(int(reps[i]))
-                        b_out.append(int(reps[j]))
-                while len(near) and (label[own] != own).any():
-                    label[lo:hi] = label[own]
-            if (own == own[0]).all():
-                break
     return a_out, b_out
 
 
@@ -288,44 +260,98 @@ def _seam(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _whole_region(table: pa.Table) -> pa.Table:
+    """Candidate pairs among the rows of one region that other regions have not joined, by all their signatures."""
+    table = table.combine_chunks()
+    reps, label = table.column("rep").to_numpy(), np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+    bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(-1, VALUES)
+    least = int(np.ceil(LEAST_AGREEMENT * VALUES))
+    a, b = [], []
+    for i in range(1, len(reps)):
+        near = np.flatnonzero(label[:i] != label[i])
+        near = near[(bits[near] == bits[i]).sum(axis=1) >= least]
+        for j in near.tolist():
+            if label[j] != label[i]:
+                a.append(int(reps[i]))
+                b.append(int(reps[j]))
+                label[label == label[i]] = label[j]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def candidates(reps: DataFrame, partitions: int) -> DataFrame:
     """a, b: candidate pairs of classes. reps: rep, signature."""
     regions = reps.mapInArrow(_regions, "region bigint, rep bigint, tree int")
     shared = regions.groupBy("region").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").select("region")
     crowded = regions.join(shared, "region").join(reps, "rep")
-    keyed = crowded.mapInArrow(_keyed, "place binary, rep bigint, bits binary")
+    keyed = crowded.mapInArrow(_keyed, "region bigint, place binary, rep bigint, bits binary")
     keyed = materialise(keyed, "places")
-    ordered = keyed.repartitionByRange(partitions, "place", "rep").sortWithinPartitions("place", "rep")
+    ordered = keyed.select("place", "rep", "bits").repartitionByRange(partitions, "place", "rep").sortWithinPartitions("place", "rep")
     found = materialise(ordered.mapInArrow(_neighbours, _LINKS_DDL), "neighbours")
     seams = found.filter("seam is not null").groupBy("seam").applyInArrow(_seam, "a bigint, b bigint")
-    return found.filter("seam is null").select("a", "b").unionByName(seams)
+    near = materialise(found.filter("seam is null").select("a", "b").unionByName(seams), "near")
+    # regions larger than a window in which rows are still apart
+    sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > NEIGHBOURS + 1)
+    wide = materialise(keyed.select("region", "rep").join(sizes, "region"), "wide")
+    if wide.isEmpty():
+        return near
+    labels = components(near).withColumnRenamed("node", "rep")
+    wide = wide.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    apart = wide.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
+    wide = materialise(wide.join(apart, "region"), "apart")
+    some = wide.filter(F.col("n") <= CROWD).join(keyed.select("region", "rep", "bits"), ["region", "rep"])
+    compared = some.select("region", "rep", "label", "bits").groupBy("region").applyInArrow(_whole_region, "a bigint, b bigint")
+    # one representative of each part of a large region: the parts are joined, step 4 sees all their rows
+    parts = wide.filter(F.col("n") > CROWD).groupBy("region", "label").agg(F.min("rep").alias("rep"))
+    first = parts.groupBy("region").agg(F.min("rep").alias("b"))
+    joined = parts.join(first, "region").select(F.col("rep").alias("a"), "b").filter("a <> b")
+    return near.unionByName(compared).unionByName(joined)
 
 
 def linked(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """New labels: classes with equal labels or with 100 * intersection >= percent * union share one (the smallest id)."""
+    """New labels: classes with equal labels or with 100 * intersection >= percent * union share one (the smallest id).
+
+    Codes are numbered from the rarest on. Two sets that are linked share at least percent of the larger one, so
+    the rarest codes of each, all but that many less one, have a code in common: only those are indexed and
+    looked up, and what is found is counted on the full sets.
+    """
     m = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
-    joined = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), sizes)
-    _, code = np.unique(joined, return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    posting = owner[order]
-    edge = np.searchsorted(code[order], np.arange(code.max() + 2))
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.empty(len(often), np.int64)
+    number[np.argsort(often, kind="stable")] = np.arange(len(often))
     begin = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(m), sizes)
+    code = number[code]
+    code = code[np.lexsort((code, owner))]  # each set's codes, the rarest first
+    rare = sizes - (percent * sizes + 99) // 100 + 1
+    indexed = np.arange(len(code)) - begin[owner] < rare[owner]
+    order = np.argsort(code[indexed], kind="stable")
+    posting = owner[indexed][order]
+    edge = np.searchsorted(code[indexed][order], np.arange(len(often) + 1))
     _, start = np.unique(labels, return_inverse=True)
     by_start: dict[int, list[int]] = {}
     for i, s in enumerate(start.tolist()):
         by_start.setdefault(s, []).append(i)
     unseen = np.ones(m, bool)
     out = labels.copy()
-
-    def partners(x: int) -> np.ndarray:
-        """Which classes x is linked with."""
-        codes = code[begin[x] : begin[x + 1]]
-        lo, n = edge[codes], edge[codes + 1] - edge[codes]
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(posting[at], minlength=m)
-        return 100 * both >= percent * (sizes + sizes[x] - both)
+    mark = np.zeros(len(often), bool)
+
+    def runs(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The places lo, lo + 1, ... of each run of length n, one run after the other."""
+        return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+    def partners(x: int, among: np.ndarray) -> np.ndarray:
+        """Which of the classes in the mask ``among`` x is linked with."""
+        own = code[begin[x] : begin[x + 1]]
+        first = own[: rare[x]]
+        near = np.unique(posting[runs(edge[first], edge[first + 1] - edge[first])])
+        near = near[among[near] & (100 * sizes[near] >= percent * sizes[x]) & (100 * sizes[x] >= percent * sizes[near])]
+        if not len(near):
+            return near
+        mark[own] = True
+        both = np.add.reduceat(mark[code[runs(begin[near], sizes[near])]], np.concatenate([[0], np.cumsum(sizes[near])[:-1]]), dtype=np.int64)
+        mark[own] = False
+        return near[100 * both >= percent * (sizes[near] + sizes[x] - both)]
 
     left = m
     for first in range(m):
@@ -337,20 +363,19 @@ def linked(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent:
         done = 0
         while done < len(group) and left:
             if left < len(group) - done:  # fewer classes outside than inside: ask those
-                member = ~unseen
                 inside = np.zeros(m, bool)
                 inside[group] = True
                 grew = True
                 while grew and left:
                     grew = False
                     for u in np.flatnonzero(unseen).tolist():
-                        if unseen[u] and (partners(u) & inside).any():
+                        if unseen[u] and len(partners(u, inside)):
                             more = [i for i in by_start[int(start[u])] if unseen[i]]
                             group += more
                             unseen[more], inside[more], grew = False, True, True
                             left -= len(more)
                 break
-            hit = np.flatnonzero(partners(group[done]) & unseen)
+            hit = partners(group[done], unseen)
             done += 1
             for u in hit.tolist():
                 if unseen[u]:
@@ -430,14 +455,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(texts.mapInArrow(_sign, "doc_id bigint, n_shingles bigint, digest binary, signature binary"), "signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.count("*").alias("rows"))
     classes = materialise(classes, "classes")
     same = (full["digest"] == classes["digest"]) & (full["doc_id"] == classes["rep"])
     reps = materialise(full.join(classes, same).select("rep", "n", classes["digest"], "signature").dropDuplicates(["rep", "digest"]), "reps")
     groups = components(candidates(reps.select("rep", "signature"), partitions))
     weights = groups.join(reps.groupBy("rep").agg(F.sum("n").alias("n")), groups["node"] == F.col("rep")).groupBy("label").agg(F.sum("n").alias("n"))
-    sized = groups.join(weights, "label").withColumn("blocks", F.ceil(F.col("n") / F.lit(GROUP_SHINGLES)))
-    member = materialise(sized.select("node", "label", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), 2 * F.col("blocks"))).otherwise(F.lit(-1)).cast("long").alias("block")), "members")
+    weights = materialise(weights, "weights")
+    # a group of k shares of the work is cut into about sqrt(2 k) blocks, whose pairs are then k tasks
+    total = weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = min(GROUP_SHINGLES, max(LEAST_SHINGLES, total // (2 * partitions)))
+    blocks = F.when(F.col("n") <= 2 * share, F.lit(1)).otherwise(F.greatest(F.ceil(F.col("n") * 2 / F.lit(GROUP_SHINGLES)), F.ceil(F.sqrt(F.col("n") * 2 / F.lit(share)))))
+    sized = groups.join(weights, "label").withColumn("blocks", blocks)
+    member = materialise(sized.select("node", "label", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(-1)).cast("long").alias("block")), "members")
     small = member.count() <= MOST_BROADCAST
     chosen = texts.join(F.broadcast(member) if small else member, texts["doc_id"] == member["node"]).select("doc_id", "text", "label", "block")
     sets = chosen.mapInArrow(_sets, "rep bigint, label bigint, block bigint, shingles binary, digest binary")
@@ -446,8 +476,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not member.filter("block >= 0").isEmpty():
         edges = edges.unionByName(_large_groups(sets.filter("block >= 0"), percent))
     found = components(edges)
-    lows = classes.join(found.withColumnRenamed("label", "low"), classes["rep"] == found["node"], "left").select("digest", F.coalesce("low", "rep").alias("low"))
-    out = signed.join(lows, (signed["digest"] == lows["digest"]) & (signed["n_shingles"] > 0), "left")
+    lows = classes.join(found.withColumnRenamed("label", "low"), classes["rep"] == found["node"], "left").select("digest", "rows", F.coalesce("low", "rep").alias("low"))
+    lows = materialise(lows, "lows")
+    # documents without words share a digest but no class; classes with more copies than a task's share, of which
+    # there are few, are broadcast, so that their copies need not meet
+    words, none = signed.filter("n_shingles > 0"), signed.filter("n_shingles = 0")
+    hub = max(1000, lows.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] // partitions)
+    hubs = lows.filter(F.col("rows") > hub).select(F.col("digest").alias("hub"), F.col("low").alias("hub_low"))
+    told = words.join(F.broadcast(hubs), words["digest"] == F.col("hub"), "left")
+    hot = told.filter("hub is not null").select("doc_id", "n_shingles", F.col("hub_low").alias("low"))
+    rest = told.filter("hub is null").select("doc_id", "n_shingles", "digest").join(lows.filter(F.col("rows") <= hub).select("digest", "low"), "digest", "left").select("doc_id", "n_shingles", "low")
+    out = hot.unionByName(rest).unionByName(none.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("low")))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 
 
@@ -455,14 +494,20 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row of each component (that whose doc_id is the component_id), with the columns of docs.
 
     Of rows that repeat a doc_id the one with the smallest row hash stays; rows without doc_id are
-    linked with nothing and all stay.
+    linked with nothing and all stay. Only rows that repeat a kept doc_id are grouped; all others stay where they are
+    if the kept ids are few enough to broadcast, and are joined by doc_id otherwise.
     """
-    found = near_duplicates(docs, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = near_duplicates(docs, percent).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
     found = materialise(found, "kept")
-    row = F.struct(*docs.columns)
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t]).alias("mark"))
-    one = rows.join(found, rows["own_id"] == found["kept_id"], "left_semi").groupBy("own_id").agg(F.min_by("row", "mark").alias("row"))
-    return one.select("row.*").unionByName(docs.filter("doc_id is null"))
+    ids = found.filter("rows = 1")
+    if found.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    own = F.col("doc_id").cast("long")
+    once = docs.join(ids, own == ids["kept_id"], "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own_id"), F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t]).alias("mark"))
+    again = found.filter("rows > 1")
+    several = rows.join(again, rows["own_id"] == again["kept_id"], "left_semi").groupBy("own_id").agg(F.min_by("row", "mark").alias("row"))
+    return once.unionByName(several.select("row.*")).unionByName(docs.filter("doc_id is null"))
 
 
 def op10_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -150,30 +150,76 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("limit", [3_000_000, 700])
-def test_near_duplicates(spark, odd_rows, limit, monkeypatch):
-    """Also with groups too large for one task."""
+@pytest.mark.parametrize(("limit", "least", "crowd"), [(3_000_000, 20_000, 512), (700, 100, 512), (3_000_000, 300, 20)])
+def test_near_duplicates(spark, odd_rows, limit, least, crowd, monkeypatch):
+    """Also with groups too large for one task, with groups cut by their share of the work, and with crowded regions."""
     monkeypatch.setattr(neardup, "GROUP_SHINGLES", limit)
+    monkeypatch.setattr(neardup, "LEAST_SHINGLES", least)
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     rows = odd_rows + near_rows()
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, label string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted(plain_components(rows), key=str)
 
 
-def test_crowded_region():
-    """Near copies far apart among unrelated rows of one region are candidates nevertheless."""
+def crowded_signatures(n, planted):
+    """n signatures that share tree 0's region and half of their values, and near copies of the first ones."""
     rng = np.random.default_rng(8)
-    base = rng.integers(0, 256, neardup.VALUES, np.uint8)
-    bits = np.where(rng.random((1500, neardup.VALUES)) < 0.6, base, rng.integers(0, 256, (1500, neardup.VALUES), np.uint8))
-    bits = np.vstack([bits, np.where(rng.random((40, neardup.VALUES)) < 0.78, bits[:40], rng.integers(0, 256, (40, neardup.VALUES), np.uint8))]).astype(np.uint8)
-    rows = rng.permutation(len(bits))
-    places = [bytes(8) + bytes(int(x) for x in rng.integers(0, 256, 20)) for _ in rows]
-    a, b = neardup._pairs(sorted(places), rows.astype(np.int64), bits[rows])
+    base = rng.integers(0, 1 << 32, neardup.VALUES, np.uint32)
+    rows = np.where(rng.random((n, neardup.VALUES)) < 0.5, base, rng.integers(0, 1 << 32, (n, neardup.VALUES), np.uint32)).astype(np.uint32)
+    copies = np.where(rng.random((planted, neardup.VALUES)) < 0.8, rows[:planted], rng.integers(0, 1 << 32, (planted, neardup.VALUES), np.uint32)).astype(np.uint32)
+    rows = np.vstack([rows, copies])
+    rows[:, : neardup.DEPTH] = base[: neardup.DEPTH]
+    return rows
+
+
+def recall(spark, rows, planted, partitions):
+    reps = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)], "rep long, signature binary").repartition(partitions)
     union = components.Union()
-    for x, y in zip(a, b, strict=True):
-        union.join(x, y)
-    agree = (bits[1500:] == bits[:40]).mean(axis=1) >= neardup.LEAST_AGREEMENT
-    assert agree.sum() > 30 and all(union.find(k) == union.find(1500 + k) for k in np.flatnonzero(agree).tolist())
-    assert len({union.find(k) for k in range(1500)}) > 1000
+    for r in neardup.candidates(reps, partitions).collect():
+        union.join(r.a, r.b)
+    n = len(rows) - planted
+    agree = ((rows[n:] & 0xFF) == (rows[:planted] & 0xFF)).mean(axis=1) >= neardup.LEAST_AGREEMENT
+    found = np.array([union.find(k) == union.find(n + k) for k in range(planted)])
+    return found[agree].mean(), len({union.find(k) for k in range(n)})
+
+
+def test_recall_in_a_region_beyond_a_batch(spark):
+    """More than 10000 rows in one region: near copies anywhere in it meet in a group of candidates."""
+    assert recall(spark, crowded_signatures(12_000, 300), 300, 4)[0] >= 0.999
+
+
+def test_recall_in_a_wide_region(spark):
+    """Between a window and CROWD rows: near copies meet, and unrelated rows stay apart."""
+    found, parts = recall(spark, crowded_signatures(400, 60), 60, 3)
+    assert found == 1 and parts > 200
+
+
+def test_links_by_rare_shingles_against_all_pairs():
+    """The index of rare shingles against counting all pairs, with labels given before."""
+    rng = np.random.default_rng(9)
+    for percent in (75, 50, 90):
+        common = rng.integers(0, 1 << 60, 60, np.uint64)
+        sets = []
+        for _ in range(70):
+            if sets and rng.random() < 0.5:
+                base = sets[rng.integers(len(sets))]
+                keep = base[rng.random(len(base)) < rng.uniform(0.7, 1)]
+                own = np.unique(np.concatenate([keep, rng.integers(0, 1 << 60, rng.integers(0, 12), np.uint64)]))
+            else:
+                own = np.unique(np.concatenate([common[rng.random(60) < 0.6], rng.integers(0, 1 << 60, rng.integers(1, 40), np.uint64)]))
+            sets.append(own if len(own) else common[:1])
+        ids = np.arange(70) * 3 + 5
+        labels = np.where(rng.random(70) < 0.1, 5, ids)
+        union = components.Union()
+        for i, x in zip(ids.tolist(), labels.tolist(), strict=True):
+            union.join(i, x)
+        for i in range(70):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    union.join(int(ids[i]), int(ids[j]))
+        got = neardup.linked(ids, labels, sets, percent)
+        assert got.tolist() == [union.find(int(i)) for i in ids]
 
 
 def test_components_with_hubs(spark):
