@@ -1,5 +1,8 @@
 """HTML rendering, the quality classifier and the pipeline."""
 
+import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -101,3 +104,87 @@ def test_rows_below_a_spanning_cell():
 def test_raw_end_after_growing_letters():
     """Letters that lower-case to two characters do not move the end of a raw element."""
     assert extract("\u0130" * 12 + "<SCRIPT>x</Script>seen <b>too</b>") == "\u0130" * 12 + "seen too"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td><ul><li>a<li>b</ul><td>x<tr><td>c<td>y</table>", "- a | x\n- b\nc   | y"), ("<table><tr><td><p>one<p>two</table>", "one\n\ntwo"),
+        ("<table><tr><td><table><tr><td>a<td>b</table><td>side</table>", "a | b\nside"), ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b></div>", "b"),
+        ("<style>.x, p.y{display:none} @media print{.z{display:none}} #k{visibility:hidden}</style><p class='w x'>a<p class=y>b</p><i class=y>c</i><p class=z>d<p id=k>e", "c\n\nd"),
+        ("<details><summary>s</summary>t</details><details open><summary>u</summary>v</details>", "s\nu\nv"), ("<pre>\na\n b</pre>", "a\n b"), ("<p>a</p><table><tr><td colspan=1000>b<td>c<tr><td>d<td>e</table>", "a\n\nb     | c\nd | e"),
+        ("<p style='x'>a<p style='y' STYLE='display:none'>b", "a\n\nb"), ("<blockquote>a<blockquote>b</blockquote>c</blockquote>d", "  a\n\n    b\n\n  c\n\nd"), ("<table role=presentation><tr><td>a<td>b</table>", "a\nb"),
+    ],
+)
+def test_layout(page, text):
+    assert extract(page) == text
+
+
+def plain_tree(page):
+    """The builder with a stack that is walked element by element."""
+    from juriscope.llm import html_layout as h
+
+    root = h.Node("html", {})
+    stack = [root]
+
+    def close(names, stops):
+        again = True
+        while again:
+            again = False
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag in names:
+                    del stack[k:]
+                    again = True
+                    break
+                if stack[k].tag in stops:
+                    break
+
+    for slash, tag, text in re.findall(r"<(/?)(\w+)>|([^<]+)", page):
+        if text:
+            stack[-1].children.append(text)
+        elif slash:
+            if tag == "p" and all(n.tag != "p" for n in stack):
+                stack[-1].children.append(h.Node("p", {}))
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    del stack[k:]
+                    break
+                if stack[k].tag in ("table", "td", "th") and tag not in ("table", "tbody", "thead", "tfoot", "tr", "body", "html"):
+                    break
+        else:
+            if tag in h._CLOSES_P:
+                close({"p"}, h._P_STOPS)
+            if tag in h.CLOSES:
+                close(*h.CLOSES[tag])
+            stack[-1].children.append(h.Node(tag, {}))
+            stack.append(stack[-1].children[-1])
+    return root
+
+
+def test_tree_against_walking_the_stack():
+    from juriscope.llm import html_layout as h
+
+    shape = lambda n: n if isinstance(n, str) else (n.tag, [shape(c) for c in n.children])
+    rng = random.Random(3)
+    tags = "p div b ul li table tr td th tbody dl dt dd option select span".split()
+    for _ in range(600):
+        page = "".join(rng.choice((f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "x ")) for _ in range(rng.randint(1, 60)))
+        assert shape(h.build(page)) == shape(plain_tree(page)), page
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<p><div>", "<blockquote>", "<ul><li>", "<table><tr><td>", "<b>x", "</div>", "<td>y", "<a href='", "<dl><dd>", "<p>a<table><td><div>"])
+def test_long_pages_take_time_in_proportion(unit):
+    """Nested or unclosed tags without end: eight times the page takes about eight times as long."""
+    took, sizes = [], []
+    for size in (50_000, 400_000):
+        page = unit * (size // len(unit)) + "end"
+        began = time.perf_counter()
+        sizes.append(len(extract(page)) / len(page))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * max(took[0], 0.02) and took[1] < 10 and max(sizes) < 50
+
+
+def test_output_grows_with_the_page():
+    page = "<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "<tr><td colspan=1000>c<td colspan=1000>d" * 300 + "</table>"
+    text = extract(page)
+    assert len(text) < 20 * len(page) and "x" * 20_000 in text
