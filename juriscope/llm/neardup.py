@@ -294,7 +294,10 @@ def candidates(reps: DataFrame, partitions: int) -> DataFrame:
     wide = materialise(keyed.select("region", "rep").join(sizes, "region"), "wide")
     if wide.isEmpty():
         return near
-    labels = components(near).withColumnRenamed("node", "rep")
+    # what follows needs no more of the pairs than the stars that they make
+    stars = materialise(components(near), "stars")
+    near = stars.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = stars.withColumnRenamed("node", "rep")
     wide = wide.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     apart = wide.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
     wide = materialise(wide.join(apart, "region"), "apart")
@@ -415,7 +418,8 @@ def _large_groups(items: DataFrame, percent: int) -> DataFrame:
     edges = materialise(items.withColumn("now", F.col("rep")).groupBy("label", "block").applyInArrow(link, pair), "links")
     blocks = items.select(F.col("label").alias("of"), F.col("block").alias("to")).distinct()
     for _ in range(3):  # leaders of what is linked so far meet every block of their group
-        now = components(edges)
+        now = materialise(components(edges), "linked")
+        edges = now.select(F.col("node").alias("a"), F.col("label").alias("b"))
         named = items.join(now.withColumnRenamed("label", "low"), items["rep"] == now["node"], "left").drop("node").withColumn("now", F.coalesce("low", "rep")).drop("low")
         named = materialise(named, "named")
         leaders = named.filter("rep = now")

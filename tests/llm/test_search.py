@@ -222,8 +222,10 @@ def test_links_by_rare_shingles_against_all_pairs():
         assert got.tolist() == [union.find(int(i)) for i in ids]
 
 
-def test_components_with_hubs(spark):
-    """Stars larger than a task's share, a chain, a pair, repeated edges and loops."""
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_with_hubs(spark, few, monkeypatch):
+    """Stars larger than a task's share, a chain, a pair, repeated edges and loops; by rounds, and in one task."""
+    monkeypatch.setattr(components, "FEW", few)
     edges = [(0, k) for k in range(1, 400)] + [(k, 999) for k in range(390, 700)] + [(k, k + 1) for k in range(2000, 2040)] + [(9000, 8000)] * 3 + [(5, 5)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     union = components.Union()
