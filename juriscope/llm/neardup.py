@@ -412,7 +412,11 @@ def _linker(percent: int):
 
 
 def _large_groups(items: DataFrame, percent: int) -> DataFrame:
-    """Edges of groups beyond one task. items: label (group), block, rep, shingles; exact, see the module's text."""
+    """Edges of groups beyond one task's share. items: label (group), block, rep, shingles; exact, see the module's text.
+
+    There are fewer such groups than partitions, and few blocks of each, so what says something of a group or a block
+    is broadcast: only (group, block) decides where rows go, never the group alone.
+    """
     link = _linker(percent)
     pair = "a bigint, b bigint"
     edges = materialise(items.withColumn("now", F.col("rep")).groupBy("label", "block").applyInArrow(link, pair), "links")
@@ -424,8 +428,9 @@ def _large_groups(items: DataFrame, percent: int) -> DataFrame:
         named = materialise(named, "named")
         leaders = named.filter("rep = now")
         few = leaders.groupBy("label").agg(F.sum(F.length("shingles") / 8).alias("n"), F.count("*").alias("k")).filter((F.col("n") <= GROUP_SHINGLES) & (F.col("k") > 1)).select(F.col("label").alias("of"))
+        few = F.broadcast(few)
         sent = leaders.join(few, leaders["label"] == few["of"], "left_semi")
-        copies = sent.join(blocks, sent["label"] == blocks["of"]).filter("block <> to").select("label", F.col("to").alias("block"), "rep", "shingles", "now")
+        copies = sent.join(F.broadcast(blocks), sent["label"] == blocks["of"]).filter("block <> to").select("label", F.col("to").alias("block"), "rep", "shingles", "now")
         meet = named.join(few, named["label"] == few["of"], "left_semi").select("label", "block", "rep", "shingles", "now").unionByName(copies)
         more = materialise(meet.groupBy("label", "block").applyInArrow(link, pair), "links")
         if more.isEmpty():
@@ -436,11 +441,11 @@ def _large_groups(items: DataFrame, percent: int) -> DataFrame:
     named = materialise(named, "named")
     sizes = named.groupBy("label", "now").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("label").agg(F.max_by("now", F.struct("k", "now")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select(F.col("label").alias("of"), "main")
-    open_groups = named.join(largest, named["label"] == largest["of"])
+    open_groups = named.join(F.broadcast(largest), named["label"] == largest["of"])
     outside = open_groups.filter("now <> main").select("label", "block", "rep", "shingles", "now")
     outside_blocks = outside.select(F.col("label").alias("of2"), F.col("block").alias("other")).distinct()
-    left = outside.withColumnRenamed("block", "other").join(blocks, F.col("label") == F.col("of")).select("label", "other", F.col("to").alias("block"), "rep", "shingles", "now")
-    right = open_groups.select("label", "block", "rep", "shingles", "now").join(outside_blocks, F.col("label") == F.col("of2")).select("label", "other", "block", "rep", "shingles", "now")
+    left = outside.withColumnRenamed("block", "other").join(F.broadcast(blocks), F.col("label") == F.col("of")).select("label", "other", F.col("to").alias("block"), "rep", "shingles", "now")
+    right = open_groups.select("label", "block", "rep", "shingles", "now").join(F.broadcast(outside_blocks), F.col("label") == F.col("of2")).select("label", "other", "block", "rep", "shingles", "now")
     last = left.unionByName(right).dropDuplicates(["label", "other", "block", "rep", "shingles"]).groupBy("label", "other", "block").applyInArrow(link, pair)
     return edges.unionByName(last)
 
@@ -470,7 +475,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     total = weights.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = min(GROUP_SHINGLES, max(LEAST_SHINGLES, total // (2 * partitions)))
     blocks = F.when(F.col("n") <= 2 * share, F.lit(1)).otherwise(F.greatest(F.ceil(F.col("n") * 2 / F.lit(GROUP_SHINGLES)), F.ceil(F.sqrt(F.col("n") * 2 / F.lit(share)))))
-    sized = groups.join(weights, "label").withColumn("blocks", blocks)
+    # fewer groups than partitions have two shares or more: they are broadcast, so that no group's rows meet here
+    cut = weights.filter(F.col("n") > 2 * share).select("label", blocks.alias("blocks"))
+    sized = groups.join(F.broadcast(cut), "label", "left")
     member = materialise(sized.select("node", "label", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.lit(-1)).cast("long").alias("block")), "members")
     small = member.count() <= MOST_BROADCAST
     chosen = texts.join(F.broadcast(member) if small else member, texts["doc_id"] == member["node"]).select("doc_id", "text", "label", "block")
