@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER
+from .shared import LOWER, UPPER, materialise
 
 WINDOW = 13
 #: Benchmark text collected and broadcast at once; larger benchmarks are searched in so many blocks.
@@ -125,6 +125,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, name: str
         some = (items.filter(F.col("block") == b) if blocks > 1 else items).select("item", "item_text").collect()
         udf = _searcher(sorted(((r[0], r[1]) for r in some), key=lambda x: (x[0], x[1] or "")), window, spark)
         out = out.withColumn(name, udf(F.col("text"), F.col(name)))
+        if b < blocks - 1:  # written before the next block is read, so that no process holds two
+            out = materialise(out, f"block-{b}")
     return out
 
 

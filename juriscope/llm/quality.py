@@ -155,7 +155,7 @@ def _bytes(text: str | None) -> bytes:
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels of at most ``rows`` labelled documents outside the held-out third, in hash order of doc_id.
 
-    The bound is a parameter: candidates are three times as many labels (a few may lack a document
+    The bound is a parameter: candidates are half as many labels again (some may lack a document
     or be longer than ``most_bytes``). Null labels and rows without a document are passed over; of
     repeated rows one is used.
     """
