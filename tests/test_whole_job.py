@@ -43,3 +43,17 @@ def test_all_orders(spark, tmp_path, name):
     rows = [(k, k + 5, "1995-01-02") for k in range(1, 25)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "date(d) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(r.doc_id for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [k for k, _, _ in rows]
+
+
+@pytest.mark.parametrize("name", ["resolution"])
+def test_extracted_once_and_narrow(spark, tmp_path, name):
+    """Texts are read by one Python step, which makes only the fields that the view reads, and nothing stays stored."""
+    spark.createDataFrame([(1, 5, "1995-01-02")], "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "date(d) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    steps, open_ = [], [plan]
+    while open_:
+        node = open_.pop()
+        steps += [node] if node.nodeName() == "MapInArrow" else []
+        assert node.nodeName() != "InMemoryRelation"
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    assert len(steps) == 1 and steps[0].output().size() <= 8
