@@ -220,11 +220,18 @@ def parallel_groups(cites: DataFrame) -> DataFrame:
 
 
 def case_groups(cites: DataFrame) -> DataFrame:
-    """doc_id, case_key, mentions, full_mentions, short_mentions: full cites and the short forms that resolve to them."""
-    full = cites.filter("type = 'case'").select("doc_id", "cite_idx", F.coalesce("group_id", F.concat_ws("-", "volume", F.regexp_replace("reporter", r"\s+", "."), F.coalesce(F.col("page").cast("string"), F.lit("___")))).alias("case_key"))
-    short = cites.filter("type in ('id', 'supra', 'shortFormCase') and resolution.resolved_to is not null").select("doc_id", F.col("resolution.resolved_to").alias("cite_idx"))
-    mentions = full.withColumn("kind", F.lit("full")).unionByName(short.join(full, ["doc_id", "cite_idx"]).withColumn("kind", F.lit("short")))
-    return mentions.groupBy("doc_id", "case_key").agg(F.count("*").alias("mentions"), F.count(F.when(F.col("kind") == "full", 1)).alias("full_mentions"), F.count(F.when(F.col("kind") == "short", 1)).alias("short_mentions"))
+    """doc_id, case_key, mentions, full_mentions, short_mentions: full cites and the short forms that resolve to them.
+
+    The citations are read once and shuffled once: a short form goes to the place of the cite that it means.
+    """
+    key = F.coalesce("group_id", F.concat_ws("-", "volume", F.regexp_replace("reporter", r"\s+", "."), F.coalesce(F.col("page").cast("string"), F.lit("___"))))
+    full = F.col("type") == "case"
+    short = F.col("type").isin("id", "supra", "shortFormCase") & F.col("resolution.resolved_to").isNotNull()
+    placed = cites.filter(full | short).select("doc_id", F.when(full, F.col("cite_idx")).otherwise(F.col("resolution.resolved_to")).alias("place"), F.when(full, key).alias("case_key"))
+    places = placed.repartition("doc_id").groupBy("doc_id", "place").agg(F.collect_list("case_key").alias("keys"), F.count_if(F.col("case_key").isNull()).alias("shorts"))
+    return places.select("doc_id", F.explode("keys").alias("case_key"), "shorts").groupBy("doc_id", "case_key").agg(
+        (F.count("*") + F.sum("shorts")).alias("mentions"), F.count("*").alias("full_mentions"), F.sum("shorts").alias("short_mentions")
+    )
 
 
 def graph_edges(cites: DataFrame) -> DataFrame:

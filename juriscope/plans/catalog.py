@@ -290,7 +290,7 @@ def pincite_inheritance(spark, sf_dir):
 
 @query("case_groups", f"SELECT o_orderkey AS doc_id, concat({VOLUME}, '-', {REPORTER}, '-', {PAGE}) AS case_key, CAST(5 AS BIGINT) AS mentions, CAST(1 AS BIGINT) AS full_mentions, CAST(4 AS BIGINT) AS short_mentions FROM orders")
 def case_groups(spark, sf_dir):
-    return c.case_groups(stored(c.extract_citations(rendered(spark, sf_dir, _RESOLVE))))
+    return c.case_groups(c.extract_citations(rendered(spark, sf_dir, _RESOLVE), fields=c.GROUP_FIELDS))
 
 
 @query("graph_edges", "SELECT o_orderkey AS doc_id, edge, CAST(a AS INTEGER) AS from_idx, CAST(b AS INTEGER) AS to_idx FROM orders, (VALUES ('resolves-to', 1, 0), ('resolves-to', 3, 0), ('resolves-to', 4, 0), ('resolves-to', 5, 0), ('pincite-inherit', 5, 4)) t(edge, a, b)")
