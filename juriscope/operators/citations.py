@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -236,19 +236,22 @@ def case_groups(cites: DataFrame) -> DataFrame:
 
 def graph_edges(cites: DataFrame) -> DataFrame:
     """doc_id, edge, from_idx, to_idx: the document's citation graph, without self-edges or repeats;
-    antecedent: the citation just before a short form in its scope, by position."""
-    base = cites.select("doc_id", "cite_idx", "group_id", "nested_in", "history_of", "pincite_inherited_from", "string_group_id", F.col("resolution.resolved_to").alias("to"), F.col("resolution.antecedent").alias("before"))
-
-    def edges(kind: str, target: str) -> DataFrame:
-        return base.filter(f"{target} is not null").select("doc_id", F.lit(kind).alias("edge"), F.col("cite_idx").alias("from_idx"), F.col(target).alias("to_idx"))
-
-    out = edges("resolves-to", "to").unionByName(edges("antecedent", "before")).unionByName(edges("in-parenthetical-of", "nested_in")).unionByName(edges("history-of", "history_of")).unionByName(edges("pincite-inherit", "pincite_inherited_from"))
-    grouped = base.filter("group_id is not null").select("doc_id", "group_id", "cite_idx")
-    other = grouped.select("doc_id", "group_id", F.col("cite_idx").alias("to_idx"))
-    pairs = grouped.join(other, ["doc_id", "group_id"]).filter("cite_idx < to_idx").select("doc_id", F.lit("parallel").alias("edge"), F.col("cite_idx").alias("from_idx"), "to_idx")
-    order = Window.partitionBy("doc_id", "string_group_id").orderBy("cite_idx")
-    strings = base.filter("string_group_id is not null").select("doc_id", F.lit("string-cite").alias("edge"), F.col("cite_idx").alias("from_idx"), F.lead("cite_idx").over(order).alias("to_idx")).filter("to_idx is not null")
-    return out.unionByName(pairs).unionByName(strings).filter("from_idx <> to_idx").dropDuplicates(["doc_id", "edge", "from_idx", "to_idx"])
+    antecedent: the citation just before a short form in its scope, by position.
+
+    The citations are read once. What a citation points to itself needs only its row; the members of parallel and
+    string groups, and only they, meet by document and group. One shuffle, by document, serves groups and repeats.
+    """
+    pointers = (("resolves-to", "resolution.resolved_to"), ("antecedent", "resolution.antecedent"), ("in-parenthetical-of", "nested_in"), ("history-of", "history_of"), ("pincite-inherit", "pincite_inherited_from"))
+    groups = (("parallel", "group_id"), ("string-cite", "string_group_id"))
+    entry = lambda kind, target, member: F.struct(F.lit(kind).alias("edge"), target.cast("int").alias("to_idx"), member.cast("string").alias("member_of"))
+    entries = F.array(*(entry(k, F.col(t), F.lit(None)) for k, t in pointers), *(entry(k, F.lit(None), F.col(n)) for k, n in groups))
+    flat = cites.select("doc_id", F.col("cite_idx").alias("from_idx"), F.inline(entries)).filter("to_idx is not null or member_of is not null")
+    links = """CASE edge
+        WHEN 'parallel' THEN flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> named_struct('from_idx', x.from_idx, 'to_idx', y.from_idx))))
+        WHEN 'string-cite' THEN transform(slice(m, 1, size(m) - 1), (x, i) -> named_struct('from_idx', x.from_idx, 'to_idx', m[i + 1].from_idx))
+        ELSE m END"""
+    grouped = flat.repartition("doc_id").groupBy("doc_id", "edge", "member_of").agg(F.sort_array(F.collect_set(F.struct("from_idx", "to_idx"))).alias("m"))
+    return grouped.select("doc_id", "edge", F.inline(F.expr(links))).filter("from_idx <> to_idx").dropDuplicates(["doc_id", "edge", "from_idx", "to_idx"])
 
 
 def reporter_summary(cites: DataFrame) -> DataFrame:

@@ -295,7 +295,7 @@ def case_groups(spark, sf_dir):
 
 @query("graph_edges", "SELECT o_orderkey AS doc_id, edge, CAST(a AS INTEGER) AS from_idx, CAST(b AS INTEGER) AS to_idx FROM orders, (VALUES ('resolves-to', 1, 0), ('resolves-to', 3, 0), ('resolves-to', 4, 0), ('resolves-to', 5, 0), ('pincite-inherit', 5, 4)) t(edge, a, b)")
 def graph_edges(spark, sf_dir):
-    return c.graph_edges(stored(c.extract_citations(rendered(spark, sf_dir, _RESOLVE)))).select("doc_id", "edge", "from_idx", "to_idx")
+    return c.graph_edges(c.extract_citations(rendered(spark, sf_dir, _RESOLVE), fields=c.EDGE_FIELDS)).select("doc_id", "edge", "from_idx", "to_idx")
 
 
 _WEB = f"concat({PLAINTIFF}, ' v. ', {DEFENDANT}, ', ', {VOLUME}, ' U.S. ', {PAGE}, ', ', {VOLUME} + 1, ' S. Ct. ', {PAGE} + 1, ' (', {YEAR}, ') (quoting Roe v. Poe, 5 F.3d 6 (1990)), aff''d, 7 U.S. 8 (1999). See Coe v. Loe, 9 F.3d 10 (1991); see also Foe v. Moe, 11 F.3d 12 (1992). Zorro, supra, at 3. Id.')"

@@ -45,7 +45,7 @@ def test_all_orders(spark, tmp_path, name):
     assert sorted(r.doc_id for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [k for k, _, _ in rows]
 
 
-@pytest.mark.parametrize("name", ["resolution", "case_groups"])
+@pytest.mark.parametrize("name", ["resolution", "case_groups", "graph_edges"])
 def test_extracted_once_and_narrow(spark, tmp_path, name):
     """Texts are read by one Python step, which makes only the fields that the view reads, and nothing stays stored."""
     spark.createDataFrame([(1, 5, "1995-01-02")], "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "date(d) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
