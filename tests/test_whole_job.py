@@ -2,6 +2,7 @@
 
 import pytest
 
+from juriscope.operators import citations as views
 from juriscope.operators.documents import Options, extract
 from juriscope.plans import catalog
 
@@ -45,7 +46,7 @@ def test_all_orders(spark, tmp_path, name):
     assert sorted(r.doc_id for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [k for k, _, _ in rows]
 
 
-@pytest.mark.parametrize("name", ["resolution", "case_groups", "graph_edges"])
+@pytest.mark.parametrize("name", ["resolution", "case_groups", "graph_edges", "graph_all_edges"])
 def test_extracted_once_and_narrow(spark, tmp_path, name):
     """Texts are read by one Python step, which makes only the fields that the view reads, and nothing stays stored."""
     spark.createDataFrame([(1, 5, "1995-01-02")], "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "date(d) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
@@ -57,3 +58,17 @@ def test_extracted_once_and_narrow(spark, tmp_path, name):
         assert node.nodeName() != "InMemoryRelation"
         open_ += [node.children().apply(i) for i in range(node.children().size())]
     assert len(steps) == 1 and steps[0].output().size() <= 8
+
+
+def test_views_of_repeated_documents(spark):
+    """Links and groups of one document, of copies under its key, and of groups of three; no link to itself or twice."""
+    rows = [
+        ("a", 0, "case", "1-F.2d-2", None, None, "sc-0", None), ("a", 1, "case", "1-F.2d-2", None, None, "sc-0", None), ("a", 2, "case", "1-F.2d-2", 0, None, "sc-0", None),
+        ("a", 3, "id", None, None, 2, None, 0), ("a", 4, "supra", None, None, None, None, 4), ("b", 0, "case", None, None, None, None, None), ("b", 1, "shortFormCase", None, None, None, None, 0),
+    ]
+    cites = spark.createDataFrame(rows + rows[:5], "doc_id string, cite_idx int, type string, group_id string, nested_in int, history_of int, string_group_id string, to int")
+    cites = cites.selectExpr("*", "CAST(null AS INT) AS pincite_inherited_from", "'1' AS volume", "'F.2d' AS reporter", "CAST(9 AS BIGINT) AS page", "named_struct('resolved_to', to, 'antecedent', CAST(null AS INT)) AS resolution")
+    got = sorted(tuple(r) for r in views.graph_edges(cites).collect())
+    assert got == sorted([("a", "parallel", 0, 1), ("a", "parallel", 0, 2), ("a", "parallel", 1, 2), ("a", "string-cite", 0, 1), ("a", "string-cite", 1, 2), ("a", "in-parenthetical-of", 2, 0), ("a", "history-of", 3, 2), ("a", "resolves-to", 3, 0), ("b", "resolves-to", 1, 0)])
+    found = sorted(tuple(r) for r in views.case_groups(cites.dropDuplicates()).collect())
+    assert found == [("a", "1-F.2d-2", 4, 3, 1), ("b", "1-F.2d-9", 2, 1, 1)]
