@@ -26,9 +26,10 @@ def of_type(kind: str) -> type:
     class OfType:
         def eval(self, text: str):
             from ..operators.citations import FIELDS, row_of
-            from ..operators.documents import extract
+            from ..operators.documents import Options, extract
 
-            for c in extract(text)[1]:
+            # only short forms are resolved, and none of these types is one
+            for c in extract(text, Options(resolve=False))[1]:
                 if c["type"] == kind:
                     row = row_of(c)
                     yield tuple(row.get(n) for n in FIELDS.names)

@@ -661,6 +661,7 @@ def stream_summary(spark, sf_dir):
 def single_type_functions(spark, sf_dir):
     """extract_case and extract_statute over the same texts."""
     register.register(spark)
-    rendered(spark, sf_dir, f"concat('The court decided ', {CITE}, ' and read 42 U.S.C. § ', o_orderkey % 900 + 1, '.')").createOrReplaceTempView("rendered_both")
+    texts = rendered(spark, sf_dir, f"concat('The court decided ', {CITE}, ' and read 42 U.S.C. § ', o_orderkey % 900 + 1, '.')")
+    c.spread(texts).createOrReplaceTempView("rendered_both")
     one = "SELECT doc_id, x.type, x.matched_text FROM rendered_both, LATERAL {}(text) x"
     return spark.sql(one.format("extract_case") + " UNION ALL " + one.format("extract_statute"))

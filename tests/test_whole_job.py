@@ -72,3 +72,13 @@ def test_views_of_repeated_documents(spark):
     assert got == sorted([("a", "parallel", 0, 1), ("a", "parallel", 0, 2), ("a", "parallel", 1, 2), ("a", "string-cite", 0, 1), ("a", "string-cite", 1, 2), ("a", "in-parenthetical-of", 2, 0), ("a", "history-of", 3, 2), ("a", "resolves-to", 3, 0), ("b", "resolves-to", 1, 0)])
     found = sorted(tuple(r) for r in views.case_groups(cites.dropDuplicates()).collect())
     assert found == [("a", "1-F.2d-2", 4, 3, 1), ("b", "1-F.2d-9", 2, 1, 1)]
+
+
+def test_single_types_on_all_cores(spark, tmp_path):
+    """A table of one file is dealt out before the table functions run, one for each type, over the same rows."""
+    rows = [(k, k + 5, "1995-01-02") for k in range(1, 41)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "date(d) AS o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = catalog.QUERIES["single_type_functions"](spark, str(tmp_path))
+    assert found.count() == 80 and {(r.doc_id, r.type) for r in found.collect()} == {(k, t) for k in range(1, 41) for t in ("case", "statute")}
+    where = found.selectExpr("type", "spark_partition_id() AS part").distinct().groupBy("type").count().collect()
+    assert min(r["count"] for r in where) >= spark.sparkContext.defaultParallelism
