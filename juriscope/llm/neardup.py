@@ -517,8 +517,14 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     once = docs.join(ids, own == ids["kept_id"], "left_semi")
     rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own_id"), F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t]).alias("mark"))
     again = found.filter("rows > 1")
+    repeated = again.count()
+    out = once.unionByName(docs.filter("doc_id is null"))
+    if not repeated:  # else all texts would be shuffled for a join with nothing
+        return out
+    if repeated <= MOST_BROADCAST:
+        again = F.broadcast(again)
     several = rows.join(again, rows["own_id"] == again["kept_id"], "left_semi").groupBy("own_id").agg(F.min_by("row", "mark").alias("row"))
-    return once.unionByName(several.select("row.*")).unionByName(docs.filter("doc_id is null"))
+    return out.unionByName(several.select("row.*"))
 
 
 def op10_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -243,6 +243,20 @@ def test_keep_one(spark, odd_docs, odd_rows, no_docs):
     assert neardup.near_duplicates(no_docs).collect() == []
 
 
+def test_keep_one_moves_no_text(spark):
+    """Without repeated ids no text is shuffled, however small the tables are that Spark broadcasts by itself."""
+    docs = spark.createDataFrame([(i, f"text {i} " + "word " * 9 + str(i // 2)) for i in range(40)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = neardup.keep_one(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in neardup.near_duplicates(docs).filter("doc_id = component_id").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)], 0) for i in range(300)]
