@@ -1,10 +1,10 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
 
 The model of order n is built level by level. At level k every chunk of documents (see chunks.py)
-sends the distinct k-grams it holds, keyed by context and word, with their training counts and the
-probability that level k - 1 gives their word; buckets add the counts up and gather, for each
-context h, its total C(h), how many continuations it has of each small count, and S(h), the mass
-that level k - 1 gives to the words seen after h. From these and the counts of counts follow
+sends the distinct k-grams it holds, keyed by context and word, with their training counts and what
+level k - 1 knows of their word; buckets add the counts up and gather, for each context h, its total
+C(h), how many continuations it has of each small count, and S(h), the mass that level k - 1 gives
+to the words seen after h. From these and the counts of counts follow
 
     p(w | h) = d(c) * c / C'(h)                  for c = c(h w) > 0
              = a(h) * p(w | shorter h)           otherwise (recursively)
@@ -14,6 +14,12 @@ C'(h) is C(h), or C(h) + 1 where no continuation of h is discounted, so a(h) is
 probabilities of all V known words and one unknown word sum to 1 after every context. Level 1 gives
 unseen mass to the unknown word alone.
 
+What travels is exact and small. Level 1 numbers the words of training, frequent ones first, so a
+k-gram is k whole numbers, no hash. The probability of a word that training has after h is a
+discounted count by a denominator, so these two whole numbers stand for it. A context that only one
+chunk holds (held-out texts included) has all its continuations there: it is counted in that chunk
+and not sent. S(h) and the small counts are sent back only to chunks that have a word unseen after h.
+
 Tables (Parquet, in the shared folder): replies of each level, partitioned by kind (counts for
 chunks, contexts that several buckets share, counts of counts).
 """
@@ -31,15 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunk, bucket_count, by_bucket, encode, mixed, pack, pack_sorted, unpack, unpack_sorted
-from .shared import shared_dir
+from .shared import shared_dir, shuffles_freed
 
 #: Counts above this are not discounted.
 MOST_DISCOUNTED = 5
 ORDER = 2
 #: The order of the registered query.
 QUERY_ORDER = 3
-#: Fixed hashes of the start marker, the end token and the unknown word.
-START, END, UNKNOWN = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995), np.uint64(0x2545F4914F6CDD1D)
+#: The fixed hash of the end token.
+END = np.uint64(0xC6A4A7935BD1E995)
+#: Numbers of the start marker and the unknown word; those of training's words follow.
+START, UNKNOWN, FIRST_WORD = 0, 1, 2
 
 
 @dataclass
@@ -91,15 +99,43 @@ def unigram(level: Level, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, p, 1.0 - float(seen[0]) if level.tokens else 1.0)
 
 
-_MESSAGE = "bucket bigint, chunk bigint, contexts binary, sizes binary, keys binary, counts binary, lower binary"
-_MESSAGE_PA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("contexts", "sizes", "keys", "counts", "lower")]])
-_REPLY = "kind string, level int, chunk bigint, bucket bigint, counts binary, totals binary, small binary, mass binary, context bigint, numbers array<double>"
+_MESSAGE = "bucket bigint, chunk bigint, contexts array<binary>, sizes binary, keys binary, counts binary, lower array<binary>, tally array<double>"
+_MESSAGE_PA = pa.schema([
+    ("bucket", pa.int64()), ("chunk", pa.int64()), ("contexts", pa.list_(pa.binary())), *[(c, pa.binary()) for c in ("sizes", "keys", "counts")],
+    ("lower", pa.list_(pa.binary())), ("tally", pa.list_(pa.float64())),
+])
+_PACKED = ("counts", "several", "numbered", "totals", "least", "small", "mass")
+_REPLY = f"kind string, level int, chunk bigint, bucket bigint, {', '.join(f'{c} binary' for c in _PACKED)}, context bigint, numbers array<double>"
 _REPLY_PA = pa.schema([
-    ("kind", pa.string()), ("level", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("counts", "totals", "small", "mass")],
+    ("kind", pa.string()), ("level", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in _PACKED],
     ("context", pa.int64()), ("numbers", pa.list_(pa.float64())),
 ])
 
 
+def _pack_ints(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in the least bytes that hold the largest; the first byte says how many."""
+    most = int(a.max()) if len(a) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + pack(a.astype(f"u{width}"))
+
+
+def _unpack_ints(b: bytes) -> np.ndarray:
+    return unpack(b[1:], f"u{b[0]}").astype(np.int64)
+
+
+def _pack_flags(a: np.ndarray) -> bytes:
+    return pack(np.packbits(a))
+
+
+def _unpack_flags(b: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(unpack(b, np.uint8), count=count).astype(bool)
+
+
+def _starts(a: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])[: len(a)])
+
+
 def _reply_rows(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=_REPLY_PA)
 
@@ -126,36 +162,22 @@ class Text:
         self.doc = np.repeat(np.arange(docs), chunk.counts + 1)
         self.n_tokens = chunk.counts + 1
         self.first = np.concatenate([[0], np.cumsum(self.n_tokens)[:-1]])
+        self.place = np.arange(total) - self.first[self.doc]
         names = [str(i) if k else "" for i, k in zip(chunk.ids.tolist(), chunk.known.tolist(), strict=True)]
         self.held_out = np.array([zlib.crc32(x.encode()) % modulus == remainder for x in names], bool)
         self.trains = ~self.held_out[self.doc]
 
-    def token_hash(self) -> np.ndarray:
-        return self.vocabulary[self.code]
-
-    def contexts(self, length: int) -> np.ndarray:
-        """A hash of the ``length`` tokens before each token, start markers standing before the document."""
-        tokens, acc = self.token_hash(), np.full(len(self.code), length, np.uint64)
-        place = np.arange(len(self.code)) - self.first[self.doc]
-        for back in range(1, length + 1):
-            before = np.full(len(tokens), START)
-            before[back:] = tokens[:-back] if len(tokens) > back else before[back:]
-            before[place < back] = START
-            with np.errstate(over="ignore"):
-                acc = mixed(acc + before)
-        return acc
-
 
 def _send_words(count: int, rule: tuple[int, int]):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = Text(batch.slice(i, 1).to_pylist()[0], *rule)
-                counts = np.bincount(text.code[text.trains], minlength=len(text.vocabulary)).astype(np.uint32)
+                counts = np.bincount(text.code[text.trains], minlength=len(text.vocabulary))
                 order = np.argsort(text.vocabulary)
                 keys, counts = text.vocabulary[order], counts[order]
-                rows = [(b, text.chunk.number, b"", b"", pack_sorted(k), pack(c), b"") for b, (k, c) in by_bucket(_bucket(keys, count), count, keys, counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MESSAGE_PA, strict=True)], schema=_MESSAGE_PA)
+                rows = [{"bucket": b, "chunk": text.chunk.number, "keys": pack_sorted(k), "counts": _pack_ints(c)} for b, (k, c) in by_bucket(_bucket(keys, count), count, keys, counts)]
+                yield from pa.Table.from_pylist(rows, schema=_MESSAGE_PA).to_batches()
 
     return send
 
@@ -166,28 +188,50 @@ def _tally(counts: np.ndarray) -> list[float]:
     return [*few.astype(float).tolist(), float(counts.sum()), float((counts > 0).sum())]
 
 
-def _add_words(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    keys = [unpack_sorted(r["keys"]) for r in rows]
-    counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-    _, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, counts).astype(np.int64)
-    parts = np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])
-    out = [{"kind": "reply", "level": 1, "chunk": r["chunk"], "bucket": r["bucket"], "counts": pack(p)} for r, p in zip(rows, parts, strict=True)]
-    out.append({"kind": "tally", "level": 1, "numbers": _tally(total)})
-    return _reply_rows(out)
+def _add_words(buckets: int):
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys = [unpack_sorted(r["keys"]) for r in rows]
+        counts = np.concatenate([_unpack_ints(r["counts"]) for r in rows])
+        _, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back, counts).astype(np.int64)
+        several = np.bincount(back) > 1
+        number = np.empty(len(total), np.int64)
+        number[np.argsort(-total, kind="stable")] = FIRST_WORD + np.arange(len(total)) * buckets + rows[0]["bucket"]
+        out, edges = [], np.cumsum([len(k) for k in keys])[:-1]
+        for r, which in zip(rows, np.split(back, edges), strict=True):
+            known = which[total[which] > 0]
+            out.append({"kind": "reply", "level": 1, "chunk": r["chunk"], "bucket": r["bucket"], "counts": _pack_ints(total[which]), "several": _pack_flags(several[which]), "numbered": _pack_ints(number[known])})
+        out.append({"kind": "tally", "level": 1, "numbers": _tally(total)})
+        return _reply_rows(out)
+
+    return add
 
 
 # ---------------------------------------------------------------- levels above
 
 
+def _mix(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of contexts, given as columns of word numbers."""
+    acc = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        with np.errstate(over="ignore"):
+            acc = mixed(acc + c.astype(np.uint64))
+    return acc
+
+
 def _spread(contexts: np.ndarray, keys: np.ndarray, pieces: np.ndarray, count: int) -> np.ndarray:
     """The bucket of each k-gram: its context's, moved on by its word where a frequent context is cut into pieces."""
-    return (_bucket(contexts, count) + (keys % pieces.astype(np.uint64)).astype(np.int64)) % count
+    return (_bucket(contexts, count) + keys % pieces) % count
 
 
 class State:
-    """What a chunk knows after the replies of levels 1..k: for each token the probability under level k."""
+    """What a chunk knows after the replies of levels 1..k: for each token the probability under level k.
+
+    Of the gram of level k that ends at each token it knows a number within the chunk (in the order
+    of the word numbers), the count in training, the denominator if it is counted, and whether
+    several chunks hold it.
+    """
 
     def __init__(self, row: dict, replies: list[dict], settings: dict, upto: int):
         self.settings, self.count = settings, settings["buckets"]
@@ -197,138 +241,190 @@ class State:
             self.replies.setdefault(r["level"], []).append(r)
         order = np.argsort(text.vocabulary)
         vocabulary = text.vocabulary[order]
-        counts = np.zeros(len(vocabulary), np.int64)
-        parts = {b: w for b, (w,) in by_bucket(_bucket(vocabulary, self.count), self.count, np.arange(len(vocabulary)))}
+        counts, number, several = np.zeros(len(order), np.int64), np.full(len(order), UNKNOWN), np.zeros(len(order), bool)
+        parts = {b: w for b, (w,) in by_bucket(_bucket(vocabulary, self.count), self.count, order)}
         for r in self.replies.get(1, []):
-            counts[parts[r["bucket"]]] = unpack(r["counts"], np.int64)
-        by_code = np.empty(len(order), np.int64)
-        by_code[order] = counts
-        self.word_count = by_code[text.code]
+            which = parts[r["bucket"]]
+            counts[which] = found = _unpack_ints(r["counts"])
+            number[which[found > 0]] = _unpack_ints(r["numbered"])
+            several[which] = _unpack_flags(r["several"], len(which))
+        numbers, code = np.unique(number, return_inverse=True)
+        #: The word number of each code; codes are in the order of the numbers.
+        self.numbers = np.concatenate([[START], numbers])
+        self.code = (code + 1)[text.code]
+        self.word_count = counts[text.code]
         self.p = unigram(settings["levels"][0], self.word_count)
-        self.gram_count = self.word_count  # of the gram of the last level that ends at each token
+        self.gram, self.gram_count, self.several = self.code - 1, self.word_count, several[text.code]
+        self.below = np.zeros(0, np.int64)
         for k in range(2, upto + 1):
             self._climb(k)
 
     def grams(self, k: int) -> dict:
-        """The distinct k-grams and where each token's is; contexts in order, words in order within.
+        """The distinct k-grams in order, where each token's is, and their contexts.
 
         Unknown words are one word. Tokens after an unknown word are left out: training has no such
         context, so their probability is that of the level below.
         """
         text = self.text
-        context = text.contexts(k - 1)
-        word = np.where(self.word_count > 0, text.token_hash(), UNKNOWN)
+        context, held = np.zeros(len(self.code), np.int64), np.ones(len(self.code), bool)
         # how often training has the context: the count of the gram that ends before the token
-        before = np.zeros(len(text.code), np.int64)
-        before[1:] = self.gram_count[:-1]
-        before[text.first] = self.settings["documents"]
+        before = np.zeros(len(self.code), np.int64)
+        context[1:], held[1:], before[1:] = self.gram[:-1] + 1, self.several[:-1], self.gram_count[:-1]
+        context[text.first], held[text.first], before[text.first] = 0, True, self.settings["documents"]
         at = np.flatnonzero(before > 0)
-        order = np.lexsort((word[at], context[at]))
-        at = at[order]
-        c, w = context[at], word[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        edges = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
+        key = context[at] * len(self.numbers) + self.code[at]
+        order = np.argsort(key)
+        at, key = at[order], key[order]
+        edges = _starts(key)
+        group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(key))))
         counts = np.add.reduceat(text.trains[at].astype(np.int64), edges) if len(edges) else np.empty(0, np.int64)
-        c, w = c[edges], w[edges]
-        pieces = 1 + before[at[edges]] // self.settings["piece"]
-        return {"at": at, "group": group, "context": c, "word": w, "counts": counts, "first": at[edges], "bucket": _spread(c, w, pieces, self.count), "pieces": pieces}
+        first = at[edges]
+        pieces = 1 + before[first] // self.settings["piece"]
+        return {"at": at, "group": group, "context": context[first], "counts": counts, "first": first, "held": held[first], "pieces": pieces}
+
+    def _sent(self, g: dict, k: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Grams whose context several chunks hold: which they are, contexts as word numbers and hashed, words, buckets."""
+        send = np.flatnonzero(g["held"])
+        first = g["first"][send]
+        place = self.text.place[first]
+        columns = [self.numbers[np.where(place >= back, self.code[np.maximum(first - back, 0)], START)] for back in range(k - 1, 0, -1)]
+        hashed, word = _mix(columns), self.numbers[self.code[first]]
+        return send, columns, hashed, word, _spread(hashed, word, g["pieces"][send], self.count)
 
     def messages(self, k: int) -> pa.Table:
         g = self.grams(k)
-        lower = self.word_count[g["first"]] if k == 2 else self.p[g["first"]].view(np.int64)
+        send, columns, _, word, bucket = self._sent(g, k)
+        first = g["first"][send]
+        # what gives the probability of the level below: the count and, above level 1, its denominator
+        lower = [self.gram_count[first]] if k == 2 else [self.gram_count[first], self.below[first]]
+        own = g["counts"][~g["held"]]
         rows = []
-        for b, (c, w, n, low, pieces) in by_bucket(g["bucket"], self.count, g["context"], g["word"], g["counts"].astype(np.uint32), lower, g["pieces"]):
-            starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        for b, (c, w, n, pieces, *more) in by_bucket(bucket, self.count, g["context"][send], word, g["counts"][send], g["pieces"][send], *columns, *lower):
+            starts, contexts = _starts(c), more[: k - 1]
             # the size of a context's run, and whether other buckets hold pieces of it
-            sizes = (np.diff(np.append(starts, len(c))) * 2 + (pieces[starts] > 1)).astype(np.uint32)
-            # 48 bits tell the words of one context apart
-            rows.append({"bucket": b, "chunk": self.text.chunk.number, "contexts": pack_sorted(c[starts]), "sizes": pack(sizes), "keys": _pack48(w), "counts": pack(n), "lower": pack(low)})
+            sizes = np.diff(np.append(starts, len(c))) * 2 + (pieces[starts] > 1)
+            rows.append({
+                "bucket": b, "chunk": self.text.chunk.number, "contexts": [_pack_ints(np.diff(x[starts], prepend=0) if i == 0 else x[starts]) for i, x in enumerate(contexts)],
+                "sizes": _pack_ints(sizes), "keys": _pack_ints(w), "counts": _pack_ints(n), "lower": [_pack_ints(x[n > 0]) for x in more[k - 1 :]],
+                "tally": [] if rows else _tally(own),
+            })
         return pa.Table.from_pylist(rows, schema=_MESSAGE_PA)
 
     def _climb(self, k: int) -> None:
         """From the probabilities of level k - 1 to those of level k."""
         level, g = self.settings["levels"][k - 1], self.grams(k)
         m = len(g["context"])
-        counts, total, mass = np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
-        small = np.zeros((m, MOST_DISCOUNTED))
-        parts = {b: w for b, (w,) in by_bucket(g["bucket"], self.count, np.arange(m))}
+        starts = _starts(g["context"])
+        spot = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, m)))
+        # as if no other chunk held the contexts
+        counts, several = g["counts"].copy(), np.zeros(m, bool)
+        total, mass, small, least = (x[spot] for x in _gather(counts, self.p[g["first"]], starts))
+        send, _, hashed, _, bucket = self._sent(g, k)
+        parts = {b: w for b, (w,) in by_bucket(bucket, self.count, send)}
         for r in self.replies.get(k, []):
             which = parts[r["bucket"]]
-            c = g["context"][which]
-            group = np.cumsum(np.concatenate([[True], c[1:] != c[:-1]])) - 1
-            counts[which] = unpack(r["counts"], np.uint32)
-            total[which] = unpack(r["totals"], np.int64)[group]
-            mass[which] = unpack(r["mass"], np.float64)[group]
-            small[which] = unpack(r["small"], np.int64).reshape(-1, MOST_DISCOUNTED)[group]
+            runs = _starts(g["context"][which])
+            size = np.diff(np.append(runs, len(which)))
+            counts[which] = found = _unpack_ints(r["counts"])
+            several[which] = _unpack_flags(r["several"], len(which))
+            total[which], least[which] = np.repeat(_unpack_ints(r["totals"]), size), np.repeat(_unpack_ints(r["least"]), size)
+            lacking = np.logical_or.reduceat(found == 0, runs)
+            some = which[np.repeat(lacking, size)]
+            mass[some] = np.repeat(unpack(r["mass"], np.float64), size[lacking])
+            small[some] = np.repeat(_unpack_ints(r["small"]).reshape(-1, MOST_DISCOUNTED), size[lacking], 0)
         shared = self.settings["shared"].get(k, {})
         if shared:
-            for i in np.flatnonzero(g["pieces"] > 1).tolist():
-                numbers = shared.get(int(g["context"][i].view(np.int64)))
-                if numbers:
-                    total[i], mass[i], small[i] = numbers[0], numbers[1], numbers[2:]
-        below, seen = level.context(total, small)
-        weight = np.where(total > 0, (1 - seen) / np.maximum(1 - mass, 1e-300), 1.0)
+            cut = g["pieces"][send] > 1
+            names, back = np.unique(hashed[cut], return_inverse=True)
+            for i, name in enumerate(names.view(np.int64).tolist()):
+                if numbers := shared.get(name):
+                    which = send[cut][back == i]
+                    total[which], mass[which], small[which] = numbers[0], numbers[1], numbers[2:]
+                    least[which] = _least(np.array(numbers[2:]))
+        # as Level.context: without a discounted continuation the denominator is one more
+        below = total + (level.discount[least] >= 1)
         direct = level.discounted(counts) / np.maximum(below, 1)
+        unseen = np.flatnonzero(counts == 0)
+        weight = np.ones(m)
+        _, seen = level.context(total[unseen].astype(np.float64), small[unseen])
+        weight[unseen] = np.where(total[unseen] > 0, (1 - seen) / np.maximum(1 - mass[unseen], 1e-300), 1.0)
         p = self.p.copy()
         at, group = g["at"], g["group"]
         p[at] = np.where(counts[group] > 0, direct[group], weight[group] * self.p[at])
         self.p = p
-        self.gram_count = np.zeros(len(p), np.int64)
-        self.gram_count[at] = counts[group]
+        self.gram, self.gram_count, self.below, self.several = np.full(len(p), -1), np.zeros(len(p), np.int64), np.zeros(len(p), np.int64), np.zeros(len(p), bool)
+        self.gram[at], self.gram_count[at], self.below[at], self.several[at] = group, counts[group], below[group], several[group]
+
+
+def _least(small: np.ndarray) -> int:
+    """The least count, given how often each small one occurs."""
+    return next((r for r, n in enumerate(small.tolist(), 1) if n), MOST_DISCOUNTED + 1)
 
 
-def _pack48(words: np.ndarray) -> bytes:
-    return np.ascontiguousarray(words.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _gather(counts: np.ndarray, lower: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every context: total, lower mass of its seen words, number of continuations of each small count, the least count."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0), np.empty((0, MOST_DISCOUNTED)), np.empty(0, np.int64)
+    total = np.add.reduceat(counts, starts)
+    mass = np.add.reduceat(np.where(counts > 0, lower, 0.0), starts)
+    small = np.stack([np.add.reduceat((counts == r).astype(np.int64), starts) for r in range(1, MOST_DISCOUNTED + 1)], 1)
+    least = np.minimum.reduceat(np.where(counts > 0, np.minimum(counts, MOST_DISCOUNTED + 1), MOST_DISCOUNTED + 1), starts)
+    return total, mass, small, least
 
 
-def _unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+def _ranked(columns: list[np.ndarray]) -> np.ndarray:
+    """Whole numbers 0, 1, ... for the distinct rows of columns, in their order."""
+    rank = np.unique(columns[0], return_inverse=True)[1]
+    for c in columns[1:]:
+        if len(c) and c.max() >= 1 << 32:
+            c = np.unique(c, return_inverse=True)[1]
+        rank = np.unique(rank << 32 | c, return_inverse=True)[1]
+    return rank
 
 
 def _add_grams(k: int, settings: dict):
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        contexts = [unpack_sorted(r["contexts"]) for r in rows]
-        marked = [unpack(r["sizes"], np.uint32).astype(np.int64) for r in rows]
-        sizes = [x >> 1 for x in marked]
-        cut = np.unique(np.concatenate([x[m & 1 == 1] for x, m in zip(contexts, marked, strict=True)]))
-        c = np.concatenate([np.repeat(x, s) for x, s in zip(contexts, sizes, strict=True)])
-        w = np.concatenate([_unpack48(r["keys"]) for r in rows])
-        n = np.concatenate([unpack(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-        low = np.concatenate([unpack(r["lower"], np.int64) for r in rows])
-        order = np.lexsort((w, c))
-        new = np.ones(len(c), bool)
-        cs, ws = c[order], w[order]
-        new[1:] = (cs[1:] != cs[:-1]) | (ws[1:] != ws[:-1])
-        edges = np.flatnonzero(new)
-        back = np.empty(len(c), np.int64)
-        back[order] = np.cumsum(new) - 1
+        marked = [_unpack_ints(r["sizes"]) for r in rows]
+        columns = [np.concatenate([np.cumsum(x) if i == 0 else x for x in (_unpack_ints(r["contexts"][i]) for r in rows)]) for i in range(k - 1)]
+        contexts, marks = _ranked(columns), np.concatenate(marked)
+        cut = np.unique(contexts[marks & 1 == 1], return_index=True)[1]
+        cut = np.flatnonzero(marks & 1 == 1)[cut]
+        c = np.repeat(contexts, marks >> 1)
+        w = np.concatenate([_unpack_ints(r["keys"]) for r in rows])
+        n = np.concatenate([_unpack_ints(r["counts"]) for r in rows])
+        if w.max() >= 1 << 32:
+            w = np.unique(w, return_inverse=True)[1]
+        key = c << 32 | w
+        order = np.argsort(key)
+        edges = _starts(key[order])
+        chunks = np.diff(np.append(edges, len(key)))
+        back = np.empty(len(key), np.int64)
+        back[order] = np.repeat(np.arange(len(edges)), chunks)
         total = np.add.reduceat(n[order], edges)
-        lower = low[order][edges]
-        lower = unigram(settings["levels"][0], lower) if k == 2 else lower.view(np.float64)
-        context = cs[edges]
-        fresh = np.concatenate([[True], context[1:] != context[:-1]])
-        start = np.flatnonzero(fresh)
-        sums = np.add.reduceat(total, start)
-        mass = np.add.reduceat(np.where(total > 0, lower, 0.0), start)
-        small = np.stack([np.add.reduceat((total == r).astype(np.int64), start) for r in range(1, MOST_DISCOUNTED + 1)], 1)
-        out, at = [], 0
-        names = context[start]
-        for r, x, s in zip(rows, contexts, sizes, strict=True):
-            m = int(s.sum())
-            spot = np.searchsorted(names, x)
+        known = []
+        for i in range(len(rows[0]["lower"])):
+            x = np.zeros(len(key), np.int64)
+            x[n > 0] = np.concatenate([_unpack_ints(r["lower"][i]) for r in rows])
+            known.append(np.maximum.reduceat(x[order], edges))
+        lower = unigram(settings["levels"][0], known[0]) if k == 2 else settings["levels"][k - 2].discounted(known[0]) / np.maximum(known[1], 1)
+        sums, mass, small, least = _gather(total, lower, _starts(c[order][edges]))
+        out, at, spots = [], 0, np.split(contexts, np.cumsum([len(x) for x in marked])[:-1])
+        for r, x, spot in zip(rows, marked, spots, strict=True):
+            size = x >> 1
+            m = int(size.sum())
+            which = back[at : at + m]
+            lacking = spot[np.logical_or.reduceat(total[which] == 0, np.cumsum(size) - size)]
             out.append({
-                "kind": "reply", "level": k, "chunk": r["chunk"], "bucket": r["bucket"], "counts": pack(total[back[at : at + m]].astype(np.uint32)),
-                "totals": pack(sums[spot]), "small": pack(small[spot].reshape(-1)), "mass": pack(mass[spot]),
+                "kind": "reply", "level": k, "chunk": r["chunk"], "bucket": r["bucket"], "counts": _pack_ints(total[which]), "several": _pack_flags(chunks[which] > 1),
+                "totals": _pack_ints(sums[spot]), "least": _pack_ints(least[spot]), "small": _pack_ints(small[lacking].reshape(-1)), "mass": pack(mass[lacking]),
             })
             at += m
-        for i in np.searchsorted(names, cut).tolist():
-            out.append({"kind": "context", "level": k, "context": int(names[i].view(np.int64)), "numbers": [float(sums[i]), float(mass[i]), *small[i].astype(float).tolist()]})
-        out.append({"kind": "tally", "level": k, "numbers": _tally(total)})
+        names = _mix([x[cut] for x in columns]).view(np.int64)
+        for name, i in zip(names.tolist(), contexts[cut].tolist(), strict=True):
+            out.append({"kind": "context", "level": k, "context": name, "numbers": [float(sums[i]), float(mass[i]), *small[i].astype(float).tolist()]})
+        own = [r["tally"] for r in rows if r["tally"]]
+        out.append({"kind": "tally", "level": k, "numbers": np.sum([_tally(total), *own], axis=0).tolist()})
         return _reply_rows(out)
 
     return add
@@ -368,7 +464,8 @@ def _scorer(settings: dict, order: int):
 def _write(df: DataFrame, level: int) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/katz-{level}-{uuid.uuid4().hex}"
-    df.write.partitionBy("kind").parquet(path)
+    with shuffles_freed(spark):
+        df.write.partitionBy("kind").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -392,7 +489,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, held_out: int = 2, folds: i
     count = bucket_count(chunks)
     settings: dict = {"rule": (held_out, folds), "buckets": count, "levels": [], "shared": {}, "documents": int(sizes[1]), "piece": max(1000, (int(sizes[0]) + int(sizes[1])) // count // 2)}
     words = chunks.mapInArrow(_send_words(count, settings["rule"]), _MESSAGE)
-    replies = _write(words.groupBy("bucket").applyInArrow(_add_words, _REPLY), 1)
+    replies = _write(words.groupBy("bucket").applyInArrow(_add_words(count), _REPLY), 1)
     tally = _totals(replies)
     level = Level.of(np.array(tally[: MOST_DISCOUNTED + 1]), int(tally[-2]), int(tally[-1]))
     settings["levels"].append(level)

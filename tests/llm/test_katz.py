@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from juriscope.llm import katz
+from juriscope.llm.shared import shuffles_freed
 
 END, START = "</s>", "<s>"
 
@@ -117,3 +118,40 @@ def test_query_uses_two_words_of_context(spark):
     for i, t in rows:
         seq = [START, START, *tokens(t)]
         assert abs(got[i] - sum(math.log10(plain.p(seq[j], seq[j - 2 : j])) for j in range(2, len(seq)))) < 1e-6
+
+
+def _shuffled(spark) -> int:
+    """Bytes that this session's tasks have written for shuffles so far."""
+    context = spark._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_order_three_moves_little(spark):
+    """Grams go as numbers of words, and those after a context that only one chunk holds stay there."""
+    rng = np.random.default_rng(3)
+    words = np.minimum(rng.zipf(1.3, (400, 200)), 10**7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in row)) for i, row in enumerate(words.tolist())], "doc_id long, text string").repartition(4, "doc_id")
+    before = _shuffled(spark)
+    assert katz.op1_katz(docs).count() == 400
+    # about 9; hashes of contexts and words with a probability each took about 24
+    assert (_shuffled(spark) - before) / words.size < 15
+
+
+def test_frequent_contexts_of_two_words_in_pieces(spark):
+    """Contexts of order 3 that are cut over buckets, and words unseen after them, give the same scores."""
+    rows = [(i, "a the " + " a the ".join(f"w{(i * j) % 50}" for j in range(40)) + f" a the x{i}") for i in range(80)]
+    plain = Plain([t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
+    got = {r.doc_id: r.score for r in katz.op1_katz(df).collect()}
+    for i, t in [r for r in rows if r[0] < 10 or zlib.crc32(str(r[0]).encode()) % 7 == 2]:
+        seq = [START, START, *tokens(t)]
+        assert abs(got[i] - sum(math.log10(plain.p(seq[j], seq[j - 2 : j])) for j in range(2, len(seq)))) < 1e-6
+
+
+def test_shuffles_are_freed_within_only(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with shuffles_freed(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == before
