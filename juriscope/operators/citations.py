@@ -19,7 +19,7 @@ from ..functions import scalars
 from . import zones
 from .cleaning import CLEANERS
 from .documents import Options, extract
-from .patterns import GATE
+from .patterns import FIRST_GATE, GATE
 
 _STR, _INT, _DBL, _BOOL = pa.string(), pa.int32(), pa.float64(), pa.bool_()
 _SPAN = pa.struct([("start", _INT), ("end", _INT)])
@@ -53,11 +53,22 @@ CITATION = T.StructType([T.StructField(f.name, _spark_type(f.type)) for f in FIE
 
 
 _SPANS = frozenset(("span", "source_span", "full_span"))
+_DERIVED = _SPANS | {"bluebook", "reporter_key", "content_hash"}
 #: The fields that the views below read, for extract_citations.
-GROUP_FIELDS = ("cite_idx", "type", "group_id", "volume", "reporter", "page", "resolution")
+GROUP_FIELDS = ("cite_idx", "type", "group_id", "volume", "reporter", "page", "resolution.resolved_to")
 EDGE_FIELDS = ("cite_idx", "group_id", "nested_in", "history_of", "pincite_inherited_from", "string_group_id", "resolution")
 
 
+def named_fields(names: Iterable[str]) -> pa.Schema:
+    """The fields of these names; "field.part" is a struct of those of its parts that are named."""
+    parts: dict[str, list[str]] = {}
+    for name in names:
+        head, _, part = name.partition(".")
+        parts.setdefault(head, []).append(part)
+    whole = lambda head: FIELDS.field(head)
+    return pa.schema([whole(h) if "" in p else pa.field(h, pa.struct([whole(h).type.field(x) for x in dict.fromkeys(p)])) for h, p in parts.items()])
+
+
 def with_derived(c: dict, names: list[str] = FIELDS.names) -> dict:
     """A citation with the fields that are derived from others; keys that are no fields stay and are ignored."""
     for name in _SPANS.intersection(names):
@@ -101,17 +112,18 @@ def may_cite(text: Column | str, options: Options = Options()) -> Column:
     column = F.col(text) if isinstance(text, str) else text
     if options.patterns is not None or options.cleaners is not CLEANERS or options.more_cleaners:
         return F.coalesce(F.length(column) > 0, F.lit(False))
-    return F.coalesce(F.regexp_like(column, F.lit(GATE)), F.lit(False))
+    return F.coalesce(F.regexp_like(column, F.lit(FIRST_GATE)) | F.regexp_like(column, F.lit(GATE)), F.lit(False))
 
 
 def extract_citations(docs: DataFrame, options: Options = Options(), text: str = "text", key: str = "doc_id", fields: Iterable[str] | None = None) -> DataFrame:
-    """key and the fields of a citation (all of them, or those named), one row each, for all documents.
+    """key and the fields of a citation (all of them, or those named, or "field.part"), one row each, for all documents.
 
     The rows of a document stay together. Null and empty texts give no rows; a text of any length is read whole.
     """
-    chosen_fields = FIELDS if fields is None else pa.schema([FIELDS.field(f) for f in fields])
+    chosen_fields = FIELDS if fields is None else named_fields(fields)
     out = pa.schema([(key, pa.string()), *chosen_fields])
     names = chosen_fields.names
+    derived = not _DERIVED.isdisjoint(names)
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +132,9 @@ def extract_citations(docs: DataFrame, options: Options = Options(), text: str =
                 part = batch.slice(at, _SLICE)
                 keys, rows = [], []
                 for k, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for c in extract(x, options)[1]:
-                        keys.append(k)
-                        rows.append(with_derived(c, names))
+                    cites = extract(x, options)[1]
+                    keys += [k] * len(cites)
+                    rows += [with_derived(c, names) for c in cites] if derived else cites
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([r.get(f.name) for r in rows], f.type) for f in chosen_fields)], schema=out)
 

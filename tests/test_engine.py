@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from juriscope.operators import lexicon as lx
 from juriscope.operators.documents import Cover, Options, dedup, extract
-from juriscope.operators.patterns import GATE, patterns
+from juriscope.operators.patterns import GATE, outline, patterns
 
 GATED = re.compile(GATE, re.ASCII)
 
@@ -31,6 +31,21 @@ def test_gate_and_needles_keep_every_match(form):
     check()
 
 
+@pytest.mark.parametrize("form", [p for p in patterns() if p.signs], ids=lambda p: p.id)
+def test_signs_keep_every_match(form):
+    """Whatever a form matches, alone or in a text, has one of the form's signs in its outline."""
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck), database=None)
+    @given(st.from_regex(form.regex))
+    def check(text):
+        for x in (text, f"See {text}; so", text.replace(" ", "\n \t")):
+            if form.regex.search(x) is not None:
+                shape = outline(x.lower())
+                assert any(s in shape for s in form.signs)
+
+    check()
+
+
 SENTENCES = (
     "Adams v. Baker, 500 F.2d 100 (1974).", "Id. at 105.", "See 42 U.S.C. § 1983.", "Baker, supra, at 112.", "under section 5 of title 18 it is", "the Fourteenth Amendment", "U.S. Const. art. I, § 8", "Mass. Gen. Laws c. 93A", "Ibid.",
     "supra Part II", "Rule 12, SCACR", "2019 WL 55555", "Fed. R. Civ. P. 12(b)(6)", "article 12 of the Massachusetts Declaration of Rights", "Pub. L. No. 111-148", "Canon 3", "CPLR 3211", "chapter 49.60 RCW",

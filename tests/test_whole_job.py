@@ -3,6 +3,7 @@
 import pytest
 
 from juriscope.operators import citations as views
+from juriscope.operators import documents
 from juriscope.operators.documents import Options, extract
 from juriscope.plans import catalog
 
@@ -60,6 +61,27 @@ def test_extracted_once_and_narrow(spark, tmp_path, name):
     assert len(steps) == 1 and steps[0].output().size() <= 8
 
 
+def rendered_text(spark, tmp_path, template):
+    spark.createDataFrame([(1, 5, "1995-01-02")], "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "date(d) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    return catalog.rendered(spark, str(tmp_path), template).first().text
+
+
+def tried(monkeypatch, text):
+    """How many searches of forms an extraction makes beyond one for each match."""
+    searches, real = [], documents._likely
+    monkeypatch.setattr(documents, "_likely", lambda *a: [(k, p, lambda *at, p=p: searches.append(p.id) or p.regex.search(*at), accept) for k, p, _, accept in real(*a)])
+    return len(documents.scan(text)), len(searches)
+
+
+def test_groups_read_what_they_need(spark, tmp_path, monkeypatch):
+    """case_groups: of a resolution only its target leaves Python, and few forms are tried that do not match (25 before)."""
+    text = rendered_text(spark, tmp_path, catalog._RESOLVE)
+    matches, searches = tried(monkeypatch, text)
+    assert matches >= 6 and searches - matches <= 16
+    docs = catalog.rendered(spark, str(tmp_path), catalog._RESOLVE)
+    assert views.extract_citations(docs, fields=views.GROUP_FIELDS).schema["resolution"].dataType.simpleString() == "struct<resolved_to:int>"
+
+
 def test_views_of_repeated_documents(spark):
     """Links and groups of one document, of copies under its key, and of groups of three; no link to itself or twice."""
     rows = [
