@@ -82,6 +82,15 @@ def test_groups_read_what_they_need(spark, tmp_path, monkeypatch):
     assert views.extract_citations(docs, fields=views.GROUP_FIELDS).schema["resolution"].dataType.simpleString() == "struct<resolved_to:int>"
 
 
+def test_edges_read_what_they_need(spark, tmp_path, monkeypatch):
+    """graph_all_edges: two places of a resolution leave Python, and few forms are tried that do not match (24 before)."""
+    text = rendered_text(spark, tmp_path, catalog._WEB.replace("''", "\\'"))
+    matches, searches = tried(monkeypatch, text)
+    assert matches >= 8 and searches - matches <= 15
+    docs = catalog.rendered(spark, str(tmp_path), catalog._RESOLVE)
+    assert views.extract_citations(docs, fields=views.EDGE_FIELDS).schema["resolution"].dataType.simpleString() == "struct<resolved_to:int,antecedent:int>"
+
+
 def test_views_of_repeated_documents(spark):
     """Links and groups of one document, of copies under its key, and of groups of three; no link to itself or twice."""
     rows = [
